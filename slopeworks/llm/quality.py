@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slopeworks.llm import base, words as W
 
@@ -152,8 +153,6 @@ def filter_documents(docs: DataFrame, policy: str = "v1", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(m[k], pa.int64()) for k in MEASURES)], names=[*columns, *fresh])
 
     fresh = [base.free_name(docs, f"measured_{m}") for m in MEASURES]
-    schema = docs.schema
-    for m in fresh:
-        schema = schema.add(m, "long")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(m, T.LongType()) for m in fresh)])
     rows = docs.mapInArrow(judged, schema).withColumn(name, failures({m: F.col(c) for m, c in zip(MEASURES, fresh)}))
     return rows.filter(F.col(name).bitwiseAND(F.lit(POLICIES[policy])) == 0).select(*columns)
