@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slopeworks.llm import base, quality
+from slopeworks.llm import base, quality, queries
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +15,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs, "v1")
 
 
-STAGES = [("quality_rules", quality_rules)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    base.prepare(spark)
+    return queries.packed_pieces(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("packing", packing)]
 
 #: Language profiles, exact similarity links and library token ids are beyond SQL.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopeworks.llm import base, quality
+from slopeworks.llm import base, packing, quality
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +14,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept", "failed_bits")
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules}
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """The pieces of packed documents with a checksum in place of their ids."""
+    import public_tokenizers
+
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(base.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op6_quality_rules": op6_quality_rules,
+    "op10_packing": op10_packing,
+}
 ORACLE: dict[str, str] = {}
