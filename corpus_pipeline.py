@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slopeworks.llm import base, quality, queries
+from slopeworks.llm import base, quality, queries, simjoin
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,13 +15,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs, "v1")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each component of near duplicates."""
+    base.prepare(spark)
+    return simjoin.first_of_each(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences."""
     base.prepare(spark)
     return queries.packed_pieces(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("packing", packing)]
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("packing", packing)]
 
 #: Language profiles, exact similarity links and library token ids are beyond SQL.
 ORACLE_SQL = None

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopeworks.llm import base, packing, quality
+from slopeworks.llm import base, packing, quality, simjoin
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simjoin.components(base.table(spark, sf_dir, "documents"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +31,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_ngram_join": op4_ngram_join,
     "op6_quality_rules": op6_quality_rules,
     "op10_packing": op10_packing,
 }
