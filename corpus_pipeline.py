@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slopeworks.llm import base, quality, queries, simjoin
+from slopeworks.llm import base, linededup, quality, queries, simjoin
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +16,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs, "v1")
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that a document of smaller id holds; ``n_chars`` follows the text."""
+    base.prepare(spark)
+    rows = linededup.kept_texts(docs)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each component of near duplicates."""
     base.prepare(spark)
@@ -27,7 +37,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.packed_pieces(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("packing", packing)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("packing", packing)]
 
 #: Language profiles, exact similarity links and library token ids are beyond SQL.
 ORACLE_SQL = None

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopeworks.llm import base, packing, quality, simjoin
+from slopeworks.llm import base, linededup, packing, quality, simjoin
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.kept_texts(base.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +36,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op6_quality_rules": op6_quality_rules,
     "op10_packing": op10_packing,
 }
-ORACLE: dict[str, str] = {}
+_SPACE = r"[\x20\x09-\x0D]"
+
+ORACLE: dict[str, str] = {
+    "op3_line_dedup": rf"""
+with lines as (
+  select doc_id, coalesce(text, '') as text, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+  from documents
+), keyed as (
+  select *, translate(regexp_replace(line, '^{_SPACE}+|{_SPACE}+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines
+), firsts as (
+  select key, min(doc_id) as first_id from keyed where length(key) >= 10 group by key having count(distinct doc_id) > 1
+), marked as (
+  select k.doc_id, k.text, k.line, k.pos, f.first_id is not null and f.first_id <> k.doc_id as gone from keyed k left join firsts f on k.key = f.key
+)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from marked group by doc_id, text
+""",
+}
