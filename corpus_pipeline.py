@@ -7,7 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopeworks.llm import base, linededup, quality, queries, simjoin
+from slopeworks.llm import base, langid, linededup, quality, queries, simjoin
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told; a null label is filled with the prediction."""
+    base.prepare(spark)
+    rows = langid.predict(docs, langid.learn(docs, F.lit(True)))
+    name = rows.columns[-2]
+    kept = rows.filter(F.col(name) != langid.UNKNOWN)
+    if "lang" in docs.columns:
+        kept = kept.withColumn("lang", F.coalesce("lang", name))
+    return kept.select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +48,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.packed_pieces(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("packing", packing)]
+STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("packing", packing)]
 
 #: Language profiles, exact similarity links and library token ids are beyond SQL.
 ORACLE_SQL = None

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopeworks.llm import base, linededup, packing, quality, sharding, simjoin
+from slopeworks.llm import base, langid, linededup, packing, quality, sharding, simjoin
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,17 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def held_out() -> Column:
+    """The fold that language profiles are not learned from."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = base.table(spark, sf_dir, "documents")
+    rows = langid.predict(docs.select("doc_id", "text"), langid.learn(docs, ~held_out()))
+    return rows.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linededup.kept_texts(base.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -42,6 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op6_quality_rules": op6_quality_rules,
