@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopeworks.llm import base, langid, linededup, packing, quality, sharding, simjoin
+from slopeworks.llm import base, bpe, langid, linededup, packing, quality, sharding, simjoin
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept", "failed_bits")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs, path = base.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    rows = bpe.encode(docs, path, bpe.build_lexicon(docs, path))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(listed).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
 def packed_pieces(docs: DataFrame) -> DataFrame:
     """The pieces of packed documents with a checksum in place of their ids."""
     import public_tokenizers
@@ -57,6 +67,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op6_quality_rules": op6_quality_rules,
+    "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
 }
 _SPACE = r"[\x20\x09-\x0D]"
