@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopeworks.llm import base, bpe, langid, linededup, packing, quality, sharding, simjoin
+from slopeworks.llm import base, bpe, langid, linededup, packing, quality, sharding, simjoin, tokencount, topk
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept", "failed_bits")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.token_counts(base.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(base.table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +77,8 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op6_quality_rules": op6_quality_rules,
+    "op7_token_counts": op7_token_counts,
+    "op8_top_k": op8_top_k,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
 }
@@ -87,5 +99,17 @@ with lines as (
 select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from marked group by doc_id, text
+""",
+    "op8_top_k": """
+with x as (
+  select vec_id, list_transform(embedding, lambda c: cast(floor(1024 * cast(c as double)) as bigint)) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+), scored as (
+  select q.vec_id as query_id, x.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i])) as bigint) as score
+  from x q join x on q.vec_id <> x.vec_id where q.vec_id % 100 = 0
+), ranked as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 10
 """,
 }
