@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopeworks.llm import base, bpe, langid, linededup, packing, quality, sharding, simjoin, tokencount, topk
+from slopeworks.llm import base, bpe, htmltext, langid, linededup, packing, quality, sharding, simjoin, tokencount, topk
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.components(base.table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = htmltext.extract(base.table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.apply_policy(quality.ledger(base.table(spark, sf_dir, "documents")))
     base_failed = F.col("failed_bits").bitwiseAND(F.lit(quality.POLICIES["base"])) != 0
@@ -76,6 +81,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
     "op4_ngram_join": op4_ngram_join,
+    "op5_html_text": op5_html_text,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
     "op8_top_k": op8_top_k,
