@@ -104,13 +104,12 @@ def nearest_sites(points: DataFrame, sites: DataFrame, point_id: str, site_id: s
     names = ("_i", "_j", "_k")
     p = points.select(F.col(point_id).alias("_pid"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
     s = sites.select(F.col(site_id).alias("_sid"), F.col("lat").alias("_slat"), F.col("lon").alias("_slon"))
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     width, found = 1 / 64, None
     while True:
-        cubes = lambda lat, lon, w=width: dict(zip(names, (F.floor(c / w) for c in _unit(F.col(lat), F.col(lon)))))
+        cubes = lambda lat, lon, w=width: {n: F.floor(c / w) for n, c in zip(names, _unit(F.col(lat), F.col(lon)))}
         spread = s.withColumns(cubes("_slat", "_slon"))
         for n in names:
-            spread = spread.withColumn(n, F.explode(F.transform(around, lambda d, n=n: F.col(n) + d)))
+            spread = spread.withColumn(n, F.explode(F.array(*(F.col(n) + d for d in (-1, 0, 1)))))
         met = p.withColumns(cubes("_plat", "_plon")).join(spread, list(names))
         if exclude_same:
             met = met.filter(F.col("_pid") != F.col("_sid"))

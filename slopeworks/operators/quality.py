@@ -39,10 +39,17 @@ def one_of(column: str, values: list[str]) -> Rule:
     return Rule(f"{column}_known", F.col(column).isin(values))
 
 
-#: Rules of the settlement table, and of the terrain and rainfall features.
-SETTLEMENT = [not_blank("settlement_id"), not_blank("settlement_name"), in_range("latitude", -90, 90), in_range("longitude", -180, 180)]
-TERRAIN = [is_finite("elevation_m"), in_range("slope_deg", 0, 90)]
-RAINFALL = [Rule("date_valid", F.col("date").isNotNull()), is_finite("rainfall_1d_mm"), null_or_finite("rainfall_3d_mm"), null_or_finite("rainfall_7d_mm")]
+def settlement_rules() -> list[Rule]:
+    return [not_blank("settlement_id"), not_blank("settlement_name"), in_range("latitude", -90, 90), in_range("longitude", -180, 180)]
+
+
+def terrain_rules() -> list[Rule]:
+    return [is_finite("elevation_m"), in_range("slope_deg", 0, 90)]
+
+
+def rainfall_rules() -> list[Rule]:
+    """The sums over days may be null, but not infinite."""
+    return [Rule("date_valid", F.col("date").isNotNull()), is_finite("rainfall_1d_mm"), null_or_finite("rainfall_3d_mm"), null_or_finite("rainfall_7d_mm")]
 
 
 def outside(column: Column, low: float, high: float) -> Column:

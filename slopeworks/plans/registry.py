@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from slopeworks.plans import hazard, streams
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES = hazard.QUERIES | streams.QUERIES
+ORACLE = hazard.ORACLE | streams.ORACLE
