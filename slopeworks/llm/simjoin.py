@@ -2,17 +2,20 @@
 
 Two sets of sizes r <= s with Jaccard at least 3/4 differ in at most H = (r + s) / 7 shingles. The
 universe of shingles is partitioned by hash into segments, as many as a set's size band calls for. If
-a set has more than H segments that are not empty, a linked set must hold exactly the same shingles
-in one of them. So each set indexes its subsets of all segments, for its own band and for the next
-one up (where its larger partners are), and selects the H + 1 cheapest of its own band as probes:
-the fullest, since these agree by chance least often. Sets of which too few segments are filled
-(and with these the one-deletion neighbourhoods down to single shingles) index every shingle, which
-finds the pairs where both sides fall short. Small bands have segments of single shingles at once.
+one of the two has more than H segments that are not empty, both hold exactly the same shingles in
+one of these. So each set indexes its subsets of all filled segments of its own band, and probes its
+own band and the next one down (where its smaller partners are) with no more than the pigeonhole
+needs: the H + 1 subsets of least cost, which are those with the most shingles that are not crowded. Shingles
+are counted over all documents in a table of fixed size to tell crowded ones; this bears on cost alone. Sets of which too
+few segments are filled (and with these the one-deletion neighbourhoods down to single shingles) index
+and probe every shingle too, which finds the pairs where both sides fall short. Small bands have
+segments of single shingles at once.
 
 Subsets are shuffled as compact blocks per bucket of their hash. Within a bucket, sets that share a
-subset become candidates; candidates are verified on their whole sets. A subset that many sets share
-is not expanded into all pairs: all are compared with its most central set first, and only sets that
-are still in different components are then compared with each other. Copies are one set throughout.
+subset become candidates; candidates are screened by
+parity sketches, which bound their difference from below, and verified on their whole sets. A subset that many sets share
+is not expanded into all pairs: all are compared with its first set, and only sets that are still in
+different components are then compared with each other. Copies are one set throughout.
 
 Identities of words, shingles and sets are 64-bit hashes (sets: 128 bits).
 
@@ -35,13 +38,17 @@ from slopeworks.llm import base, graph, words as W
 
 WIDTH = 5
 #: Sets in a subset's list up to which all its pairs are candidates at once.
-SMALL = 16
+SMALL = 3
 #: Shingles for each bucket of the index.
-BUCKET = 800_000
+BUCKET = 1_600_000
+#: Documents whose ids may be broadcast to find their texts; more are joined by a shuffle.
+BROADCAST = 1_000_000
 #: Subset hashes a task gathers before it emits a block for each bucket.
 GATHERED = 2_000_000
+#: Cells that shingles are counted in to tell crowded ones: a bit each is broadcast, whatever the corpus's size.
+CELLS = 1 << 22
 #: Mean shingles in a segment, by the largest size of a band.
-LOADS = ((32, None), (128, 2.0), (512, 2.7), (1 << 62, 3.0))
+LOADS = ((32, None), (128, 2.0), (512, 2.5), (1 << 62, 2.7))
 
 
 def _bands() -> tuple[np.ndarray, np.ndarray]:
@@ -100,10 +107,31 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first), pa.int64()), pa.array(one), pa.array(two)], names=["id", "n", "one", "two"])
 
 
-def _level(key: np.ndarray, first: np.ndarray, band: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Subset hashes of one level, the row of each, and whether it is a probe."""
-    size = np.diff(first)
-    row = np.repeat(np.arange(len(size)), size)
+def crowded_cells(counts: np.ndarray) -> np.ndarray:
+    """Cells of a task's shingle counts that stand out from what chance puts in a cell."""
+    mean = counts.mean(dtype=np.float64)
+    return np.flatnonzero(counts > mean + 6 * mean**0.5 + 4)
+
+
+def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(CELLS, np.uint32)
+    for batch in batches:
+        for a, b in base.parts(batch.column(0)):
+            key, _ = sets_of(batch.column(0).slice(a, b - a))
+            counts += np.bincount((key % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+    yield pa.RecordBatch.from_arrays([pa.array(crowded_cells(counts))], names=["cell"])
+
+
+def _level(key: np.ndarray, first: np.ndarray, band: np.ndarray, own: bool, crowd: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Subset hashes at a band of each row (-1: none), the row of each, and whether it is a probe.
+
+    At its own band a set gives all its subsets, below it only its probes.
+    """
+    size = np.where(band >= 0, np.diff(first), 0)
+    row = np.repeat(np.arange(len(size)), np.diff(first))
+    if (band < 0).any():
+        there = band[row] >= 0
+        key, row = key[there], row[there]
     if not len(key):
         return np.zeros(0, np.uint64), row, np.zeros(0, bool)
     segments = SEGMENTS[band][row]
@@ -113,17 +141,21 @@ def _level(key: np.ndarray, first: np.ndarray, band: np.ndarray, own: bool) -> t
     starts = np.flatnonzero(begins)
     filled = np.diff(np.append(starts, len(key)))
     rows = row[starts]
-    # the last term tells levels apart
+    # the last term tells bands apart
     hashes = W.mix(np.add.reduceat(W.mix(key + np.uint64(7)), starts) + (band[rows].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
     n_filled = np.bincount(rows, minlength=len(size))
-    most = (size + np.minimum(TOPS[band], 4 * size // 3)) // 7
+    # differences from the partners that this set's probes must find: none larger than itself or the band's top
+    least = (size + np.minimum(size, TOPS[band])) // 7 + 1
+    # cost: a subset of crowded shingles only has a long list; else the more that are not, the shorter it is
+    sparse = np.add.reduceat(~crowd[(key % np.uint64(CELLS)).astype(np.int64)], starts, dtype=np.int64) if crowd is not None else filled
+    order = np.lexsort((hashes, -filled, -sparse, rows))
+    rank = np.arange(len(starts)) - np.repeat(np.cumsum(n_filled) - n_filled, n_filled)
     probe = np.zeros(len(starts), bool)
-    if own:
-        wanted = np.minimum(2 * size // 7 + 1, n_filled)
-        order = np.lexsort((hashes, -filled, rows))
-        rank = np.arange(len(starts)) - np.repeat(np.searchsorted(rows, np.arange(len(size))), n_filled)
-        probe[order] = rank < wanted[rows]
-    short = n_filled < most + 1
+    probe[order] = rank < least[rows]
+    # against any partner of this band, or of the next if it is the set's own
+    short = n_filled < ((size + 4 * size // 3) // 7 + 1 if own else least)
+    if not own:
+        hashes, rows, probe = hashes[probe], rows[probe], probe[probe]
     if short.any():
         extra = short[row]
         single = W.mix(key[extra] + (band[row[extra]].astype(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407))
@@ -131,13 +163,13 @@ def _level(key: np.ndarray, first: np.ndarray, band: np.ndarray, own: bool) -> t
     return hashes, rows, probe
 
 
-def signatures(key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    band = np.searchsorted(TOPS, np.diff(first))
-    levels = [_level(key, first, band, True), _level(key, first, band + 1, False)]
+def signatures(key: np.ndarray, first: np.ndarray, crowd: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    band = np.where(np.diff(first) > 0, np.searchsorted(TOPS, np.diff(first)), -1)
+    levels = [_level(key, first, band, True, crowd), _level(key, first, np.maximum(band, 0) - 1, False, crowd)]
     return tuple(np.concatenate(x) for x in zip(*levels))
 
 
-def _blocks(buckets: int):
+def _blocks(buckets: int, crowd):
     """Batches of texts into a row for each bucket: sets' nicks, how many hashes each has there, and the hashes."""
 
     def emit(gathered: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -159,10 +191,11 @@ def _blocks(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, size = [], 0
+        dense = np.unpackbits(np.frombuffer(crowd.value, np.uint8)).astype(bool)
         for batch in batches:
             for a, b in base.parts(batch.column(0)):
                 key, first = sets_of(batch.column(0).slice(a, b - a))
-                hashes, row, probe = signatures(key, first)
+                hashes, row, probe = signatures(key, first, dense)
                 gathered.append((hashes, digests(key, first)[0][row], probe))
                 size += len(hashes)
                 if size >= GATHERED:
@@ -183,8 +216,8 @@ def _unique(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(c[fresh] for c in columns)
 
 
-def candidates_of(nick: np.ndarray, key: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Candidate pairs (a < b) among sets with a common key, and (hub, sets) of each key that more than SMALL share."""
+def candidates_of(nick: np.ndarray, key: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Candidate pairs (a < b) among sets with a common key, and the distinct lists of more than SMALL sets that share one."""
     order = np.argsort(key)
     nick, key, probe = nick[order], key[order], probe[order]
     same = np.zeros(len(key), bool)
@@ -206,21 +239,15 @@ def candidates_of(nick: np.ndarray, key: np.ndarray, probe: np.ndarray) -> tuple
         at = at[probe[at] | probe[at + step]]
         left.append(nick[at])
         right.append(nick[at + step])
-    runs = []
-    long = np.flatnonzero(sizes > SMALL)
-    if len(long):
-        inside = np.concatenate([nick[starts[k] : starts[k] + sizes[k]] for k in long])
-        names, often = np.unique(inside, return_counts=True)
-        for k in long:
-            members = nick[starts[k] : starts[k] + sizes[k]]
-            if not probe[starts[k] : starts[k] + sizes[k]].any():
-                continue
-            hub = members[np.argmax(often[np.searchsorted(names, members)])]
-            others = members[members != hub]
-            left.append(np.minimum(hub, others))
-            right.append(np.maximum(hub, others))
-            runs.append((int(hub), members))
-    return *_unique(np.concatenate(left), np.concatenate(right)), runs
+    lists: dict[bytes, np.ndarray] = {}
+    for k in np.flatnonzero(sizes > SMALL):
+        members = nick[starts[k] : starts[k] + sizes[k]]
+        if probe[starts[k] : starts[k] + sizes[k]].any():
+            lists.setdefault(members.tobytes(), members)
+    for members in lists.values():
+        left.append(np.full(len(members) - 1, members[0]))
+        right.append(members[1:])
+    return *_unique(np.concatenate(left), np.concatenate(right)), list(lists.values())
 
 
 def _candidates(rows: pa.Table) -> pa.Table:
@@ -231,18 +258,41 @@ def _candidates(rows: pa.Table) -> pa.Table:
     a, b, runs = candidates_of(np.repeat(join("nicks", "<i8"), join("counts", "<u4")), key, high >= 128)
     nothing, n = [None] * len(runs), len(a)
     return pa.table({
-        "a": pa.array([*a.tolist(), *(hub for hub, _ in runs)], pa.int64()),
+        "a": pa.array([*a.tolist(), *(int(m[0]) for m in runs)], pa.int64()),
         "b": pa.array([*b.tolist(), *nothing], pa.int64()),
-        "members": pa.array([*[None] * n, *(m.astype("<i8").tobytes() for _, m in runs)], pa.binary()),
-    })
+        "members": pa.array([*[None] * n, *(m.astype("<i8").tobytes() for m in runs)], pa.binary()),
+    })
+
+
+def sketch(key: np.ndarray) -> bytes:
+    """For each cell of a set's shingles whether it has an odd number of them, in about four cells a shingle."""
+    cells = 1 << max(6, int(4 * len(key) - 1).bit_length())
+    return np.packbits(np.bincount((key % np.uint64(cells)).astype(np.int64), minlength=cells) & 1).astype(np.uint8).tobytes()
+
+
+def may_link(x: bytes, m: int, y: bytes, n: int) -> bool:
+    """Whether two sets of m and n shingles can link: each odd cell of the sketches' difference needs a shingle that differs."""
+    if 4 * min(m, n) < 3 * max(m, n):
+        return False
+    p, q = (np.unpackbits(np.frombuffer(z, np.uint8)) for z in (x, y))
+    least = min(len(p), len(q))
+    p, q = (z.reshape(-1, least).sum(axis=0) & 1 for z in (p, q))
+    return int((p != q).sum()) <= (m + n) // 7
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in base.parts(batch.column(0)):
             key, first = sets_of(batch.column(0).slice(a, b - a))
-            raw = [key[i:j].astype("<u8").tobytes() for i, j in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(digests(key, first)[0]), pa.array(raw, pa.binary())], names=["nick", "shingles"])
+            each = [key[i:j] for i, j in zip(first[:-1], first[1:])]
+            columns = [pa.array(digests(key, first)[0]), pa.array(np.diff(first), pa.int64()), pa.array([sketch(x) for x in each], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in each], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["nick", "n", "sketch", "shingles"])
+
+
+def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [may_link(x, m, y, n) for m, x, n, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], names=["a", "b", "near"])
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -263,15 +313,25 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(links, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b, linked) of candidate pairs, from the whole shingle sets of one document of each set."""
+def _wanted_sets(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(nick, shingles) of all sets in ``pairs``, from the whole text of one document of each."""
     wanted = pairs.select(F.col("a").alias("one")).union(pairs.select("b")).distinct()
     rank = F.struct(F.col("id").isNull().alias("none"), "id")
-    chosen = members.join(wanted, "one", "left_semi").groupBy("one", "two").agg(F.min(rank).alias("x")).select(F.col("x.id").alias("chosen"))
+    chosen = base.settled(members.join(wanted, "one", "left_semi").groupBy("one", "two").agg(F.min(rank).alias("x")).select(F.col("x.id").alias("chosen")))
+    if chosen.count() <= BROADCAST:
+        chosen = F.broadcast(chosen)
     texts = docs.join(chosen, F.col("id").eqNullSafe(F.col("chosen")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "nick long, shingles binary").dropDuplicates(["nick"])
-    first, second = sets.select(F.col("nick").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("nick").alias("b"), F.col("shingles").alias("y"))
-    return base.settled(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long, linked boolean"))
+    return base.settled(texts.mapInArrow(_sets, "nick long, n long, sketch binary, shingles binary"))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, linked) of candidate pairs: screened by their small sketches, which rule no link out, then by their whole sets."""
+    side = lambda name, *columns: sets.select(F.col("nick").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+    screened = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
+    screened = base.settled(screened.mapInArrow(_screened, "a long, b long, near boolean"))
+    near = screened.filter("near").select("a", "b").join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b")
+    links = near.mapInArrow(_verified, "a long, b long, linked boolean")
+    return base.settled(links.union(screened.filter("not near").select("a", "b", F.lit(False).alias("linked"))))
 
 
 def _apart(rows: pa.Table) -> pa.Table:
@@ -300,12 +360,16 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = base.settled(docs.mapInArrow(_members, f"id {kind}, n long, one long, two long"))
     total = members.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total // BUCKET))
+    crowd = np.zeros(CELLS, bool)
+    crowd[[r[0] for r in docs.select("text").mapInArrow(_crowds, "cell long").distinct().collect()]] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(crowd).tobytes())
     found = base.settled(
-        docs.select("text").mapInArrow(_blocks(buckets), "bucket int, nicks binary, counts binary, low binary, high binary")
+        docs.select("text").mapInArrow(_blocks(buckets, shared), "bucket int, nicks binary, counts binary, low binary, high binary")
         .groupBy("bucket").applyInArrow(_candidates, "a long, b long, members binary")
     )
     pairs = found.filter("b is not null").select("a", "b").distinct()
-    checked = _verify(pairs, docs, members)
+    sets = _wanted_sets(pairs, docs, members)
+    checked = _verify(pairs, sets)
     roots = graph.components(checked.filter("linked").select("a", "b"))
     runs = found.filter("b is null").select(F.monotonically_increasing_id().alias("run"), F.col("a").alias("hub"), "members")
     failed = checked.filter("not linked").select(F.explode(F.array("a", "b")).alias("hub")).distinct()
@@ -314,7 +378,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         nodes = open_runs.mapInArrow(_exploded, "run long, nick long").join(roots.withColumnRenamed("node", "nick"), "nick", "left")
         nodes = nodes.select("run", "nick", F.coalesce("root", "nick").alias("root"))
         apart = nodes.groupBy("run").applyInArrow(_apart, "a long, b long").distinct().join(checked, ["a", "b"], "left_anti")
-        checked = checked.union(_verify(base.settled(apart), docs, members))
+        checked = checked.union(_verify(apart, sets))
         roots = graph.components(checked.filter("linked").select("a", "b"))
     # without links, copies alone are a class; a document without shingles is one by itself
     keyed = members.join(roots.withColumnRenamed("node", "one"), "one", "left").select(
