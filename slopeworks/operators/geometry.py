@@ -172,3 +172,49 @@ def geojson(features: DataFrame, properties: list[str], coordinates: str, kind:
 
 def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def _area_above(e: Column, x1: Column, x2: Column) -> tuple[Column, Column]:
+    """Heights of an edge at both sides of a strip that lies within its span."""
+    slope = (e["y2"] - e["y1"]) / F.nullif(e["x2"] - e["x1"], F.lit(0.0))
+    return e["y1"] + (x1 - e["x1"]) * slope, e["y1"] + (x2 - e["x1"]) * slope
+
+
+def overlaps(polygons: DataFrame, code: str, cell: float = 1.0) -> DataFrame:
+    """(a, b, area) of pairs of polygons, a before b, whose insides overlap; a shared border is no overlap.
+
+    Both polygons are cut into strips at all their corners and at all crossings of their edges. Within a strip
+    edges do not cross, so the polygons are stacks of trapezoids, and what both cover is summed by intervals
+    of their heights at the strip's middle. Pairs meet on grid cells of their bounding boxes.
+    """
+    boxed = with_box(polygons).select(F.col(code).alias("code"), "_edges", "_x1", "_x2", "_y1", "_y2")
+    left, right = (boxed.select(*(F.col(c).alias(f"{s}{c}") for c in boxed.columns)) for s in ("l", "r"))
+    span = lambda s, a, b: F.explode(F.sequence(F.floor(F.col(f"{s}{a}") / cell), F.floor(F.col(f"{s}{b}") / cell)))
+    cells = lambda df, s: df.withColumn("cx", span(s, "_x1", "_x2")).withColumn("cy", span(s, "_y1", "_y2")).select(f"{s}code", "cx", "cy")
+    near = cells(left, "l").join(cells(right, "r"), ["cx", "cy"]).filter("lcode < rcode").select("lcode", "rcode").distinct()
+    pairs = near.join(left, "lcode").join(right, "rcode").filter("l_x1 < r_x2 and r_x1 < l_x2 and l_y1 < r_y2 and r_y1 < l_y2")
+    both = F.concat("l_edges", "r_edges")
+
+    def crossing(e: Column, f: Column) -> Column:
+        """The x at which two edges cross, null if they do not or are parallel."""
+        dx1, dy1, dx2, dy2 = e["x2"] - e["x1"], e["y2"] - e["y1"], f["x2"] - f["x1"], f["y2"] - f["y1"]
+        det = F.nullif(dx1 * dy2 - dy1 * dx2, F.lit(0.0))
+        t = ((f["x1"] - e["x1"]) * dy2 - (f["y1"] - e["y1"]) * dx2) / det
+        u = ((f["x1"] - e["x1"]) * dy1 - (f["y1"] - e["y1"]) * dx1) / det
+        return F.when(t.between(0, 1) & u.between(0, 1), e["x1"] + t * dx1)
+
+    met = F.flatten(F.transform("l_edges", lambda e: F.transform("r_edges", lambda f: crossing(e, f))))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.transform(both, lambda e: e["x1"]), F.array_compact(met))))
+    strips = pairs.withColumn("cuts", cuts).select("lcode", "rcode", "l_edges", "r_edges", F.explode(F.zip_with(F.slice("cuts", 1, F.size("cuts") - 1), F.slice("cuts", 2, F.size("cuts") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("s"))
+    middle = (F.col("s.a") + F.col("s.b")) / 2
+
+    def heights(name: str) -> Column:
+        """Sorted heights at the strip's middle of the edges that span it; inside is between odd and even ones."""
+        spanning = F.filter(name, lambda e: (F.least(e["x1"], e["x2"]) <= F.col("s.a")) & (F.greatest(e["x1"], e["x2"]) >= F.col("s.b")) & (e["x1"] != e["x2"]))
+        return F.array_sort(F.transform(spanning, lambda e: _area_above(e, middle, middle)[0]))
+
+    inside = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - 2, F.lit(2)), lambda k: F.struct(F.get(h, k).alias("lo"), F.get(h, k + 1).alias("hi")))
+    tall = strips.withColumn("p", heights("l_edges")).withColumn("q", heights("r_edges")).filter("size(p) >= 2 and size(q) >= 2").withColumn("p", inside(F.col("p"))).withColumn("q", inside(F.col("q")))
+    shared = F.flatten(F.transform("p", lambda x: F.transform("q", lambda y: F.greatest(F.lit(0.0), F.least(x["hi"], y["hi"]) - F.greatest(x["lo"], y["lo"])))))
+    areas = tall.withColumn("area", (F.col("s.b") - F.col("s.a")) * F.aggregate(shared, F.lit(0.0), lambda t, v: t + v))
+    return areas.groupBy(F.col("lcode").alias("a"), F.col("rcode").alias("b")).agg(F.sum("area").alias("area")).filter("area > 0")

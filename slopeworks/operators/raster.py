@@ -80,9 +80,9 @@ def accumulate(nodes: DataFrame, node: str = "node", down: str = "down") -> Data
     down, so the rounds grow with the logarithm of the longest path. A cycle has no end and is an error.
     """
     state = settled(nodes.select(F.col(node).alias("node"), F.col(down).alias("ptr"), F.lit(1).cast("long").alias("acc")))
-    rounds = 0
+    rounds, most = 0, state.count().bit_length()
     while not state.filter("ptr is not null").isEmpty():
-        if rounds > 62:
+        if rounds > most:
             raise ValueError("the flow graph has a cycle")
         inflow = state.filter("ptr is not null").groupBy(F.col("ptr").alias("node")).agg(F.sum("acc").alias("more"))
         jump = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"))
@@ -158,9 +158,10 @@ def stream_segments(nodes: DataFrame) -> DataFrame:
     degree = nodes.filter("down is not null").groupBy(F.col("down").alias("node")).agg(F.count("*").alias("n_in"))
     streams = nodes.join(degree, "node", "left").filter("is_stream").select("node", "down", (F.coalesce("n_in", F.lit(0)) != 1).alias("start"))
     streams = settled(streams)
-    up = streams.select(F.col("down").alias("node"), F.col("node").alias("up"))
-    state = streams.join(up, "node", "left").withColumn("up", F.when(~F.col("start"), F.col("up"))).withColumn("step", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long"))
-    state = settled(state.select("node", "down", "start", F.coalesce("up", "node").alias("head"), "step"))
+    # a node that starts no stretch has just one that leads to it
+    up = streams.select(F.col("down").alias("node"), F.col("node").alias("up")).join(streams.filter("not start").select("node"), "node", "left_semi")
+    state = streams.join(up, "node", "left")
+    state = settled(state.select("node", "down", "start", F.coalesce("up", "node").alias("head"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("step")))
     while True:
         ahead = state.select(F.col("node").alias("head"), F.col("head").alias("next"), F.col("step").alias("more"))
         moved = state.join(ahead, "head").select("node", "down", "start", F.col("next").alias("head"), (F.col("step") + F.col("more")).alias("step"), (F.col("more") > 0).alias("moved"))
@@ -170,7 +171,8 @@ def stream_segments(nodes: DataFrame) -> DataFrame:
             break
     junction = state.select("node", "start")
     ends = state.join(junction.select(F.col("node").alias("down"), F.col("start").alias("into")), "down").filter("into").select("head", F.col("down").alias("node"), (F.col("step") + 1).alias("step"))
-    points = state.select("head", "node", "step").union(ends)
+    starts = state.filter("start").select(F.col("node").alias("head"))
+    points = state.select("head", "node", "step").union(ends).join(starts, "head", "left_semi")
     lines = points.groupBy(F.col("head").alias("segment")).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "node"))), lambda p: p["node"]).alias("nodes"))
     return lines.filter(F.size("nodes") >= 2)
 

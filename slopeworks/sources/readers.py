@@ -16,6 +16,7 @@ def csv_text(spark: SparkSession, path: str, keep_literals: bool = True) -> Data
     if keep_literals:
         reader = reader.option("nullValue", _NEVER).option("emptyValue", "")
     df = reader.csv(path)
+    df = df.na.fill("") if keep_literals else df  # a blank cell is read as null whatever the options say
     return df.toDF(*(c.lstrip("﻿") for c in df.columns))
 
 

@@ -302,3 +302,22 @@ def test_quarantine_reasons(spark):
     rows = spark.createDataFrame([("X", "1", None, 5.0), ("S", "2", None, 5.0), ("S", "1", False, 5.0), ("S", "1", None, 100.1), ("S", "1", None, 50.0)], "sensor_id string, village_lgd_code string, is_test boolean, soil_moisture_percent double")
     got = sensors.enrich(rows.withColumn("raw_value", F.lit(1)), known)
     assert sorted(str(r["reason"]) for r in got.collect()) == ["None", "percent_out_of_range", "test_flag_mismatch", "unknown_sensor", "village_mismatch"]
+
+
+def test_leave_one_group_out_weights(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 0), ("b", 1), ("b", 0), ("b", 0)], "g string, y int")
+    got = model.leave_one_group_out(rows, "g", "y").filter("not is_test and y = 0").select("fold", "weight").distinct().collect()
+    assert {r["fold"]: r["weight"] for r in got} == {"a": 0.5, "b": 1.0}
+
+
+def test_registrations(spark):
+    old = spark.createDataFrame([("S", "1", False)], "sensor_id string, village_lgd_code string, is_test boolean")
+    new = spark.createDataFrame([("S", "1", False), ("T", None, False), ("U", None, True)], old.schema)
+    good, bad = sensors.registrations(new, old)
+    assert [r["sensor_id"] for r in good.collect()] == ["U"] and {r["sensor_id"]: r["reason"] for r in bad.collect()} == {"S": "duplicate", "T": "village_required"}
+
+
+def test_overlapping_polygons(spark):
+    shapes = polygons(spark, ("a", SQUARE, []), ("b", [(x + 0.5, y) for x, y in SQUARE], []), ("c", [(x + 1.0, y) for x, y in SQUARE], []), ("d", SQUARE, []))
+    got = {(r["a"], r["b"]): round(r["area"], 9) for r in geometry.overlaps(shapes, "code").collect()}
+    assert got == {("a", "b"): 0.5, ("b", "c"): 0.5, ("a", "d"): 1.0, ("b", "d"): 0.5}
