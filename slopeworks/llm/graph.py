@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from slopeworks.llm import base
 
+#: Edges in a partition at most: a round on few links does not leave a file for each of many partitions.
+PART = 200_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,9 +31,9 @@ def components(links: DataFrame) -> DataFrame:
     rows in the join can be split. The number of rounds grows with the logarithm of the diameter.
     """
     edges = base.settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
-    seen = None
+    seen, parts = None, 1 + edges.count() // PART
     while True:
-        edges = base.settled(_small_star(_large_star(edges)))
+        edges = base.settled(_small_star(_large_star(edges.coalesce(parts))).coalesce(parts))
         mark = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == seen:
             break

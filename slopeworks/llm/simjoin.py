@@ -14,8 +14,8 @@ segments of single shingles at once.
 Subsets are shuffled as compact blocks per bucket of their hash. Within a bucket, sets that share a
 subset become candidates; candidates are screened by
 parity sketches, which bound their difference from below, and verified on their whole sets. A subset that many sets share
-is not expanded into all pairs: all are compared with its first set, and only sets that are still in
-different components are then compared with each other. Copies are one set throughout.
+is not expanded into all pairs: all are compared with its first set, and of sets that are still in
+different components only those are then verified whose sketches allow a link, the nearest ones first. Copies are one set throughout.
 
 Identities of words, shingles and sets are 64-bit hashes (sets: 128 bits).
 
@@ -45,6 +45,8 @@ BUCKET = 1_600_000
 BROADCAST = 1_000_000
 #: Subset hashes a task gathers before it emits a block for each bucket.
 GATHERED = 2_000_000
+#: Sets of a long list that are compared with as many others at once, and words of sketches that a comparison holds.
+CHUNK, SCREENED = 4096, 1 << 22
 #: Cells that shingles are counted in to tell crowded ones: a bit each is broadcast, whatever the corpus's size.
 CELLS = 1 << 22
 #: Mean shingles in a segment, by the largest size of a band.
@@ -265,8 +267,8 @@ def _candidates(rows: pa.Table) -> pa.Table:
 
 
 def sketch(key: np.ndarray) -> bytes:
-    """For each cell of a set's shingles whether it has an odd number of them, in about four cells a shingle."""
-    cells = 1 << max(6, int(4 * len(key) - 1).bit_length())
+    """For each cell of a set's shingles whether it has an odd number of them, in two to four cells a shingle."""
+    cells = 1 << max(6, int(2 * len(key) - 1).bit_length())
     return np.packbits(np.bincount((key % np.uint64(cells)).astype(np.int64), minlength=cells) & 1).astype(np.uint8).tobytes()
 
 
@@ -334,23 +336,66 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return base.settled(links.union(screened.filter("not near").select("a", "b", F.lit(False).alias("linked"))))
 
 
-def _apart(rows: pa.Table) -> pa.Table:
-    """Pairs of a key's sets that are in different components."""
-    nick, root = (np.array(rows.column(c).to_pylist(), np.int64) for c in ("nick", "root"))
+def apart(nick: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[bytes], nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one list's sets in different components that may link by their sketches.
+
+    With ``nearest``, of the pairs of two components only the one of the nearest sketches.
+    """
+    least = min(map(len, sketches))
+    folded = np.zeros((len(sketches), max(1, least // 8)), np.uint64)
+    for k, x in enumerate(sketches):
+        folded[k] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, folded.shape[1]), axis=0)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in range(len(nick)):
-        other = nick[k + 1 :][root[k + 1 :] != root[k]]
-        left.append(np.minimum(nick[k], other))
-        right.append(np.maximum(nick[k], other))
-    a, b = _unique(np.concatenate(left), np.concatenate(right))
+    step = max(1, SCREENED // (len(nick) * folded.shape[1]))
+    for at in range(0, len(nick), step):
+        own = slice(at, at + step)
+        differ = np.bitwise_count(folded[own, None, :] ^ folded[None, :, :]).sum(axis=2, dtype=np.int64)
+        size, other = n[own, None], n[None, :]
+        near = (root[own, None] != root[None, :]) & (7 * differ <= size + other) & (4 * np.minimum(size, other) >= 3 * np.maximum(size, other))
+        i, j = np.nonzero(near)
+        if nearest and len(i):
+            low, high = np.minimum(root[own][i], root[j]), np.maximum(root[own][i], root[j])
+            order = np.lexsort((j, i, differ[i, j], high, low))
+            i, j, low, high = i[order], j[order], low[order], high[order]
+            first = np.ones(len(i), bool)
+            first[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            i, j = i[first], j[first]
+        left.append(np.minimum(nick[own][i], nick[j]))
+        right.append(np.maximum(nick[own][i], nick[j]))
+    return _unique(np.concatenate(left), np.concatenate(right))
+
+
+def _apart(nearest: bool, slots: int):
+    """The pairs of a list as a block for each slot: lists of one group give mostly the same pairs, which then meet in their slot."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        nick, root, n = (np.array(rows.column(c).to_pylist(), np.int64) for c in ("nick", "root", "n"))
+        a, b = apart(nick, root, n, rows.column("sketch").to_pylist(), nearest)
+        slot = (W.mix(a.astype(np.uint64) + W.mix(b.astype(np.uint64))) % np.uint64(slots)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        there, starts = np.unique(slot[order], return_index=True)
+        blocks = [np.column_stack((a[k], b[k])).astype("<i8").tobytes() for k in np.split(order, starts[1:])] if len(order) else []
+        return pa.table({"slot": pa.array(there, pa.int64()), "block": pa.array(blocks, pa.binary())})
+
+    return run
+
+
+def _met(rows: pa.Table) -> pa.Table:
+    pairs = np.frombuffer(b"".join(rows.column("block").to_pylist()), "<i8").reshape(-1, 2)
+    a, b = _unique(pairs[:, 0], pairs[:, 1])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each set of each list; long lists come as all pairs of their chunks, a part for each pair."""
     for batch in batches:
         for run, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             nick = np.frombuffer(raw, "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nick), run, np.int64)), pa.array(nick)], names=["run", "nick"])
+            chunks = [nick[k : k + CHUNK] for k in range(0, len(nick), CHUNK)]
+            pairs = [(i, j) for i in range(len(chunks)) for j in range(i + 1, len(chunks))] or [(0, 0)]
+            for part, (i, j) in enumerate(pairs):
+                mine = chunks[i] if i == j else np.concatenate((chunks[i], chunks[j]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), run, np.int64)), pa.array(np.full(len(mine), part, np.int64)), pa.array(mine)], names=["run", "part", "nick"])
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,15 +416,19 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = _wanted_sets(pairs, docs, members)
     checked = _verify(pairs, sets)
     roots = graph.components(checked.filter("linked").select("a", "b"))
-    runs = found.filter("b is null").select(F.monotonically_increasing_id().alias("run"), F.col("a").alias("hub"), "members")
-    failed = checked.filter("not linked").select(F.explode(F.array("a", "b")).alias("hub")).distinct()
-    open_runs = base.settled(runs.join(failed, "hub", "left_semi").select("run", "members"))
-    if not open_runs.isEmpty():
-        nodes = open_runs.mapInArrow(_exploded, "run long, nick long").join(roots.withColumnRenamed("node", "nick"), "nick", "left")
-        nodes = nodes.select("run", "nick", F.coalesce("root", "nick").alias("root"))
-        apart = nodes.groupBy("run").applyInArrow(_apart, "a long, b long").distinct().join(checked, ["a", "b"], "left_anti")
-        checked = checked.union(_verify(apart, sets))
-        roots = graph.components(checked.filter("linked").select("a", "b"))
+    lists = found.filter("b is null").select("members").distinct().select(F.monotonically_increasing_id().alias("run"), "members")
+    listed = base.settled(lists.mapInArrow(_exploded, "run long, part long, nick long"))
+    for nearest in (True, False):  # most links show at the nearest pairs, and what then is one component needs no more
+        joined = listed.join(roots.withColumnRenamed("node", "nick"), "nick", "left").select("run", "part", "nick", F.coalesce("root", "nick").alias("root"))
+        open_runs = joined.groupBy("run", "part").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("run", "part")
+        rows = joined.join(open_runs, ["run", "part"], "left_semi").join(sets.select("nick", "n", "sketch"), "nick")
+        blocks = rows.groupBy("run", "part").applyInArrow(_apart(nearest, 2 * buckets), "slot long, block binary")
+        pairs = blocks.groupBy("slot").applyInArrow(_met, "a long, b long").join(checked, ["a", "b"], "left_anti")
+        more = _verify(pairs, sets)
+        checked = checked.union(more)
+        if not more.filter("linked").isEmpty():  # components of components: what is one already is one node
+            merged = more.filter("linked").select("a", "b").union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = graph.components(merged)
     # without links, copies alone are a class; a document without shingles is one by itself
     keyed = members.join(roots.withColumnRenamed("node", "one"), "one", "left").select(
         "id", "n", F.when(F.col("n") > 0, F.coalesce("root", "one")).alias("k1"), F.when((F.col("n") > 0) & F.col("root").isNull(), F.col("two")).otherwise(F.lit(0)).alias("k2")
