@@ -51,7 +51,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Only documents that lose a line have a row.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("part", F.xxhash64(F.coalesce("text", F.lit(""))))
-    lines = _lines(docs)
+    lines = base.settled(_lines(docs))  # hashes only: texts are split once
     first = F.min(F.struct(F.col("id").isNull(), "id")).alias("first")
     last = F.max(F.struct(F.col("id").isNull(), "id")).alias("last")
     counts = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), first, last)
