@@ -36,7 +36,7 @@ LEXICON = 1 << 17
 #: Distinct words a task counts before it emits its counts so far.
 COUNTED = 400_000
 #: Distinct chunks, and distinct words, whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Separators to str.split() that the tokenizer takes for ordinary characters.
 _KEPT = regex.compile("[\x1c-\x1f]")
 _GAP = regex.compile(r"[^\S\x1c-\x1f]+")
@@ -191,13 +191,14 @@ class Lexicon:
 
 
 class Coder(dict):
-    """From a chunk between white space to its ids' bytes and its tokens' strings."""
+    """From a chunk between white space to its ids' bytes; ``decoded`` has its tokens' strings."""
 
     def __init__(self, tokenizer_path: str, lexicon_path: str | None):
         super().__init__()
         self.tokenizer = Tokenizer(tokenizer_path)
         self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.decoded: dict[str, str] = {}
 
     def chunks(self, text: str) -> list[str]:
         """The text between white space and special tokens; special tokens are chunks of their own."""
@@ -227,7 +228,7 @@ class Coder(dict):
         self.look_up({w for ws in split for w in ws})
         known = self.words
         for chunk, ws in zip(unseen, split):
-            self[chunk] = known[ws[0]] if len(ws) == 1 else (b"".join([known[w][0] for w in ws]), " ".join([known[w][1] for w in ws]))
+            self[chunk], self.decoded[chunk] = known[ws[0]] if len(ws) == 1 else (b"".join([known[w][0] for w in ws]), " ".join([known[w][1] for w in ws]))
 
     def of(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """The ids of each text, and what they decode to."""
@@ -236,15 +237,12 @@ class Coder(dict):
         unseen = wanted.difference(self)
         if len(self) + len(unseen) > REMEMBERED:
             self.clear()
+            self.decoded.clear()
             unseen = wanted
         if unseen:
             self.learn(list(unseen))
-        ids, decoded = [], []
-        for cs in split:
-            pairs = [*map(self.__getitem__, cs)]
-            ids.append(b"".join([p[0] for p in pairs]))
-            decoded.append(" ".join([p[1] for p in pairs]))
-        return ids, decoded
+        ids_of, string_of = self.__getitem__, self.decoded.__getitem__
+        return [b"".join(map(ids_of, cs)) for cs in split], [" ".join(map(string_of, cs)) for cs in split]
 
 
 _coders: dict[tuple, Coder] = {}
@@ -259,7 +257,7 @@ def coder(tokenizer_path: str, lexicon_path: str | None) -> Coder:
 
 
 def frequent_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> list[str]:
-    """The LEXICON most frequent words of all texts, by counts over the whole corpus."""
+    """The most frequent words of all texts, at most LEXICON, by counts over the whole corpus."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = coder(tokenizer_path, None)
@@ -282,8 +280,17 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text")
                 yield from emit()
         yield from emit()
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(LEXICON).select("word").collect()]
+    words = docs.select(F.col(text_col).alias("text")).mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = base.settled(words.filter("n > 1"))
+    # the least count that no more than LEXICON words reach, from a histogram by eighths of an octave
+    step = F.floor(F.log2("n") * 8)
+    sizes = sorted(words.groupBy(step.alias("step")).count().collect(), reverse=True)
+    least, room = None, LEXICON
+    for at, n in sizes:
+        if n > room:
+            break
+        least, room = at, room - n
+    return [bytes(r["word"]) for r in words.filter(step >= least).select("word").collect()] if least is not None else []
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> str:
