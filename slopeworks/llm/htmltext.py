@@ -8,9 +8,9 @@ what is template, so the next nearest is taken.
 
 Differencing alone deletes sentences that two articles happen to share and leaves templates that differ
 from page to page, so what the markup itself says is heeded too: a line within an article or main
-element is not deleted for being shared, and if a page has such an element, other lines go; lines in
-elements that are menus, headers, footers, sidebars, notices, adverts, forms or comments, by their name,
-role or class, go from anywhere.
+element is not deleted for being shared; lines in elements that are menus, headers, footers, sidebars,
+notices, adverts, forms or comments, by their name, role or class, go from anywhere. Differencing decides
+all other lines, also on pages that have an article.
 
 Defined cases: a null or empty html has an empty text; a null url is a host and path of its own; unclosed
 elements end with the page; repeated rows are copies of each other; a host with one page keeps its
@@ -183,8 +183,7 @@ def main_text(page: list[Line], neighbours: list[list[Line]]) -> str:
         if sum(len(texts[k]) for k in same) <= COPY * whole:
             shared = same
             break
-    has_main = any(x.main and not x.aside for x in page)
-    return " ".join(x.text for k, x in enumerate(page) if not x.aside and (x.main if has_main else k not in shared))
+    return " ".join(x.text for k, x in enumerate(page) if not x.aside and (x.main or k not in shared))
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -281,6 +281,12 @@ def test_differencing_deletes_what_near_pages_share(spark):
     assert got == {1: "First story here", 2: "Second story there", 3: "Alone", 4: "", 5: "First story here"}
 
 
+def test_differencing_decides_outside_of_articles(spark):
+    page = lambda k: f"<div>Top bar</div><div>Story {k}, told at some length here</div><article>Teaser</article><div>All rights reserved</div>"
+    pages = spark.createDataFrame([(k, f"http://a.b/x/{k}", page(k)) for k in (1, 2)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in htmltext.extract(pages).collect()} == {k: f"Story {k}, told at some length here Teaser" for k in (1, 2)}
+
+
 def test_common_subsequence_is_longest():
     rnd = random.Random(9)
     for _ in range(200):
