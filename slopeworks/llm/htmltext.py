@@ -1,10 +1,16 @@
 """Main text of web pages by differencing each page against the page of the nearest URL on its host.
 
-Pages are sorted by host, URL path and id in range partitions, so a hot host is spread over many tasks;
-a task streams its pages and sees the neighbours of each. A page is split into lines, one per block of
-markup. Lines are aligned with those of the nearest page by longest common subsequence, and shared
-lines are deleted. A neighbour that shares most of the page's text is a copy of it and says nothing about
-what is template, so the next nearest is taken.
+A page is split into lines, one per block of markup. Pages of a host with equal lines are one page, and
+distinct pages are numbered by host, URL path and id. Lines are aligned with those of the nearest page by
+longest common subsequence, and shared lines are deleted. A neighbour that shares most of the page's text
+may be a copy of it, which says nothing about what is template, so the next nearest is looked at, at first
+up to REACH numbers away. A page whose neighbours all share so much is compared with the nearest pages on
+either side that have found another, however far, and with what these have found. If all of them share most
+of it, what it has besides its template is short, and the neighbour that leaves most of it decides; so where
+all pages of a host are nearly the same, what they share counts as template.
+
+Only hashes of lines (64 bits) are sorted and compared. Texts are shuffled only of pages that have lines
+for differencing to decide.
 
 Differencing alone deletes sentences that two articles happen to share and leaves templates that differ
 from page to page, so what the markup itself says is heeded too: a line within an article or main
@@ -13,8 +19,8 @@ notices, adverts, forms or comments, by their name, role or class, go from anywh
 all other lines, also on pages that have an article.
 
 Defined cases: a null or empty html has an empty text; a null url is a host and path of its own; unclosed
-elements end with the page; repeated rows are copies of each other; a host with one page keeps its
-lines but for the marked ones; an empty table gives an empty result; html of any length is read whole.
+elements end with the page; repeated rows are copies of each other; pages without lines are no
+neighbours; a host with one distinct page keeps its lines but for the marked ones; an empty table gives an empty result; html of any length is read whole.
 Extra columns are not looked at.
 """
 
@@ -22,10 +28,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from html import unescape
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,11 +40,11 @@ from pyspark.sql import functions as F
 
 from slopeworks.llm import base
 
-#: Neighbours on either side that may be compared, nearest first.
+#: Distinct pages on either side that are compared at first, nearest first.
 REACH = 3
-#: Pages of a range at least, so that all but the pages at its ends see both sides; those see one.
-RANGE = 256
-#: A neighbour with more than this share of the page's characters is a copy.
+#: Distinct pages that are compared together; REACH more on either side are seen with them.
+BUCKET = 64
+#: A neighbour with more than this share of the page's characters may be a copy.
 COPY = 0.8
 
 _TOKEN = re.compile(
@@ -150,9 +157,9 @@ def lines_of(html: str) -> list[Line]:
     return found
 
 
-def common(a: list[str], b: list[str]) -> set[int]:
+def common(a: list, b: list) -> set[int]:
     """The positions in ``a`` of a longest common subsequence with ``b``, as the longest rising run of matches."""
-    places: dict[str, list[int]] = {}
+    places: dict = {}
     for k in range(len(b) - 1, -1, -1):
         places.setdefault(b[k], []).append(k)
     ends: list[int] = []
@@ -173,70 +180,161 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
+def shared_lines(lines: list, sizes: list[int], others: list[list]) -> tuple[int, set[int]]:
+    """Which of the others, nearest first, is taken (-1 where there is none), and the positions of the lines shared with it."""
+    whole, best, at = sum(sizes), None, -1
+    for k, other in enumerate(others):
+        same = common(lines, other)
+        size = sum(sizes[i] for i in same)
+        if size <= COPY * whole:
+            return k, same
+        if best is None or size < best[0]:
+            best, at = (size, same), k
+    return at, best[1] if best else set()
+
+
 def main_text(page: list[Line], neighbours: list[list[Line]]) -> str:
-    """The page's text without lines that it shares with the nearest neighbour that is no copy of it, and without marked ones."""
+    """The page's text without lines that it shares with one of its neighbours, nearest first, and without marked ones."""
     texts = [x.text for x in page]
-    whole = sum(map(len, texts))
-    shared: set[int] = set()
-    for other in neighbours:
-        same = common(texts, [x.text for x in other])
-        if sum(len(texts[k]) for k in same) <= COPY * whole:
-            shared = same
-            break
+    others = [other for n in neighbours if (other := [x.text for x in n]) and other != texts]
+    _, shared = shared_lines(texts, [len(t) for t in texts], others)
     return " ".join(x.text for k, x in enumerate(page) if not x.aside and (x.main or k not in shared))
 
 
+def _unmarked(html: str | None) -> list[Line]:
+    return [x for x in lines_of(html or "") if not x.aside]
+
+
+def _hash(text: str, size: int) -> bytes:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=size).digest()
+
+
+def _key(lines: list[Line]) -> bytes:
+    """Names the page's list of lines; no line has a line break in it."""
+    return _hash("\n".join(x.text for x in lines), 16)
+
+
+def _outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's lines as hashes with their lengths, and whether differencing has any of them to decide."""
+    for batch in batches:
+        pages = [_unmarked(h) for h in batch.column(2).to_pylist()]
+        hashes = pa.array([[int.from_bytes(_hash(x.text, 8), "little", signed=True) for x in page] for page in pages], pa.list_(pa.int64()))
+        sizes = pa.array([[len(x.text) for x in page] for page in pages], pa.list_(pa.int64()))
+        free = pa.array([any(not x.main for x in page) for page in pages], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(_key, pages), pa.binary()), hashes, sizes, free], names=["id", "url", "key", "lines", "sizes", "free"])
+
+
+def _settled_by_markup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of pages without lines for differencing to decide."""
+    for batch in batches:
+        rows = [(key, url, page) for key, url, html in zip(*(c.to_pylist() for c in batch.columns)) for page in [_unmarked(html)] if all(x.main for x in page)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows], pa.string()), pa.array([" ".join(x.text for x in r[2]) for r in rows], pa.string())], names=["id", "url", "text"])
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page's lines that nothing marks as aside; the others would be shuffled for nothing."""
+    """The other pages' lines that nothing marks as aside; those would be shuffled for nothing."""
     for batch in batches:
-        lines = [[x for x in lines_of(h or "") if not x.aside] for h in batch.column(2).to_pylist()]
-        texts = pa.array([[x.text for x in page] for page in lines], pa.list_(pa.string()))
-        mains = pa.array([[x.main for x in page] for page in lines], pa.list_(pa.bool_()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, mains], names=["id", "url", "lines", "mains"])
+        rows = [(key, url, page) for key, url, html in zip(*(c.to_pylist() for c in batch.columns)) for page in [_unmarked(html)] if not all(x.main for x in page)]
+        texts = pa.array([[x.text for x in r[2]] for r in rows], pa.list_(pa.string()))
+        mains = pa.array([[x.main for x in r[2]] for r in rows], pa.list_(pa.bool_()))
+        ids, urls = pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows], pa.string())
+        yield pa.RecordBatch.from_arrays([ids, urls, pa.array([_key(r[2]) for r in rows], pa.binary()), texts, mains], names=["id", "url", "key", "lines", "mains"])
 
 
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    near: deque = deque()  # (host, id, url, lines) of pages behind, at and ahead of the next to come out
-    done = 0  # how many of them are behind
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for lines, mains, shared in zip(*(batch.column(c).to_pylist() for c in ("lines", "mains", "shared"))):
+            gone = set(shared or ())
+            texts.append(" ".join(t for k, (t, m) in enumerate(zip(lines, mains)) if m or k not in gone))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
+
 
-    def out() -> tuple:
-        host, key, url, lines = near[done]
-        order = sorted((k for k in range(len(near)) if k != done and near[k][0] == host), key=lambda k: (abs(k - done), k))
-        return key, url, main_text(lines, [near[k][3] for k in order])
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages of each bucket against those within reach: whether all share most of the page, and which decides."""
+    rows = (dict(zip(batch.schema.names, row)) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    for bucket, group in groupby(rows, key=lambda r: r["bucket"]):
+        pages, out = list(group), []
+        for at, page in enumerate(pages):
+            if page["rank"] // BUCKET != bucket:
+                continue
+            order = sorted((k for k in range(max(0, at - REACH), min(len(pages), at + REACH + 1)) if k != at and pages[k]["host"] == page["host"]), key=lambda k: (abs(k - at), k))
+            k, shared = shared_lines(page["lines"], page["sizes"], [pages[k]["lines"] for k in order])
+            size = sum(page["sizes"][i] for i in shared)
+            out.append((page["rank"], page["host"], page["key"], page["free"], size > COPY * sum(page["sizes"]), pages[order[k]]["rank"] if order else None, size, sorted(shared)))
+        kinds = (pa.int64(), pa.string(), pa.binary(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["rank", "host", "key", "free", "open", "choice", "size", "shared"])
 
-    def emit(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], schema.field("id").type), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["id", "url", "text"])
 
-    schema = None
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What pages share with those from farther away."""
     for batch in batches:
-        schema, rows = batch.schema, []
-        for host, key, url, lines, mains in zip(*(batch.column(c).to_pylist() for c in ("host", "id", "url", "lines", "mains"))):
-            near.append((host, key, url, [Line(t, m, False) for t, m in zip(lines, mains)]))
-            if len(near) - done > REACH:
-                rows.append(out())
-                done += 1
-                if done > REACH:
-                    near.popleft()
-                    done -= 1
-        if rows:
-            yield emit(rows, schema)
-    rows = []
-    while done < len(near):
-        rows.append(out())
-        done += 1
-    if rows:
-        yield emit(rows, schema)
+        found = [(sum(sizes[i] for i in same), sum(sizes), sorted(same)) for lines, sizes, other in zip(*(batch.column(c).to_pylist() for c in ("lines", "sizes", "other"))) for same in [common(lines, other)]]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("rank"), batch.column("distance"), pa.array([f[0] <= COPY * f[1] for f in found], pa.bool_()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int32()))],
+            names=["rank", "distance", "good", "size", "shared"],
+        )
+
+
+def _beyond(held: DataFrame, step: int) -> DataFrame:
+    """(rank, ptr) for open pages: the first rank in the direction of ``step`` that is not open, by doubled pointers."""
+    moved = base.settled(held.select("rank", (F.col("rank") + step).alias("ptr")))
+    while True:
+        further = moved.select(F.col("rank").alias("ptr"), F.col("ptr").alias("further"))
+        joined = base.settled(moved.join(further, "ptr", "left").select("rank", F.coalesce("further", "ptr").alias("ptr"), F.col("further").isNotNull().alias("went")))
+        if joined.filter("went").isEmpty():
+            return joined.select("rank", "ptr")
+        moved = joined.select("rank", "ptr")
+
+
+def _resolved(ranked: DataFrame, found: DataFrame) -> DataFrame:
+    """``found``, where open pages are compared with what closed pages farther away offer as well."""
+    held = found.filter("open").select("rank", "host", "free")
+    ends = _beyond(held, -1).unionByName(_beyond(held, 1)).join(held.filter("free"), "rank")
+    closed = found.filter("not open").select(F.col("rank").alias("ptr"), "host", "choice")
+    ends = ends.join(closed, ["ptr", "host"]).select("rank", F.explode(F.array_compact(F.array("ptr", "choice"))).alias("other_rank")).filter("rank <> other_rank").distinct()
+    other = ranked.select(F.col("rank").alias("other_rank"), F.col("lines").alias("other"))
+    pairs = ends.join(ranked.select("rank", "lines", "sizes"), "rank").join(other, "other_rank")
+    pairs = pairs.select("rank", F.abs(F.col("rank") - F.col("other_rank")).alias("distance"), "lines", "sizes", "other")
+    near = found.filter("open and free").select("rank", F.abs(F.col("rank") - F.col("choice")).alias("distance"), F.lit(False).alias("good"), "size", "shared")
+    tried = pairs.mapInArrow(_paired, "rank long, distance long, good boolean, size long, shared array<int>").unionByName(near)
+    order = F.struct(~F.col("good"), F.when(F.col("good"), F.col("distance")).otherwise(F.col("size")), F.col("distance"), F.col("shared"))
+    best = tried.groupBy("rank").agg(F.min_by("shared", order).alias("better"))
+    return found.join(best, "rank", "left").withColumn("shared", F.coalesce("better", "shared"))
+
+
+def _ranked(outlines: DataFrame) -> DataFrame:
+    """Distinct pages, numbered without gaps by host, path and id in ranges that are counted first."""
+    at = F.struct("path", "id")
+    pages = outlines.filter(F.size("lines") > 0).groupBy("host", "key").agg(F.min(at).alias("at"), F.first("lines").alias("lines"), F.first("sizes").alias("sizes"), F.max("free").alias("free"))
+    pages, order = base.settled(pages), ["host", "at", "key"]
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = pages.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = base.settled(ranged.withColumn("part", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = {r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()}
+    before = [0, *accumulate(counts.get(k, 0) for k in range(max(counts, default=0) + 1))]
+    offsets = F.array(*(F.lit(n).cast("long") for n in before))
+    return ranged.withColumn("rank", F.get(offsets, F.col("part")) + F.col("k")).select("rank", "host", "key", "free", "lines", "sizes")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row per page: its id, ``url`` and main ``text``."""
-    spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = rows.schema["id"].dataType.simpleString()
-    rows = rows.mapInArrow(_parsed, f"id {kind}, url string, lines array<string>, mains array<boolean>")
     host = F.lower(F.regexp_extract("url", r"^[^:/?#]+://([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
-    rows = rows.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), pages.count() // RANGE))
-    sorted_rows = rows.repartitionByRange(parts, "host", "path", "id").sortWithinPartitions("host", "path", "id").select("host", "id", "url", "lines", "mains")
-    return sorted_rows.mapInArrow(_extracted, f"id {kind}, url string, text string").withColumnRenamed("id", id_col)
+    on_host = lambda df: df.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
+    ranked = _ranked(on_host(rows.mapInArrow(_outlined, f"id {kind}, url string, key binary, lines array<long>, sizes array<long>, free boolean")))
+    settled = rows.mapInArrow(_settled_by_markup, f"id {kind}, url string, text string").withColumnRenamed("id", id_col)
+    if ranked.filter("free").isEmpty():
+        return settled
+    bucket = lambda c: F.floor((F.col("rank") + c) / BUCKET)
+    spread = ranked.withColumn("bucket", F.explode(F.sequence(bucket(-REACH), bucket(REACH))))
+    spread = spread.repartition("bucket").sortWithinPartitions("bucket", "rank").select("bucket", "rank", "host", "key", "free", "lines", "sizes")
+    found = base.settled(spread.mapInArrow(_compared, "rank long, host string, key binary, free boolean, open boolean, choice long, size long, shared array<int>"))
+    if not found.filter("open and free").isEmpty():
+        found = _resolved(ranked, found)
+    masks = found.filter("free").select("host", "key", "shared")
+    parsed = on_host(rows.mapInArrow(_parsed, f"id {kind}, url string, key binary, lines array<string>, mains array<boolean>"))
+    cut = parsed.join(masks, ["host", "key"], "left").select("id", "url", "lines", "mains", "shared").mapInArrow(_cut, f"id {kind}, url string, text string")
+    return settled.unionByName(cut.withColumnRenamed("id", id_col))

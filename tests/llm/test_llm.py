@@ -287,6 +287,36 @@ def test_differencing_decides_outside_of_articles(spark):
     assert {r["page_id"]: r["text"] for r in htmltext.extract(pages).collect()} == {k: f"Story {k}, told at some length here Teaser" for k in (1, 2)}
 
 
+def html_texts(spark, rows):
+    return {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_copies_at_adjacent_urls_do_not_hide_the_template(spark):
+    page = lambda body: f"<div>Top bar of the site</div><div>{body}</div><div>All rights reserved</div>"
+    story = "A story that was syndicated far and wide, long enough to be most of the page by far, and told to its end. " * 3
+    copies = [(k, f"http://a.b/x/{100 + k}", page(story)) for k in range(12)]
+    near = [(k, f"http://a.b/x/{100 + k}", page(f"{story}</div><div>{k}")) for k in range(20, 40)]
+    got = html_texts(spark, [*copies, *near, (50, "http://a.b/x/099", page("Before")), (51, "http://a.b/x/190", page("After"))])
+    assert got == {k: story.strip() for k in range(12)} | {k: f"{story}{k}" for k in range(20, 40)} | {50: "Before", 51: "After"}
+
+
+def test_short_articles_lose_a_long_template(spark):
+    page = lambda k: f"<div>{'The same words on each page of this site. ' * 5}</div><div>News {k}</div><div>All rights reserved</div>"
+    assert html_texts(spark, [(k, f"http://a.b/x/{k}", page(k)) for k in range(30)]) == {k: f"News {k}" for k in range(30)}
+
+
+def test_results_do_not_change_with_partitions(spark):
+    rnd = random.Random(5)
+    body = lambda: "".join(f"<p>{rnd.choice('abcd') * rnd.randrange(1, 30)}</p>" for _ in range(rnd.randrange(6)))
+    rows = [(k, f"http://{rnd.choice('ab')}.c/{rnd.randrange(99)}", f"<p>Top of site</p>{body()}") for k in range(700)]
+    found = []
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found.append(html_texts(spark, rows))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] and len(found[0]) == 700
+
+
 def test_common_subsequence_is_longest():
     rnd = random.Random(9)
     for _ in range(200):
