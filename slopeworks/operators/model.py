@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slopeworks.functions.scalar import PRESETS, rint_at, tier
+from slopeworks.runtime import settled
 
 
 def load_model(text: str) -> dict:
@@ -75,17 +76,36 @@ def leave_one_group_out(df: DataFrame, group: str, label: str) -> DataFrame:
     return rows.withColumn("weight", F.when(F.col(label) == 1, 1.0).otherwise(F.col("n_pos") / F.greatest(F.col("n_unl"), F.lit(1))))
 
 
+def cumulated(by: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums by score ``s`` with ``tp`` and ``fp`` (of ``pos`` and ``neg`` from the highest score down to it) and ``p_all`` and ``n_all``.
+
+    Scores are dealt out in ranges that are summed each, and the sums above a range come from the few sums of ranges.
+    """
+    parts = int(by.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(by.repartitionByRange(parts, *keys, F.desc("s")).withColumn("_range", F.spark_partition_id()))
+    above, total = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    sums = ranged.groupBy("_range", *keys).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    sums = sums.withColumns({"_pos_above": F.sum("_pos").over(above), "_neg_above": F.sum("_neg").over(above), "p_all": F.sum("_pos").over(total), "n_all": F.sum("_neg").over(total)})
+    names = {k: f"_key{n}" for n, k in enumerate(keys)}
+    met = F.col("_range") == F.col("_of")
+    for k, name in names.items():
+        met = met & F.col(k).eqNullSafe(F.col(name))
+    sums = sums.drop("_pos", "_neg").withColumnsRenamed(names | {"_range": "_of"})
+    down, zero = Window.partitionBy("_range", *keys).orderBy(F.desc("s")), F.lit(0.0)
+    rows = ranged.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)}).join(sums, met)
+    return rows.withColumns({"tp": F.coalesce("tp", zero) + F.coalesce("_pos_above", zero), "fp": F.coalesce("fp", zero) + F.coalesce("_neg_above", zero)})
+
+
 def metrics(df: DataFrame, label: str, probability: str, keys: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """ROC-AUC, average precision, Brier score, confusion counts, precision, recall and F1; null where one class is missing.
 
-    Rows are first summed by distinct score, so ties take no window over rows.
+    Rows are first summed by distinct score, so ties take no window over rows. Distinct scores are summed in
+    ranges, so no task holds all of them.
     """
     keys = keys or []
     y, p = F.col(label).cast("double"), F.col(probability).cast("double")
     by = df.groupBy(*keys, p.alias("s")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"), F.sum(F.pow(p - y, 2)).alias("loss"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("s"))
-    total = Window.partitionBy(*keys)
-    w = by.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "p_all": F.sum("pos").over(total), "n_all": F.sum("neg").over(total)})
+    w = cumulated(by, keys)
     high = F.col("s") >= threshold
     one = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
     out = w.groupBy(*keys).agg(

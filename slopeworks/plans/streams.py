@@ -18,7 +18,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
 
 
-def _checkpoint(spark: SparkSession, name: str) -> str:
+def _folder(spark: SparkSession, name: str) -> str:
     settled(spark.range(1))  # names a shared folder where the session has none
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{folder}/{name}-{uuid.uuid4().hex}"
@@ -26,15 +26,13 @@ def _checkpoint(spark: SparkSession, name: str) -> str:
 
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stream(spark, sf_dir).select("user_id", "ts", "event_id", "event_type", "value")
-    name = f"latest_{uuid.uuid4().hex}"
-    return sensors.run_to_end(sensors.latest_stream(rows, ["user_id"], ["ts", "event_id"]), name, _checkpoint(spark, name), "complete").drop("ts")
+    return sensors.run_to_end(sensors.latest_stream(rows, ["user_id"], ["ts", "event_id"]), _folder(spark, "latest"), "complete").drop("ts")
 
 
 def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events arrive in the order of their ids, which is that of their times."""
     rows = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("user_key"), "event_id", S.moisture_band(F.col("value")).alias("band"))
-    name = f"history_{uuid.uuid4().hex}"
-    out = sensors.run_to_end(sensors.change_stream(rows, "user_key", "event_id", "band"), name, _checkpoint(spark, name), "append")
+    out = sensors.run_to_end(sensors.change_stream(rows, "user_key", "event_id", "band"), _folder(spark, "history"), "append")
     return out.select(F.col("user_key").cast("long").alias("user_id"), "event_id", "band")
 
 

@@ -72,11 +72,26 @@ def change_stream(stream: DataFrame, key: str, order: str, signature: str) -> Da
     return slim.groupBy(key).applyInPandasWithState(step, schema, "before string, seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(result: DataFrame, name: str, checkpoint: str, mode: str) -> DataFrame:
-    """Drains what is available into a table in memory, for tests and small results."""
-    query = result.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return result.sparkSession.table(name)
+def run_to_end(result: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Drains what is available into Parquet files in ``folder``, which executors write and read; no row comes to the driver.
+
+    In append mode all batches' rows count; in complete mode each batch is the whole result, and the last one counts.
+    """
+    spark, out = result.sparkSession, f"{folder}/rows"
+    writer = result.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        spark.createDataFrame([], result.schema).write.parquet(out)  # what is read if the stream is empty
+        query = writer.format("parquet").option("path", out).start()
+        query.awaitTermination()
+        return spark.read.schema(result.schema).parquet(out)
+    last: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        last[:] = [number]
+
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{out}/{last[0]}") if last else spark.createDataFrame([], result.schema)
 
 
 def write_split(batch: DataFrame, _: int, good: str, bad: str) -> None:

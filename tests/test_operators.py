@@ -3,12 +3,14 @@
 import datetime as dt
 import heapq
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from slopeworks.functions import scalar as S
 from slopeworks.operators import catalog, geometry, joins, model, quality, raster, serving, state, timeseries, warnings
+from slopeworks.plans import streams
 from slopeworks.sources import readers, sinks
 from slopeworks.streaming import sensors
 
@@ -251,6 +253,23 @@ def test_single_class_metrics_are_null(spark):
     assert got["roc_auc"] is None and got["average_precision"] is None and got["tp"] == 1
 
 
+def test_metrics_sum_scores_in_ranges(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "b", None]), float(rnd.random() < 0.4), rnd.choice([rnd.random(), 0.25, 0.5])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k string, y double, p double")
+    by = df.groupBy(F.col("p").alias("s")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    assert model.cumulated(by, []).select("_range").distinct().count() > 1
+    for keys in ([], ["k"]):
+        got = {r[keys[0]] if keys else 0: r for r in model.metrics(df, "y", "p", keys).collect()}
+        assert len(got) == (3 if keys else 1)
+        for k, r in got.items():
+            part = [x[1:] for x in rows if not keys or x[0] == k]
+            pos, neg = [p for y, p in part if y], [p for y, p in part if not y]
+            auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)
+            ap = sum(sum(q >= p for q in pos) / sum(q >= p for _, q in part) for p in pos) / len(pos)
+            assert r["roc_auc"] == pytest.approx(auc) and r["average_precision"] == pytest.approx(ap)
+
+
 def test_training_separates_classes(spark):
     rows = spark.createDataFrame([(float(k % 2), float(k % 2) + 0.1 * k, 1.0) for k in range(20)], "label double, x double, weight double")
     for kind in ("logistic", "forest"):
@@ -271,6 +290,18 @@ def test_catalog_status(spark):
 # --- sources, sinks, streams
 
 
+def test_streams_come_from_files_and_not_from_the_driver(spark, sf_dir):
+    for query in streams.QUERIES.values():
+        assert query(spark, sf_dir).inputFiles()
+
+
+def test_an_empty_stream_has_no_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("k long, v long").parquet(str(tmp_path / "in"))
+    assert sensors.run_to_end(stream, str(tmp_path / "a"), "append").count() == 0
+    assert sensors.run_to_end(stream.groupBy("k").count(), str(tmp_path / "b"), "complete").count() == 0
+
+
 def test_csv_keeps_literals_and_drops_the_mark(spark, tmp_path):
     (tmp_path / "a.csv").write_text("﻿code,name\nNA,\n001,x\n", encoding="utf-8")
     rows = readers.csv_text(spark, str(tmp_path / "a.csv"))
