@@ -75,6 +75,21 @@ def link_points(points: DataFrame, polygons: DataFrame, point_id: str, code: str
     return points.join(found, point_id, "left").withColumn("match_status", status).withColumn(code, F.when(status == "EXACT", F.col("_code"))).drop("n_contains", "n_touches", "_code")
 
 
+def exact_code_polygons(polygons: DataFrame, villages: DataFrame) -> DataFrame:
+    """Polygons whose village, district and sub-district codes (vlcode, dtcode, sdcode) are those of one village, for ``link_points``."""
+    keys = villages.select(F.col("village_lgd_code").alias("vlcode"), F.col("district_lgd_code").alias("dtcode"), F.col("taluk_lgd_code").alias("sdcode"))
+    return polygons.join(keys, ["vlcode", "dtcode", "sdcode"], "left_semi")
+
+
+def geometry_summary(polygons: DataFrame, valid: Column, parts: str = "parts") -> DataFrame:
+    """One row: records, valid and invalid ones, those of several parts, and parts. ``valid`` is the source's flag; no geometry is invalid."""
+    good = F.col(parts).isNotNull() & F.coalesce(valid, F.lit(False))
+    size = F.coalesce(F.array_size(parts), F.lit(0))
+    return polygons.agg(
+        F.count("*").alias("records"), F.count_if(good).alias("valid"), F.count_if(~good).alias("invalid"), F.count_if(size > 1).alias("multipart"), F.coalesce(F.sum(size), F.lit(0)).alias("polygon_parts")
+    )
+
+
 def zonal(cells: DataFrame, polygons: DataFrame, code: str, values: list[str], cell: float = 8.0) -> DataFrame:
     """Count, mean, least and greatest of raster values over the cells (centres x, y) inside of each polygon."""
     boxed = by_cell(with_box(polygons).select(code, "_edges", "_x1", "_x2", "_y1", "_y2"), cell)

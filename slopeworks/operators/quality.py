@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slopeworks.functions.scalar import blank_to_null, finite
+from slopeworks.functions.scalar import blank_to_null, coordinate_status, finite
 from slopeworks.operators.joins import duplicate_keys, enforce
 
 __all__ = ["Rule", "check", "duplicate_keys", "enforce", "enforce_rules", "outside", "profile", "report"]
@@ -97,3 +97,32 @@ def constant_within(df: DataFrame, keys: list[str], columns: list[str]) -> DataF
 
 def expected_count(df: DataFrame, n: int) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") != n)
+
+
+VERIFICATION = ("verified", "unverified", "needs_review")
+OPERATIONAL = ("operational", "not_operational", "unknown")
+
+
+def shelters(rows: DataFrame, villages: DataFrame, extent: tuple[float, float, float, float] | None) -> DataFrame:
+    """Shelter rows (all text) checked and typed; fails on a missing or repeated id, an unknown status or text that is no number.
+
+    A verified shelter without source, date, or a coordinate within the extent (south, west, north, east) is one to review.
+    """
+    text = {c: blank_to_null(F.col(c)) for c in rows.columns}
+    status = {"verification_status": "needs_review", "operational_status": "unknown"}
+    r = rows.select(*(F.lower(F.coalesce(c, F.lit(status[n]))).alias(n) if n in status else c.alias(n) for n, c in text.items()))
+    no_number = lambda c, kind: F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull()
+    bad = (
+        F.when(F.col("shelter_id").isNull(), "id_missing").when(~F.col("verification_status").isin(*VERIFICATION), "verification_status")
+        .when(~F.col("operational_status").isin(*OPERATIONAL), "operational_status")
+        .when(no_number("latitude", "double") | no_number("longitude", "double") | no_number("capacity", "int"), "no_number")
+    )
+    enforce(r.select("shelter_id", bad.alias("reason")).filter("reason is not null"), "shelters break a rule")
+    enforce(duplicate_keys(r, ["shelter_id"]), "shelters share an id")
+    place = coordinate_status(F.col("latitude"), F.col("longitude"), extent) if extent else F.lit("needs_review")
+    sure = F.col("source").isNotNull() & F.col("verified_at").isNotNull() & (place == "valid")
+    r = r.withColumn("coordinate_status", place).withColumn("verification_status", F.when((F.col("verification_status") == "verified") & ~sure, "needs_review").otherwise(F.col("verification_status")))
+    r = r.withColumns({"latitude": F.col("latitude").cast("double"), "longitude": F.col("longitude").cast("double"), "capacity": F.col("capacity").cast("int")})
+    r = r.withColumn("operational", (F.col("verification_status") == "verified") & (F.col("operational_status") == "operational"))
+    named = villages.select("village_lgd_code", F.col("village_name_en").alias("village"), F.col("taluk_name_en").alias("_taluk"))
+    return r.join(named, "village_lgd_code", "left").withColumn("taluk", F.coalesce("taluk", "_taluk")).drop("_taluk")

@@ -54,3 +54,19 @@ def missing_days(df: DataFrame, keys: list[str], date: str, start: Column, end:
 
 def year_audit(df: DataFrame, date: str) -> DataFrame:
     return df.groupBy(F.year(date).alias("year")).agg(F.count("*").alias("n_rows"), F.count_distinct(F.to_date(date)).alias("n_dates"))
+
+
+def explicit_date(text: Column) -> Column:
+    """The date of text as year-month-day; null for anything else."""
+    raw = F.trim(text.cast("string"))
+    return F.try_to_timestamp(F.when(raw.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), raw), F.lit("yyyy-M-d")).cast("date")
+
+
+def temporal_status(events: DataFrame, rainfall_dates: DataFrame, reported: str = "reported_history_date", date: str = "date") -> DataFrame:
+    """Every event with its year, whether there is rainfall of that year, and whether there is of that date; no date is inferred."""
+    days = rainfall_dates.select(F.to_date(date).alias("_date")).filter("_date is not null").distinct().withColumn("_day", F.lit(True))
+    years = days.select(F.year("_date").alias("event_year")).distinct().withColumn("_year", F.lit(True))
+    rows = events.withColumn("_date", explicit_date(F.col(reported))).withColumn("event_year", F.year("_date"))
+    rows = rows.join(days, "_date", "left").join(years, "event_year", "left")
+    status = F.when(F.col("_date").isNull(), "EVENT_DATE_UNKNOWN").when(F.col("_day"), "RAINFALL_DATE_AVAILABLE").otherwise("RAINFALL_DATE_NOT_AVAILABLE")
+    return rows.select(*events.columns, "event_year", F.coalesce("_year", F.lit(False)).alias("rainfall_year_available"), status.alias("temporal_status"))

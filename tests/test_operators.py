@@ -245,6 +245,47 @@ def test_stream_threshold():
         raster.stream_threshold("invalid")
 
 
+# --- audits
+
+
+def test_temporal_status_of_explicit_dates_only(spark):
+    days = ["2024-07-01", "", " ", None, "2023-11-23", "2024-02-31", "2019", "2024-07-02"]
+    events = spark.createDataFrame(list(enumerate(days)), "serial int, reported_history_date string")
+    got = timeseries.temporal_status(events, spark.sql("select explode(array(date'2024-07-01', date'2024-07-01')) as date")).orderBy("serial").collect()
+    unknown, absent = "EVENT_DATE_UNKNOWN", "RAINFALL_DATE_NOT_AVAILABLE"
+    assert [r["temporal_status"] for r in got] == ["RAINFALL_DATE_AVAILABLE", unknown, unknown, unknown, absent, unknown, unknown, absent]
+    assert [r["rainfall_year_available"] for r in got] == [True] + [False] * 6 + [True]
+    assert [r["event_year"] for r in got] == [2024, None, None, None, 2023, None, None, 2024]
+
+
+def test_polygons_of_another_subdistrict_are_rejected(spark):
+    villages = spark.createDataFrame([("100", "587", "5756")], "village_lgd_code string, district_lgd_code string, taluk_lgd_code string")
+    square = [([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)], [])]
+    rows = [("100", "587", "5756", square), ("100", "587", "999", square), ("100", "1", "5756", square * 2), ("7", "587", "5756", None)]
+    shapes = spark.createDataFrame(rows, f"vlcode string, dtcode string, sdcode string, parts {geometry.PARTS}")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 2.0, 2.0)], "id int, x double, y double")
+    got = geometry.link_points(points, geometry.exact_code_polygons(shapes, villages), "id", "vlcode")
+    assert {r["id"]: (r["match_status"], r["vlcode"]) for r in got.collect()} == {1: ("EXACT", "100"), 2: ("NO_MATCH", None)}
+    assert tuple(geometry.geometry_summary(shapes, F.lit(True)).first()) == (4, 3, 1, 1, 4)
+
+
+def test_unproven_shelters_are_to_review(spark):
+    names = "shelter_id name type village_lgd_code taluk latitude longitude address capacity contact source last_updated verification_status verified_at operational_status".split()
+    villages = spark.createDataFrame([("1", "V", "T")], "village_lgd_code string, village_name_en string, taluk_name_en string")
+    proven = dict.fromkeys(names) | {"shelter_id": "a", "village_lgd_code": "1", "latitude": "11.4", "longitude": "76.7", "capacity": "20", "source": "s", "verification_status": " Verified", "verified_at": "2025-01-01", "operational_status": "operational"}
+    run = lambda *rows, extent=(11.0, 76.0, 12.0, 77.0): quality.shelters(spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ", ".join(f"{n} string" for n in names)), villages, extent)
+    others = [proven | {"shelter_id": c} | change for c, change in zip("bcdef", ({"source": " "}, {"verified_at": None}, {"latitude": ""}, {"latitude": "13"}, {"verification_status": None, "operational_status": ""}))]
+    got = {r["shelter_id"]: r for r in run(proven, *others).collect()}
+    assert {k: r["verification_status"] for k, r in got.items()} == {"a": "verified"} | dict.fromkeys("bcdef", "needs_review")
+    assert [k for k, r in got.items() if r["operational"]] == ["a"] and (got["a"]["village"], got["a"]["taluk"], got["a"]["capacity"]) == ("V", "T", 20)
+    assert run(proven, extent=None).first()["verification_status"] == "needs_review"
+    for wrong in ({"shelter_id": " "}, {"verification_status": "maybe"}, {"operational_status": "x"}, {"capacity": "many"}):
+        with pytest.raises(joins.CardinalityError):
+            run(proven | wrong)
+    with pytest.raises(joins.CardinalityError):
+        run(proven, proven)
+
+
 # --- models, serving, catalog
 
 
