@@ -11,9 +11,12 @@ from slopeworks.llm import base, langid, linededup, quality, queries, simjoin
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; a null label is filled with the prediction."""
+    """Documents whose text has a letter; a null label is filled with the prediction, if there are labels to learn from."""
     base.prepare(spark)
-    rows = langid.predict(docs, langid.learn(docs, F.lit(True)))
+    profiles = langid.learn(docs, F.lit(True))
+    if not profiles.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    rows = langid.predict(docs, profiles)
     name = rows.columns[-2]
     kept = rows.filter(F.col(name) != langid.UNKNOWN)
     if "lang" in docs.columns:

@@ -345,6 +345,12 @@ def test_null_and_repeated_ids(spark):
     assert sharding.assign(docs).count() == quality.ledger(docs).count() == 4
 
 
+def test_documents_without_any_label_are_kept(spark):
+    rows = [(1, "words of some language"), (2, "12 34 !"), (3, None), (4, "漢字")]
+    unlabelled = spark.createDataFrame([(k, t, None, "s", 1) for k, t in rows], DOCS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, unlabelled, "").collect()) == [1, 4]
+
+
 def test_line_dedup_sql(spark, sf_dir):
     got = {r["doc_id"]: tuple(r)[1:] for r in queries.op3_line_dedup(spark, sf_dir).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()}
     with duckdb.connect() as con:
