@@ -32,8 +32,10 @@ from slopeworks.llm import base
 #: Most labelled documents of a language that are learned from.
 SAMPLE = 1500
 RANKS = 300
-#: Letters that have a code of their own; rarer letters share the last code.
-LETTERS = 62
+#: Bits of a letter's code: as many as there are code points, so an n-gram is a long.
+BITS = 21
+#: The code of what separates words; those of letters are greater.
+MARK = 1
 UNKNOWN = "und"
 
 
@@ -63,15 +65,15 @@ def letter_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _coded(text: str, codes: np.ndarray) -> np.ndarray:
-    """The text as letter codes from 1, with one 0 before, between and after its words; empty without letters."""
+    """The text as letter codes, with one MARK before, between and after its words; empty without letters."""
     letter, low = _folded()
     x = _points(text)
     mask = letter[x]
-    out = np.where(mask, codes[low[x]], 0).astype(np.int64)
+    out = np.where(mask, codes[low[x]], MARK).astype(np.int64)
     keep = mask.copy()
     keep[1:] |= mask[:-1]  # of a run of separators, the one right after a letter stays
     out = out[keep]
-    return np.concatenate(([0], out, [0])) if mask.any() else np.zeros(0, np.int64)
+    return np.concatenate(([MARK], out, [MARK])) if mask.any() else np.zeros(0, np.int64)
 
 
 def gram_counts(text: str, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,10 +81,9 @@ def gram_counts(text: str, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     c = _coded(text, codes)
     if not len(c):
         return c, c
-    step = LETTERS + 2
-    one = c[c > 0]
-    two = (c[:-1] * step + c[1:] + step)[(c[:-1] > 0) | (c[1:] > 0)]
-    three = (c[:-2] * step * step + c[1:-1] * step + c[2:] + step * step + step)[c[1:-1] > 0]
+    one = c[c > MARK]
+    two = (c[:-1] << BITS | c[1:])[(c[:-1] > MARK) | (c[1:] > MARK)]
+    three = (c[:-2] << 2 * BITS | c[1:-1] << BITS | c[2:])[c[1:-1] > MARK]
     return np.unique(np.concatenate((one, two, three)), return_counts=True)
 
 
@@ -143,9 +144,10 @@ def learn(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     chosen = labelled.select("id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE).select("id", "lang").distinct()
     sample = base.settled(labelled.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", "text"))
     schema = "lang string, code long, n long"
-    letters = sample.mapInArrow(_counted(), schema).groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(LETTERS).collect()
-    codes = np.full(0x110000, LETTERS + 1, np.uint8)
-    codes[[r["code"] for r in letters]] = np.arange(1, len(letters) + 1, dtype=np.uint8)
+    letters = sample.mapInArrow(_counted(), schema).groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").collect()
+    # letters that no training document has share the last code, which is in no profile; at most as many rows as code points
+    codes = np.full(0x110000, len(letters) + MARK + 1, np.uint32)
+    codes[[r["code"] for r in letters]] = np.arange(MARK + 1, len(letters) + MARK + 1, dtype=np.uint32)
     grams = sample.mapInArrow(_counted(codes), schema).groupBy("lang", "code").agg(F.sum("n").alias("n"))
     places = grams.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("k") <= RANKS)
     found: dict[str, list[int]] = {}
@@ -158,7 +160,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Data
     """All rows and columns of ``docs`` with ``lang_pred`` and ``lang_score`` (underscores in front if the input has such)."""
     place = docs.columns.index(text_col)
     fresh = [base.free_name(docs, "lang_pred"), base.free_name(docs, "lang_score")]
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # of a fixed size: letters, languages times RANKS
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # of a fixed size: code points, languages times RANKS
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

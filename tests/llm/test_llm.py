@@ -191,6 +191,16 @@ def test_language_of_odd_texts(docs, empty):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.learn(empty, F.lit(True))).collect()} == {"und"}
 
 
+def test_rare_scripts_keep_their_letters_apart(spark):
+    latin = "".join(chr(c) for c in range(0x100, 0x180))
+    scripts = {"ar": "ابتثجحخدذرزس", "el": "αβγδεζηθικλμ", "he": "אבגדהוזחטיכל", "ka": "აბგდევზთიკლმ"}
+    words = lambda x, k: " ".join(x[(k + j) % len(x)] + x[(k + 2 * j) % len(x)] for j in range(20))
+    rows = [(k, words(latin, k) + f" {latin}" * 9, "la") for k in range(20)]
+    rows += [(100 * n + k, words(x, k), lang) for n, (lang, x) in enumerate(scripts.items(), 1) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(r["lang_pred"] == r["lang"] for r in langid.predict(docs, langid.learn(docs, F.lit(True))).collect())
+
+
 def test_packing_is_whole(docs):
     from tokenizers import Tokenizer
 
