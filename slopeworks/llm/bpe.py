@@ -7,6 +7,10 @@ ids of that number stand in one flat array. The automaton is a file of flat arra
 every executor, where workers map it into memory. Words that it lacks are merged exactly, pair by pair
 in order of rank. Decoding joins the tokens' strings as a tokenizer without a decoder does.
 
+Which characters are letters, digits or lower case depends on the Unicode version of who is asked. So
+chunks of plain ASCII are split here, and each distinct chunk with any other character is put in normal
+form and split into words by the tokenizer library's own tables; its words then take the same way as all others.
+
 Defined cases: a null or empty text has no ids and decodes to nothing; special tokens in a text keep
 their own ids; repeated rows are encoded each for itself; an empty table gives an empty result and an
 empty lexicon; a text of any length is encoded whole. Extra columns are not looked at.
@@ -14,13 +18,14 @@ empty lexicon; a text of any length is encoded whole. Extra columns are not look
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import tempfile
-import unicodedata
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +58,12 @@ class Tokenizer:
     """The parts of a tokenizer file that word-level BPE needs, read from the file."""
 
     def __init__(self, path: str):
+        import tokenizers
+
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
+        # of the library, only the steps before its model are asked
+        self.library = tokenizers.Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}))
         self.suffix = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -65,14 +74,17 @@ class Tokenizer:
         chars = byte_chars()
         self.first = [self.vocab[c] for c in chars]
         self.last = [self.vocab[c + self.suffix] for c in chars]
+        self.byte_of = {c: b for b, c in enumerate(chars)}
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
-    def normal(self, chunk: str) -> str:
-        """NFC, then each character's lower case by itself."""
-        chunk = unicodedata.normalize("NFC", chunk)
-        return chunk.lower() if "Σ" not in chunk else "".join(c.lower() for c in chunk)
+    def words_in(self, chunk: str) -> list[str]:
+        """The normalised words of text without white space."""
+        if chunk.isascii():
+            return self.words.findall(chunk.lower())
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
+        return [bytes([self.byte_of[c] for c in piece]).decode() for piece, _ in pieces]
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word: of all neighbours the pair of lowest rank is merged, from the left, until none is left."""
@@ -223,8 +235,7 @@ class Coder(dict):
 
     def learn(self, unseen: list[str]) -> None:
         tokenizer = self.tokenizer
-        normal, words_in = tokenizer.normal, tokenizer.words.findall
-        split = [[c] if c in tokenizer.special else words_in(normal(c)) for c in unseen]
+        split = [[c] if c in tokenizer.special else tokenizer.words_in(c) for c in unseen]
         self.look_up({w for ws in split for w in ws})
         known = self.words
         for chunk, ws in zip(unseen, split):
@@ -268,7 +279,7 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text")
             words: Counter = Counter()
             for chunk, n in total.items():
                 if chunk not in tokenizer.special:
-                    for w in tokenizer.words.findall(tokenizer.normal(chunk)):
+                    for w in tokenizer.words_in(chunk):
                         words[w] += n
             yield pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
             total.clear()
@@ -293,6 +304,11 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text")
     return [bytes(r["word"]) for r in words.filter(step >= least).select("word").collect()] if least is not None else []
 
 
+def _remove(path: str) -> None:
+    with suppress(OSError):
+        os.unlink(path)
+
+
 def build_lexicon(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> str:
     """The name of the compiled lexicon among the files that Spark hands to executors."""
     tokenizer = Tokenizer(tokenizer_path)
@@ -300,6 +316,7 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, text_col: str = "text")
     entries = [(w, tokenizer.merge(w.decode("utf-8", "surrogatepass"))) for w in words]
     fd, path = tempfile.mkstemp(prefix="lexicon-", suffix=".bin")
     os.close(fd)
+    atexit.register(_remove, path)  # executors fetch it from here as long as the driver lives
     write_lexicon(compile_lexicon(entries), path)
     docs.sparkSession.sparkContext.addFile(path)
     return os.path.basename(path)
