@@ -7,7 +7,8 @@ frequent n-grams: each counts how many places it is out of its place in the prof
 not there. The least distance wins; the score is how far it is from the greatest possible distance.
 
 Training takes at most SAMPLE labelled documents of each language, those whose hashed ids are the
-smallest, whole; prediction reads whole texts and nothing but the text.
+smallest, whole, and for rows that share id and language the least text; prediction reads whole texts and nothing but the
+text.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; ties between languages go
 to the first in alphabetical order, ties between n-grams to the smaller code; repeated rows are
@@ -32,6 +33,8 @@ from slopeworks.llm import base
 #: Most labelled documents of a language that are learned from.
 SAMPLE = 1500
 RANKS = 300
+#: Ids of a language that are put in order, as a multiple of SAMPLE: so many that fewer than SAMPLE never occur by chance.
+MARGIN = 4
 #: Bits of a letter's code: as many as there are code points, so an n-gram is a long.
 BITS = 21
 #: The code of what separates words; those of letters are greater.
@@ -136,13 +139,28 @@ class Profiles:
         return self.langs[best], 1.0 - float(distance[best]) / (RANKS * len(mine))
 
 
+def _sample(labelled: DataFrame) -> DataFrame:
+    """(lang, text) of at most SAMPLE documents of each language.
+
+    Hashes are tried below a bound that some MARGIN * SAMPLE ids of a language are under, so a frequent
+    language brings no more rows to its window than a rare one.
+    """
+    ids = base.settled(labelled.select("lang", "id", F.xxhash64("id").alias("h")).distinct())
+    total = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}  # a row for each language
+    if not total:
+        return labelled.select("lang", "text")
+    share = F.create_map(*(F.lit(x) for lang, n in total.items() for x in (lang, min(1.0, MARGIN * SAMPLE / n))))
+    low = ids.filter(F.col("h").cast("double") <= (2 * share[F.col("lang")] - 1) * float(2**63))
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    chosen = low.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE).select("id", "lang")
+    return labelled.join(F.broadcast(chosen), ["id", "lang"], "left_semi").groupBy("lang", "id").agg(F.min("text").alias("text")).select("lang", "text")
+
+
 def learn(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles from the rows of ``docs`` for which ``training`` holds and that have a label."""
     labelled = docs.filter(training & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     labelled = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = labelled.select("id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE).select("id", "lang").distinct()
-    sample = base.settled(labelled.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("lang", "text"))
+    sample = base.settled(_sample(labelled))
     schema = "lang string, code long, n long"
     letters = sample.mapInArrow(_counted(), schema).groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").collect()
     # letters that no training document has share the last code, which is in no profile; at most as many rows as code points
