@@ -1,10 +1,9 @@
 """Token counts of a unigram model by dynamic programming over a trie of distinct pre-tokens.
 
-A pre-token is a run of characters other than ASCII blanks, with the word mark in front. Each task takes
-the distinct pre-tokens it has not met yet in sorted order, which walks their trie depth first: the
-forward score and the token count of a prefix are computed once for all pre-tokens that begin with it,
-and kept only while the walk is below it. The count at the end of a pre-token is remembered, and a
-document's count is the sum over its pre-tokens.
+A pre-token is a run of characters other than ASCII blanks, with the word mark in front. A worker keeps
+one trie of all pre-tokens it has met: each node holds the best score and the token count of its
+prefix, which are computed once, when a pre-token first takes that way, from the nodes above it. The node
+at which a pre-token ends holds its count, and a document's count is the sum over its pre-tokens.
 
 The pieces are those of a SentencePiece file; as scores in a unigram model they get the logarithm of
 a Zipf prior over their order in the file. A character that is no piece costs one token per UTF-8 byte,
@@ -28,8 +27,8 @@ from pyspark.sql import functions as F
 from slopeworks.llm import base
 
 MARK = "▁"
-#: Distinct pre-tokens whose counts a worker remembers; beyond that it starts afresh.
-REMEMBERED = 600_000
+#: Nodes of a worker's trie; beyond that it starts afresh.
+NODES = 1_000_000
 
 
 def piece_scores(model_path: str) -> dict[str, float]:
@@ -43,7 +42,7 @@ def piece_scores(model_path: str) -> dict[str, float]:
 
 
 class Counter:
-    """Token counts of pre-tokens under the best segmentation."""
+    """Token counts of pre-tokens under the best segmentation, from a trie of those met so far."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
@@ -51,48 +50,62 @@ class Counter:
         self.longest: dict[str, int] = {}  # of the pieces that end in a character
         for p in scores:
             self.longest[p[-1]] = max(self.longest.get(p[-1], 0), len(p))
-        self.known: dict[bytes, int] = {}
-
-    def count(self, words: list[str]) -> list[int]:
-        """The counts of words in sorted order, sharing the forward scores of common prefixes."""
-        get, longest = self.scores.get, self.longest.get
-        best, tokens, last, out = [0.0], [0], "", []
-        for word in words:
-            same, most = 0, min(len(word), len(last))
-            while same < most and word[same] == last[same]:
-                same += 1
-            del best[same + 1 :], tokens[same + 1 :]
-            for at in range(same, len(word)):
-                end = at + 1
-                top, n = -inf, 0
-                for start in range(max(0, end - longest(word[at], 0)), end):
-                    score = get(word[start:end])
-                    if score is not None:
-                        score += best[start]
-                        if score > top or score == top and tokens[start] + 1 < n:
-                            top, n = score, tokens[start] + 1
-                if word[at] not in self.scores:
-                    score = best[at] + self.unknown
-                    if score > top:
-                        top, n = score, tokens[at] + len(word[at].encode("utf-8", "surrogatepass"))
-                best.append(top)
-                tokens.append(n)
-            out.append(tokens[-1])
-            last = word
-        return out
+        self.clear()
+
+    def clear(self) -> None:
+        """The trie with its root only: a node's child by ``node << 21 | code point``, and each node's values."""
+        self.child: dict[int, int] = {}
+        self.best, self.tokens = [0.0], [0]
+        self.known: dict[bytes, int] = {}  # terminal counts
+
+    def insert(self, word: str) -> int:
+        """The count of a word, after whatever its way through the trie lacked is there."""
+        child = self.child
+        node, way = 0, [0]
+        for c in word:
+            following = child.get(node << 21 | ord(c))
+            if following is None:
+                break
+            node = following
+            way.append(node)
+        if len(way) <= len(word):
+            self.extend(word, way)
+            node = way[-1]
+        return self.tokens[node]
+
+    def extend(self, word: str, way: list[int]) -> None:
+        """Nodes for the rest of the word after the nodes of ``way``: the best score and the token count of each prefix by those before it."""
+        child, best, tokens, get, longest, unknown = self.child, self.best, self.tokens, self.scores.get, self.longest.get, self.unknown
+        scores, counts = [best[k] for k in way], [tokens[k] for k in way]
+        for at in range(len(way) - 1, len(word)):
+            c, end = word[at], at + 1
+            top, n = -inf, 0
+            for start in range(max(0, end - longest(c, 0)), end):
+                score = get(word[start:end])
+                if score is not None:
+                    score += scores[start]
+                    if score > top or score == top and counts[start] + 1 < n:
+                        top, n = score, counts[start] + 1
+            if c not in self.scores:
+                score = scores[at] + unknown
+                if score > top:
+                    top, n = score, counts[at] + len(c.encode("utf-8", "surrogatepass"))
+            scores.append(top)
+            counts.append(n)
+            child[way[-1] << 21 | ord(c)] = len(best)
+            way.append(len(best))
+            best.append(top)
+            tokens.append(n)
 
     def of(self, texts: list[bytes]) -> tuple[list[int], list[int]]:
         """Tokens and pre-tokens of each text."""
         split = [x.split() for x in texts]
-        wanted = {w for ws in split for w in ws}
-        unseen = wanted.difference(self.known)
-        if len(self.known) + len(unseen) > REMEMBERED:
-            self.known.clear()
-            unseen = wanted
-        if unseen:
-            ordered = sorted(unseen)  # UTF-8 sorts as its code points do
-            self.known.update(zip(ordered, self.count([MARK + w.decode("utf-8", "surrogatepass") for w in ordered])))
-        return [sum(map(self.known.__getitem__, ws)) for ws in split], [len(ws) for ws in split]
+        if len(self.best) > NODES:
+            self.clear()
+        known, insert = self.known, self.insert
+        for w in {w for ws in split for w in ws}.difference(known):
+            known[w] = insert(MARK + w.decode("utf-8", "surrogatepass"))
+        return [sum(map(known.__getitem__, ws)) for ws in split], [len(ws) for ws in split]
 
 
 _counters: dict[str, Counter] = {}
