@@ -7,15 +7,19 @@ quantiles of a sample, and a directory holds the least and greatest distance in
 triangle inequality bounds from below its distance to all of an annulus. The annuli of least bounds are
 searched first, which gives a score that the k-th best cannot be under; of all others, only those
 are searched that this score does not rule out. Blocks of vectors meet blocks of queries in an equal
-join on the annulus, and their scores are exact integers.
+join on the annulus and a part of it that has a bounded number of blocks, and their scores are exact
+integers.
+
+What the bounds rule out depends on the data: of vectors in clusters most annuli, of independent
+components in many dimensions none, and then each query meets every vector.
 
 The pivots are fitted on SAMPLE vectors, those of the smallest hashed ids; every vector is indexed.
 
 Defined cases: a null vector, or one with null or non-finite components, takes no part; shorter vectors
 are taken as filled up with zeros; an all-zero vector has score 0 with all; rows that share a query's
 id are its own, and the query is asked once; ties go to the smaller id; an empty table gives an empty
-result; with fewer than k candidates all are returned. A null id takes no part. Extra columns are not
-looked at.
+result; with fewer than k candidates all are returned. An id that is null or no integer takes no part.
+Components and scores beyond 64 bits are taken as the nearest that fit. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ ANNULUS, MOST = 16_384, 256
 BLOCK = 512
 #: Candidates that the first round looks at, at least.
 FIRST = 256
+#: The greatest double that fits 64 bits.
+FAR = float(2**63 - 1024)
 
 
 def _quantised(scale: int):
@@ -50,7 +56,7 @@ def _quantised(scale: int):
                 v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if not np.isfinite(v).all():
                     continue
-                v = np.floor(scale * v).astype("<i8")
+                v = np.clip(np.floor(scale * v), -FAR, FAR).astype("<i8")
                 ids.append(key)
                 raw.append(v.tobytes())
                 norms.append(float((v.astype(np.float64) ** 2).sum()))
@@ -70,9 +76,13 @@ def matrix(raw: list[bytes], width: int) -> np.ndarray:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in double precision where that is exact."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
-    return np.rint(q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64) if most < 2**52 else q @ x.T
+    """Exact integer inner products, in double precision where that is exact, in integers of any size where 64 bits are too few."""
+    most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
+    if most < 2**52:
+        return np.rint(q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
+    if most < 2**62:
+        return q @ x.T
+    return np.clip(q.astype(object) @ x.T.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
 
 
 class Index:
@@ -115,7 +125,8 @@ class Index:
         d = self.distances(flat)[:, self.cell // self.rings]
         slack = 1e-6 * np.sqrt(self.norm2) + 1e-6  # for rounding of distances
         least = np.maximum(0, np.maximum(self.low - d, d - self.high) - slack)
-        return least, ((flat**2).sum(axis=1)[:, None] + self.norm2 - least**2) / 2 + 1
+        most = ((flat**2).sum(axis=1)[:, None] + self.norm2 - least**2) / 2 + 1 + 1e-9 * self.norm2
+        return least, np.maximum(most, -(2.0**63))
 
     def direct(self, rows: list) -> None:
         self.cell, self.low, self.high, self.n = (np.array([r[k] for r in rows], t) for k, t in enumerate((np.int64, np.float64, np.float64, np.int64)))
@@ -133,11 +144,16 @@ def _keyed(index):
 
 def _block(rows: pa.Table) -> pa.Table:
     raw = b"".join(rows.column("vector").to_pylist())
-    return pa.table({"cell": rows.column("cell").slice(0, 1), "ids": pa.array([np.array(rows.column("id").to_pylist(), "<i8").tobytes()]), "vectors": pa.array([raw])})
+    return pa.table({"cell": rows.column("cell").slice(0, 1), "part": rows.column("part").slice(0, 1), "ids": pa.array([np.array(rows.column("id").to_pylist(), "<i8").tobytes()]), "vectors": pa.array([raw])})
+
+
+def parts(n: int) -> int:
+    """How many parts an annulus of n vectors has, each with ANNULUS vectors or so."""
+    return max(1, -(-n // ANNULUS))
 
 
 def _asked(index, k: int, first: bool):
-    """Query blocks for the annuli that a round searches: (cell, ids, floors, vectors)."""
+    """Query blocks for the annuli that a round searches: (cell, part, ids, floors, vectors)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = index.value
@@ -158,15 +174,17 @@ def _asked(index, k: int, first: bool):
             rows = []
             for c in np.flatnonzero(wanted.any(axis=0)):
                 w = wanted[:, c]
-                rows.append((int(x.cell[c]), ids[w].astype("<i8").tobytes(), floors[w].astype("<i8").tobytes(), q[w].astype("<i8").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 3))] if rows else [pa.array([], t) for t in (pa.int64(), *[pa.binary()] * 3)], names=["cell", "query_ids", "floors", "queries"])
+                asked = ids[w].astype("<i8").tobytes(), floors[w].astype("<i8").tobytes(), q[w].astype("<i8").tobytes()
+                rows += [(int(x.cell[c]), part, *asked) for part in range(parts(int(x.n[c])))]
+            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["cell", "part", "query_ids", "floors", "queries"])
 
     return run
 
 
 def best(query: np.ndarray, key: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k best of each query, ties to the smaller key."""
-    order = np.lexsort((key, -score, query))
+    order = np.lexsort((key, ~score, query))  # the complement orders as the negative does, and always fits
     starts = np.flatnonzero(np.concatenate(([True], query[order][1:] != query[order][:-1]))) if len(order) else np.zeros(0, np.int64)
     rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
     return order[rank < k]
@@ -199,7 +217,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     """(query_id, rank, vec_id, score) of each query's k best; ``is_query`` is a condition on the column ``id``."""
     context = vectors.sparkSession.sparkContext
     schema = "query_id long, rank int, vec_id long, score long"
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x"))
+    rows = vectors.select(F.col(id_col).try_cast("long").alias("id"), F.col(vector_col).alias("x"))
     rows = base.settled(rows.mapInArrow(_quantised(scale), "id long, vector binary, norm2 double"))
     n, norm2, longest = rows.agg(F.count("*"), F.max("norm2"), F.max(F.octet_length("vector"))).first()
     if not n:
@@ -213,15 +231,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     extent = directory.collect()  # at most PIVOTS * MOST rows
     index.direct(extent)
     shared = context.broadcast(index)
-    chunks = F.broadcast(directory.select("cell", F.ceil(F.col("n") / BLOCK).alias("chunks")))
-    chunked = keyed.join(chunks, "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-    blocks = base.settled(chunked.groupBy("cell", "chunk").applyInArrow(_block, "cell long, ids binary, vectors binary"))
+    sizes = vectors.sparkSession.createDataFrame([(r["cell"], -(-r["n"] // BLOCK), parts(r["n"])) for r in extent], "cell long, chunks long, parts long")
+    chunked = keyed.join(F.broadcast(sizes), "cell").withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("chunks"))).withColumn("part", F.col("chunk") % F.col("parts"))
+    blocks = base.settled(chunked.groupBy("cell", "part", "chunk").applyInArrow(_block, "cell long, part long, ids binary, vectors binary"))
     queries = base.settled(keyed.filter(is_query).select("id", "vector").dropDuplicates(["id"]))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def found(asked: DataFrame, first: bool) -> DataFrame:
-        ask = asked.mapInArrow(_asked(shared, k, first), "cell long, query_ids binary, floors binary, queries binary")
-        met = ask.join(blocks, "cell").select("query_ids", "floors", "queries", "ids", "vectors")
+        ask = asked.mapInArrow(_asked(shared, k, first), "cell long, part long, query_ids binary, floors binary, queries binary")
+        met = ask.join(blocks, ["cell", "part"]).select("query_ids", "floors", "queries", "ids", "vectors")
         hits = met.mapInArrow(_scored(width, k), "query_id long, vec_id long, score long")
         return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
