@@ -9,18 +9,18 @@ either side that have found another, however far, and with what these have found
 of it, what it has besides its template is short, and the neighbour that leaves most of it decides; so where
 all pages of a host are nearly the same, what they share counts as template.
 
-Only hashes of lines (64 bits) are sorted and compared. Texts are shuffled only of pages that have lines
-for differencing to decide.
+All lines of a page take part, those of menus and footers as well. Only their hashes (64 bits) are sorted and
+compared; the texts that may stay meet the outcome in one join.
 
-Differencing alone deletes sentences that two articles happen to share and leaves templates that differ
-from page to page, so what the markup itself says is heeded too: a line within an article or main
-element is not deleted for being shared; lines in elements that are menus, headers, footers, sidebars,
-notices, adverts, forms or comments, by their name, role or class, go from anywhere. Differencing decides
-all other lines, also on pages that have an article.
+Differencing alone deletes sentences that two articles happen to share and leaves adverts, notices and comments that differ
+from page to page. So markup corrects it both ways: it vetoes the deletion of a line within an
+article or main element, and it deletes lines that differencing has left in elements that are menus, headers, footers,
+sidebars, notices, adverts, forms or comments by their name, role or class. ``n_shared`` counts the lines that
+differencing deleted, ``n_vetoed`` those that it would have, and ``n_marked`` those that only markup deleted.
 
 Defined cases: a null or empty html has an empty text; a null url is a host and path of its own; unclosed
 elements end with the page; repeated rows are copies of each other; pages without lines are no
-neighbours; a host with one distinct page keeps its lines but for the marked ones; an empty table gives an empty result; html of any length is read whole.
+neighbours; on a host with one distinct page only markup decides; an empty table gives an empty result; html of any length is read whole.
 Extra columns are not looked at.
 """
 
@@ -33,6 +33,7 @@ from dataclasses import dataclass
 from hashlib import blake2b
 from html import unescape
 from itertools import accumulate, groupby
+from zlib import compress, decompress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -193,16 +194,20 @@ def shared_lines(lines: list, sizes: list[int], others: list[list]) -> tuple[int
     return at, best[1] if best else set()
 
 
+def kept_lines(page: list[Line], shared: set[int]) -> tuple[list[int], int, int, int]:
+    """Positions of the lines that stay, and how many were deleted as shared, vetoed from that, and deleted by markup only."""
+    gone = {k for k in shared if not page[k].main}
+    left = [k for k in range(len(page)) if k not in gone]
+    kept = [k for k in left if not page[k].aside]
+    return kept, len(gone), len(shared) - len(gone), len(left) - len(kept)
+
+
 def main_text(page: list[Line], neighbours: list[list[Line]]) -> str:
-    """The page's text without lines that it shares with one of its neighbours, nearest first, and without marked ones."""
+    """The page's text by lines that it shares with one of its neighbours, nearest first, and by markup."""
     texts = [x.text for x in page]
     others = [other for n in neighbours if (other := [x.text for x in n]) and other != texts]
     _, shared = shared_lines(texts, [len(t) for t in texts], others)
-    return " ".join(x.text for k, x in enumerate(page) if not x.aside and (x.main or k not in shared))
-
-
-def _unmarked(html: str | None) -> list[Line]:
-    return [x for x in lines_of(html or "") if not x.aside]
+    return " ".join(texts[k] for k in kept_lines(page, shared)[0])
 
 
 def _hash(text: str, size: int) -> bytes:
@@ -215,39 +220,37 @@ def _key(lines: list[Line]) -> bytes:
 
 
 def _outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page's lines as hashes with their lengths, and whether differencing has any of them to decide."""
+    """Each page's lines as hashes with their lengths."""
     for batch in batches:
-        pages = [_unmarked(h) for h in batch.column(2).to_pylist()]
+        pages = [lines_of(h or "") for h in batch.column(2).to_pylist()]
         hashes = pa.array([[int.from_bytes(_hash(x.text, 8), "little", signed=True) for x in page] for page in pages], pa.list_(pa.int64()))
         sizes = pa.array([[len(x.text) for x in page] for page in pages], pa.list_(pa.int64()))
-        free = pa.array([any(not x.main for x in page) for page in pages], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(_key, pages), pa.binary()), hashes, sizes, free], names=["id", "url", "key", "lines", "sizes", "free"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(_key, pages), pa.binary()), hashes, sizes], names=["id", "url", "key", "lines", "sizes"])
 
 
-def _settled_by_markup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of pages without lines for differencing to decide."""
-    for batch in batches:
-        rows = [(key, url, page) for key, url, html in zip(*(c.to_pylist() for c in batch.columns)) for page in [_unmarked(html)] if all(x.main for x in page)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows], pa.string()), pa.array([" ".join(x.text for x in r[2]) for r in rows], pa.string())], names=["id", "url", "text"])
+#: What a line is, in a byte: no part of an article, within one, or marked.
+_PLAIN, _MAIN_LINE, _ASIDE_LINE, _ASIDE_IN_MAIN = range(4)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The other pages' lines that nothing marks as aside; those would be shuffled for nothing."""
+    """Each page's kinds of lines, and the text of those that nothing marks; others go whatever differencing says."""
     for batch in batches:
-        rows = [(key, url, page) for key, url, html in zip(*(c.to_pylist() for c in batch.columns)) for page in [_unmarked(html)] if not all(x.main for x in page)]
-        texts = pa.array([[x.text for x in r[2]] for r in rows], pa.list_(pa.string()))
-        mains = pa.array([[x.main for x in r[2]] for r in rows], pa.list_(pa.bool_()))
-        ids, urls = pa.array([r[0] for r in rows], batch.schema.field(0).type), pa.array([r[1] for r in rows], pa.string())
-        yield pa.RecordBatch.from_arrays([ids, urls, pa.array([_key(r[2]) for r in rows], pa.binary()), texts, mains], names=["id", "url", "key", "lines", "mains"])
+        pages = [lines_of(h or "") for h in batch.column(2).to_pylist()]
+        kinds = pa.array([bytes(2 * x.aside + x.main for x in page) for page in pages], pa.binary())
+        texts = pa.array([compress("\n".join(x.text for x in page if not x.aside).encode("utf-8", "surrogatepass"), 1) for page in pages], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(_key, pages), pa.binary()), kinds, texts], names=["id", "url", "key", "kinds", "texts"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for lines, mains, shared in zip(*(batch.column(c).to_pylist() for c in ("lines", "mains", "shared"))):
-            gone = set(shared or ())
-            texts.append(" ".join(t for k, (t, m) in enumerate(zip(lines, mains)) if m or k not in gone))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
+        found = []
+        for kinds, packed, shared in zip(*(batch.column(c).to_pylist() for c in ("kinds", "texts", "shared"))):
+            texts = iter(decompress(packed).decode("utf-8", "surrogatepass").split("\n"))
+            page = [Line("" if k >= _ASIDE_LINE else next(texts), k in (_MAIN_LINE, _ASIDE_IN_MAIN), k >= _ASIDE_LINE) for k in kinds]
+            kept, *counts = kept_lines(page, set(shared or ()))
+            found.append((" ".join(page[k].text for k in kept), *counts))
+        counts = [pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array([f[0] for f in found], pa.string()), *counts], names=["id", "url", "text", "n_shared", "n_vetoed", "n_marked"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,9 +264,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = sorted((k for k in range(max(0, at - REACH), min(len(pages), at + REACH + 1)) if k != at and pages[k]["host"] == page["host"]), key=lambda k: (abs(k - at), k))
             k, shared = shared_lines(page["lines"], page["sizes"], [pages[k]["lines"] for k in order])
             size = sum(page["sizes"][i] for i in shared)
-            out.append((page["rank"], page["host"], page["key"], page["free"], size > COPY * sum(page["sizes"]), pages[order[k]]["rank"] if order else None, size, sorted(shared)))
-        kinds = (pa.int64(), pa.string(), pa.binary(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["rank", "host", "key", "free", "open", "choice", "size", "shared"])
+            out.append((page["rank"], page["host"], page["key"], size > COPY * sum(page["sizes"]), pages[order[k]]["rank"] if order else None, size, sorted(shared)))
+        kinds = (pa.int64(), pa.string(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["rank", "host", "key", "open", "choice", "size", "shared"])
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,14 +292,14 @@ def _beyond(held: DataFrame, step: int) -> DataFrame:
 
 def _resolved(ranked: DataFrame, found: DataFrame) -> DataFrame:
     """``found``, where open pages are compared with what closed pages farther away offer as well."""
-    held = found.filter("open").select("rank", "host", "free")
-    ends = _beyond(held, -1).unionByName(_beyond(held, 1)).join(held.filter("free"), "rank")
+    held = found.filter("open").select("rank", "host")
+    ends = _beyond(held, -1).unionByName(_beyond(held, 1)).join(held, "rank")
     closed = found.filter("not open").select(F.col("rank").alias("ptr"), "host", "choice")
     ends = ends.join(closed, ["ptr", "host"]).select("rank", F.explode(F.array_compact(F.array("ptr", "choice"))).alias("other_rank")).filter("rank <> other_rank").distinct()
     other = ranked.select(F.col("rank").alias("other_rank"), F.col("lines").alias("other"))
     pairs = ends.join(ranked.select("rank", "lines", "sizes"), "rank").join(other, "other_rank")
     pairs = pairs.select("rank", F.abs(F.col("rank") - F.col("other_rank")).alias("distance"), "lines", "sizes", "other")
-    near = found.filter("open and free").select("rank", F.abs(F.col("rank") - F.col("choice")).alias("distance"), F.lit(False).alias("good"), "size", "shared")
+    near = found.filter("open").select("rank", F.abs(F.col("rank") - F.col("choice")).alias("distance"), F.lit(False).alias("good"), "size", "shared")
     tried = pairs.mapInArrow(_paired, "rank long, distance long, good boolean, size long, shared array<int>").unionByName(near)
     order = F.struct(~F.col("good"), F.when(F.col("good"), F.col("distance")).otherwise(F.col("size")), F.col("distance"), F.col("shared"))
     best = tried.groupBy("rank").agg(F.min_by("shared", order).alias("better"))
@@ -306,7 +309,7 @@ def _resolved(ranked: DataFrame, found: DataFrame) -> DataFrame:
 def _ranked(outlines: DataFrame) -> DataFrame:
     """Distinct pages, numbered without gaps by host, path and id in ranges that are counted first."""
     at = F.struct("path", "id")
-    pages = outlines.filter(F.size("lines") > 0).groupBy("host", "key").agg(F.min(at).alias("at"), F.first("lines").alias("lines"), F.first("sizes").alias("sizes"), F.max("free").alias("free"))
+    pages = outlines.filter(F.size("lines") > 0).groupBy("host", "key").agg(F.min(at).alias("at"), F.first("lines").alias("lines"), F.first("sizes").alias("sizes"))
     pages, order = base.settled(pages), ["host", "at", "key"]
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = pages.repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -314,27 +317,23 @@ def _ranked(outlines: DataFrame) -> DataFrame:
     counts = {r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()}
     before = [0, *accumulate(counts.get(k, 0) for k in range(max(counts, default=0) + 1))]
     offsets = F.array(*(F.lit(n).cast("long") for n in before))
-    return ranged.withColumn("rank", F.get(offsets, F.col("part")) + F.col("k")).select("rank", "host", "key", "free", "lines", "sizes")
+    return ranged.withColumn("rank", F.get(offsets, F.col("part")) + F.col("k")).select("rank", "host", "key", "lines", "sizes")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """A row per page: its id, ``url`` and main ``text``."""
+    """A row per page: its id, ``url``, main ``text``, and ``n_shared``, ``n_vetoed`` and ``n_marked`` lines."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = rows.schema["id"].dataType.simpleString()
     host = F.lower(F.regexp_extract("url", r"^[^:/?#]+://([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
     on_host = lambda df: df.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
-    ranked = _ranked(on_host(rows.mapInArrow(_outlined, f"id {kind}, url string, key binary, lines array<long>, sizes array<long>, free boolean")))
-    settled = rows.mapInArrow(_settled_by_markup, f"id {kind}, url string, text string").withColumnRenamed("id", id_col)
-    if ranked.filter("free").isEmpty():
-        return settled
+    ranked = _ranked(on_host(rows.mapInArrow(_outlined, f"id {kind}, url string, key binary, lines array<long>, sizes array<long>")))
     bucket = lambda c: F.floor((F.col("rank") + c) / BUCKET)
     spread = ranked.withColumn("bucket", F.explode(F.sequence(bucket(-REACH), bucket(REACH))))
-    spread = spread.repartition("bucket").sortWithinPartitions("bucket", "rank").select("bucket", "rank", "host", "key", "free", "lines", "sizes")
-    found = base.settled(spread.mapInArrow(_compared, "rank long, host string, key binary, free boolean, open boolean, choice long, size long, shared array<int>"))
-    if not found.filter("open and free").isEmpty():
+    spread = spread.repartition("bucket").sortWithinPartitions("bucket", "rank").select("bucket", "rank", "host", "key", "lines", "sizes")
+    found = base.settled(spread.mapInArrow(_compared, "rank long, host string, key binary, open boolean, choice long, size long, shared array<int>"))
+    if not found.filter("open").isEmpty():
         found = _resolved(ranked, found)
-    masks = found.filter("free").select("host", "key", "shared")
-    parsed = on_host(rows.mapInArrow(_parsed, f"id {kind}, url string, key binary, lines array<string>, mains array<boolean>"))
-    cut = parsed.join(masks, ["host", "key"], "left").select("id", "url", "lines", "mains", "shared").mapInArrow(_cut, f"id {kind}, url string, text string")
-    return settled.unionByName(cut.withColumnRenamed("id", id_col))
+    parsed = on_host(rows.mapInArrow(_parsed, f"id {kind}, url string, key binary, kinds binary, texts binary"))
+    met = parsed.join(found.select("host", "key", "shared"), ["host", "key"], "left").select("id", "url", "kinds", "texts", "shared")
+    return met.mapInArrow(_cut, f"id {kind}, url string, text string, n_shared long, n_vetoed long, n_marked long").withColumnRenamed("id", id_col)
