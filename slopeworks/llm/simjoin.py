@@ -1,15 +1,19 @@
 """Exact Jaccard links of shingle sets by universe partition and pigeonhole, and their components.
 
 Two sets of sizes r <= s with Jaccard at least 3/4 differ in at most H = (r + s) / 7 shingles. The
-universe of shingles is partitioned by hash into segments, as many as a set's size band calls for. If
-one of the two has more than H segments that are not empty, both hold exactly the same shingles in
-one of these. So each set indexes its subsets of all filled segments of its own band, and probes its
-own band and the next one down (where its smaller partners are) with no more than the pigeonhole
-needs: the H + 1 subsets of least cost, which are those with the most shingles that are not crowded. Shingles
-are counted over all documents in a table of fixed size to tell crowded ones; this bears on cost alone. Sets of which too
-few segments are filled (and with these the one-deletion neighbourhoods down to single shingles) index
-and probe every shingle too, which finds the pairs where both sides fall short. Small bands have
-segments of single shingles at once.
+universe of shingles is partitioned by hash into segments, as many as a set's size band calls for; a set
+has a subset in each segment that it fills, at the segments of its own band and, for its smaller partners, of
+the next band down. Each differing shingle spoils at most one subset of either set. So if one of the two
+fills more than H segments, they have a subset in common, and the first of those in an order that is the same for all sets is among
+the first H + 1 of each. Only these are indexed. The order is the allocation's cost: the subsets with the most
+shingles that are not crowded come first, as their lists are the shortest. Shingles are counted over all documents
+in a table of fixed size to tell crowded ones; this bears on cost alone.
+
+A set that fills only F <= H segments indexes all its subsets and their one-deletion neighbourhoods, the
+subsets less one shingle. It allots a second unit to H + 1 - F of its segments of least cost: of two
+such sets, one segment of those differs by at most one shingle or another by none, so that one's subset
+is the other's or in its neighbourhood. Where too few segments hold two shingles for that, the set
+indexes and probes its single shingles as well. Small bands have segments of single shingles at once.
 
 Subsets are shuffled as compact blocks per bucket of their hash. Within a bucket, sets that share a
 subset become candidates; candidates are screened by
@@ -45,19 +49,21 @@ BUCKET = 1_600_000
 BROADCAST = 1_000_000
 #: Subset hashes a task gathers before it emits a block for each bucket.
 GATHERED = 2_000_000
+#: Sets that a task remembers to index copies once.
+REMEMBERED = 500_000
 #: Sets of a long list that are compared with as many others at once, and words of sketches that a comparison holds.
 CHUNK, SCREENED = 4096, 1 << 22
 #: Cells that shingles are counted in to tell crowded ones: a bit each is broadcast, whatever the corpus's size.
 CELLS = 1 << 22
 #: Mean shingles in a segment, by the largest size of a band.
-LOADS = ((32, None), (128, 2.0), (512, 2.5), (1 << 62, 2.7))
+LOADS = ((32, None), (128, 1.9), (512, 2.2), (1 << 62, 2.4))
 
 
 def _bands() -> tuple[np.ndarray, np.ndarray]:
     """Largest size of each band (a partner of a band's set is in the same or the next one), and its segments (0: one a shingle)."""
     tops = [1]
     while tops[-1] < 1 << 40:
-        tops.append(max(tops[-1] + 1, 4 * tops[-1] // 3))
+        tops.append(max(tops[-1] + 1, 16 * tops[-1] // 9))
     segments = [next(0 if load is None else -(-top // load) for most, load in LOADS if top <= most) for top in tops]
     return np.array(tops, np.int64), np.array(segments, np.uint64)
 
@@ -101,33 +107,42 @@ def digests(key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return W.mix(_sums(W.mix(key + np.uint64(1)), first) + size).astype(np.int64), W.mix(_sums(W.mix(key ^ np.uint64(0x5BD1E9955BD1E995)), first)).astype(np.int64)
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b in base.parts(batch.column(1)):
-            key, first = sets_of(batch.column(1).slice(a, b - a))
-            one, two = digests(key, first)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first), pa.int64()), pa.array(one), pa.array(two)], names=["id", "n", "one", "two"])
-
-
 def crowded_cells(counts: np.ndarray) -> np.ndarray:
     """Cells of a task's shingle counts that stand out from what chance puts in a cell."""
     mean = counts.mean(dtype=np.float64)
     return np.flatnonzero(counts > mean + 6 * mean**0.5 + 4)
 
 
-def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(CELLS, np.uint32)
+_MEMBER = ("id", "n", "one", "two", "cell")
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document: size and digests of its set; then a row for each crowded cell of the task."""
+    counts, kind = np.zeros(CELLS, np.uint32), None
     for batch in batches:
-        for a, b in base.parts(batch.column(0)):
-            key, _ = sets_of(batch.column(0).slice(a, b - a))
+        kind = batch.schema.field(0).type
+        for a, b in base.parts(batch.column(1)):
+            key, first = sets_of(batch.column(1).slice(a, b - a))
             counts += np.bincount((key % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-    yield pa.RecordBatch.from_arrays([pa.array(crowded_cells(counts))], names=["cell"])
+            one, two = digests(key, first)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first), pa.int64()), pa.array(one), pa.array(two), pa.nulls(b - a, pa.int64())], names=_MEMBER)
+    cells = crowded_cells(counts)
+    if len(cells):
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(cells), kind), *(pa.nulls(len(cells), pa.int64()) for _ in range(3)), pa.array(cells, pa.int64())], names=_MEMBER)
+
+
+def _crowd(cells: DataFrame) -> bytes:
+    """The bitmap of all tasks' crowded cells, put together in words of 64 bits before it comes to the driver."""
+    words = cells.groupBy(F.expr("cell div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell % 64 as int))")).alias("bits")).collect()
+    bits = np.zeros(CELLS // 64, np.int64)
+    bits[[r["word"] for r in words]] = [r["bits"] for r in words]
+    return bits.astype("<i8").tobytes()
 
 
 def _level(key: np.ndarray, first: np.ndarray, band: np.ndarray, own: bool, crowd: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Subset hashes at a band of each row (-1: none), the row of each, and whether it is a probe.
+    """Hashes that each row indexes at a band (-1: none), the row of each, and whether it is a probe.
 
-    At its own band a set gives all its subsets, below it only its probes.
+    Two rows are candidates if they have a hash in common that is a probe of one of them.
     """
     size = np.where(band >= 0, np.diff(first), 0)
     row = np.repeat(np.arange(len(size)), np.diff(first))
@@ -143,34 +158,51 @@ def _level(key: np.ndarray, first: np.ndarray, band: np.ndarray, own: bool, crow
     starts = np.flatnonzero(begins)
     filled = np.diff(np.append(starts, len(key)))
     rows = row[starts]
-    # the last term tells bands apart
-    hashes = W.mix(np.add.reduceat(W.mix(key + np.uint64(7)), starts) + (band[rows].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+    value = W.mix(key + np.uint64(7))
+    total = np.add.reduceat(value, starts) + (band[rows].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)  # the last term tells bands apart
+    hashes = W.mix(total)
     n_filled = np.bincount(rows, minlength=len(size))
-    # differences from the partners that this set's probes must find: none larger than itself or the band's top
-    least = (size + np.minimum(size, TOPS[band])) // 7 + 1
+    # one more than the shingles that a partner can differ in: at its own band one of up to a third more, below it one no larger than that band
+    least = (size + (4 * size // 3 if own else np.minimum(size, TOPS[band]))) // 7 + 1
     # cost: a subset of crowded shingles only has a long list; else the more that are not, the shorter it is
     sparse = np.add.reduceat(~crowd[(key % np.uint64(CELLS)).astype(np.int64)], starts, dtype=np.int64) if crowd is not None else filled
     order = np.lexsort((hashes, -filled, -sparse, rows))
-    rank = np.arange(len(starts)) - np.repeat(np.cumsum(n_filled) - n_filled, n_filled)
-    probe = np.zeros(len(starts), bool)
-    probe[order] = rank < least[rows]
-    # against any partner of this band, or of the next if it is the set's own
-    short = n_filled < ((size + 4 * size // 3) // 7 + 1 if own else least)
-    if not own:
-        hashes, rows, probe = hashes[probe], rows[probe], probe[probe]
+    rank = np.empty(len(starts), np.int64)
+    rank[order] = np.arange(len(starts)) - np.repeat(np.cumsum(n_filled) - n_filled, n_filled)
+    chosen = rank < least[rows]
+    found = [(hashes[chosen], rows[chosen], np.ones(int(chosen.sum()), bool))]
+    short = n_filled < least
     if short.any():
-        extra = short[row]
-        single = W.mix(key[extra] + (band[row[extra]].astype(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407))
-        hashes, rows, probe = np.concatenate((hashes, single)), np.concatenate((rows, row[extra])), np.concatenate((probe, np.ones(len(single), bool)))
-    return hashes, rows, probe
+        several = short[rows] & (filled > 1)
+        # the segments with a second unit: the first ones of several shingles in the same order
+        among = order[several[order]]
+        n_several = np.bincount(rows[several], minlength=len(size))
+        place_of = np.arange(len(among)) - np.repeat(np.cumsum(n_several) - n_several, n_several)
+        second = np.zeros(len(starts), bool)
+        second[among] = place_of < (least - n_filled)[rows[among]]
+        segment = np.repeat(np.arange(len(starts)), filled)
+        mine = several[segment]
+        found.append((W.mix(total[segment[mine]] - value[mine]), row[mine], second[segment[mine]]))
+        single = (short & (n_several < least - n_filled))[row]
+        singles = W.mix(key[single] + (band[row[single]].astype(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407))
+        found.append((singles, row[single], np.ones(len(singles), bool)))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def signatures(key: np.ndarray, first: np.ndarray, crowd: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     band = np.where(np.diff(first) > 0, np.searchsorted(TOPS, np.diff(first)), -1)
-    levels = [_level(key, first, band, True, crowd), _level(key, first, np.maximum(band, 0) - 1, False, crowd)]
+    below = np.maximum(band, 0) - 1
+    below = np.where(3 * np.diff(first) <= 4 * TOPS[below], below, -1)  # no partner is there for a set too large for that band's sets
+    levels = [_level(key, first, band, True, crowd), _level(key, first, below, False, crowd)]
     return tuple(np.concatenate(x) for x in zip(*levels))
 
 
+def _only(wanted: np.ndarray, key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of the wanted rows."""
+    size = np.diff(first)
+    return key[np.repeat(wanted, size)], np.concatenate(([0], np.cumsum(size[wanted])))
+
+
 def _blocks(buckets: int, crowd):
     """Batches of texts into a row for each bucket: sets' nicks, how many hashes each has there, and the hashes."""
 
@@ -192,14 +224,19 @@ def _blocks(buckets: int, crowd):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["bucket", "nicks", "counts", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered, size = [], 0
-        dense = np.unpackbits(np.frombuffer(crowd.value, np.uint8)).astype(bool)
+        gathered, size, seen = [], 0, set()
+        dense = np.unpackbits(np.frombuffer(crowd.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
             for a, b in base.parts(batch.column(0)):
                 key, first = sets_of(batch.column(0).slice(a, b - a))
+                nicks = digests(key, first)[0]
+                fresh = np.array([not (x in seen or seen.add(x)) for x in nicks.tolist()], bool)  # of a task's copies, one is indexed
+                key, first = _only(fresh, key, first)
                 hashes, row, probe = signatures(key, first, dense)
-                gathered.append((hashes, digests(key, first)[0][row], probe))
+                gathered.append((hashes, nicks[fresh][row], probe))
                 size += len(hashes)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 if size >= GATHERED:
                     yield from emit(gathered)
                     gathered, size = [], 0
@@ -326,12 +363,24 @@ def _wanted_sets(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataF
     return base.settled(texts.mapInArrow(_sets, "nick long, n long, sketch binary, shingles binary"))
 
 
+def _asked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets in ``pairs``; beyond BROADCAST of them all sets, so that a join by a shuffle picks them."""
+    wanted = base.settled(pairs.select(F.col("a").alias("nick")).union(pairs.select("b")).distinct())
+    return sets.join(F.broadcast(wanted), "nick", "left_semi") if wanted.count() <= BROADCAST else sets
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, linked) of candidate pairs: screened by their small sketches, which rule no link out, then by their whole sets."""
-    side = lambda name, *columns: sets.select(F.col("nick").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
-    screened = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
+
+    def met(pairs: DataFrame, *columns: str) -> DataFrame:
+        mine = _asked(pairs, sets)  # of most sets the shingles are not asked for, so these need not be shuffled
+        side = lambda name: mine.select(F.col("nick").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+        return pairs.join(side("a"), "a").join(side("b"), "b")
+
+    pairs = base.settled(pairs)
+    screened = met(pairs, "n", "sketch").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
     screened = base.settled(screened.mapInArrow(_screened, "a long, b long, near boolean"))
-    near = screened.filter("near").select("a", "b").join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b")
+    near = met(screened.filter("near").select("a", "b"), "shingles").select("a", "b", "shingles_a", "shingles_b")
     links = near.mapInArrow(_verified, "a long, b long, linked boolean")
     return base.settled(links.union(screened.filter("not near").select("a", "b", F.lit(False).alias("linked"))))
 
@@ -387,37 +436,44 @@ def _met(rows: pa.Table) -> pa.Table:
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each set of each list; long lists come as all pairs of their chunks, a part for each pair."""
+    """A row for each set of each list, under the list's first set."""
     for batch in batches:
         for run, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             nick = np.frombuffer(raw, "<i8")
-            chunks = [nick[k : k + CHUNK] for k in range(0, len(nick), CHUNK)]
-            pairs = [(i, j) for i in range(len(chunks)) for j in range(i + 1, len(chunks))] or [(0, 0)]
-            for part, (i, j) in enumerate(pairs):
-                mine = chunks[i] if i == j else np.concatenate((chunks[i], chunks[j]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), run, np.int64)), pa.array(np.full(len(mine), part, np.int64)), pa.array(mine)], names=["run", "part", "nick"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nick), run, np.int64)), pa.array(nick)], names=["run", "nick"])
+
+
+def _listed(lists: DataFrame) -> DataFrame:
+    """(run, part, nick): lists of the same first set as one list, as most of them hold mostly the same sets.
+
+    Long lists are dealt out in chunks, and each two chunks are a part.
+    """
+    rows = base.settled(lists.mapInArrow(_exploded, "run long, nick long").distinct())
+    chunks = rows.groupBy("run").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    own = F.pmod(F.xxhash64("nick"), F.col("chunks"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: k != F.col("own"))
+    parts = F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda k: F.least(k, "own") * F.col("chunks") + F.greatest(k, "own")))
+    return base.settled(rows.join(chunks, "run").withColumn("own", own).select("run", F.explode(parts).alias("part"), "nick"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: its id, ``n_shingles``, and ``component_id``, the smallest id that links lead to."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    members = base.settled(docs.mapInArrow(_members, f"id {kind}, n long, one long, two long"))
+    read = base.settled(docs.mapInArrow(_members, f"id {kind}, n long, one long, two long, cell long"))
+    members = read.filter("cell is null").drop("cell")
     total = members.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total // BUCKET))
-    crowd = np.zeros(CELLS, bool)
-    crowd[[r[0] for r in docs.select("text").mapInArrow(_crowds, "cell long").distinct().collect()]] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(crowd).tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(_crowd(read.filter("cell is not null")))
     found = base.settled(
         docs.select("text").mapInArrow(_blocks(buckets, shared), "bucket int, nicks binary, counts binary, low binary, high binary")
         .groupBy("bucket").applyInArrow(_candidates, "a long, b long, members binary")
     )
-    pairs = found.filter("b is not null").select("a", "b").distinct()
+    pairs = base.settled(found.filter("b is not null").select("a", "b").distinct())
     sets = _wanted_sets(pairs, docs, members)
     checked = _verify(pairs, sets)
     roots = graph.components(checked.filter("linked").select("a", "b"))
-    lists = found.filter("b is null").select("members").distinct().select(F.monotonically_increasing_id().alias("run"), "members")
-    listed = base.settled(lists.mapInArrow(_exploded, "run long, part long, nick long"))
+    listed = _listed(found.filter("b is null").select(F.col("a").alias("run"), "members"))
     for nearest in (True, False):  # most links show at the nearest pairs, and what then is one component needs no more
         joined = listed.join(roots.withColumnRenamed("node", "nick"), "nick", "left").select("run", "part", "nick", F.coalesce("root", "nick").alias("root"))
         open_runs = joined.groupBy("run", "part").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("run", "part")
