@@ -57,6 +57,12 @@ def device_moisture(raw: Column, dry: int = 4095, wet: int = 2082) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * (F.lit(dry) - raw) / F.lit(dry - wet)))
 
 
+def device_reading(samples: Column, dry: int = 4095, wet: int = 2082) -> Column:
+    """The calibrated percentage of the mean of a reading's samples (an array), in whole units as the device has them."""
+    total = F.aggregate(samples, F.lit(0).cast("long"), lambda t, x: t + x.cast("long"))
+    return F.when(F.size(samples) > 0, device_moisture(F.floor(total / F.size(samples)), dry, wet))
+
+
 def device_status(percent: Column) -> Column:
     return F.when(percent < 30, "DRY").when(percent < 70, "NORMAL").otherwise("WET")
 
@@ -130,6 +136,16 @@ def elapsed_text(seconds: Column) -> Column:
     return F.when(seconds < 60, unit(1, "sec")).when(seconds < 3600, unit(60, "min")).when(seconds < 86400, unit(3600, "hr")).otherwise(unit(86400, "days"))
 
 
+def merged_lines(lines: Column, start: int, width: int) -> Column:
+    """One cell's slices of several fixed-width lines, blanks left out, joined by one blank."""
+    parts = F.filter(F.transform(lines, lambda line: collapse_spaces(fixed_width(line, start, width))), lambda p: p != "")
+    return F.array_join(parts, " ")
+
+
+def delta_class(delta: Column) -> Column:
+    return F.when(delta.isNull(), None).when(F.abs(delta) < 0.05, "zero").when(delta > 0, "up").otherwise("down")
+
+
 def delta_text(delta: Column) -> Column:
     return F.when(F.abs(delta) < 0.05, "0.0").when(delta > 0, F.concat(F.lit("+"), F.format_string("%.1f", delta))).otherwise(F.format_string("%.1f", delta))
 

@@ -36,6 +36,36 @@ def coverage_snapshot(counts: dict[str, DataFrame], total: str) -> DataFrame:
     return out.withColumns(share)
 
 
+def readiness(counts: DataFrame, needs: dict[str, list[str]]) -> DataFrame:
+    """The snapshot with ``ready_<name>``: whether all tables that it needs have rows, and ``ready`` if all are."""
+    flags = {f"ready_{name}": F.least(*(F.col(f"n_{t}") > 0 for t in tables), F.lit(True)) for name, tables in needs.items()}
+    return counts.withColumns(flags).withColumn("ready", F.least(*(F.col(f) for f in flags), F.lit(True)))
+
+
+def with_lineage(df: DataFrame, constants: dict[str, str], templates: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """``df`` with constant columns, and with columns whose text is a format that takes one column's value."""
+    return df.withColumns({n: F.lit(v) for n, v in constants.items()} | {n: F.format_string(text, F.col(c)) for n, (text, c) in (templates or {}).items()})
+
+
+def source_provenance(rows: DataFrame, group: str, content: str, date: str, lat: str, lon: str) -> DataFrame:
+    """Per source: a hash over its rows' hashes, distinct coordinates and dates, their ranges, rows, and the rows of all sources.
+
+    The sum of the rows' 64-bit hashes does not depend on their order, and no list of them is gathered.
+    """
+    digest = F.sha2(F.sum(F.conv(F.substring(F.sha2(F.col(content).cast("binary"), 256), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string"), 256)
+    out = rows.groupBy(group).agg(
+        digest.alias("sha256"), F.count_distinct(lat).alias("n_lat"), F.count_distinct(lon).alias("n_lon"), F.count_distinct(date).alias("n_dates"), F.min(date).alias("first_date"),
+        F.max(date).alias("last_date"), F.min(lat).alias("lat_min"), F.max(lat).alias("lat_max"), F.min(lon).alias("lon_min"), F.max(lon).alias("lon_max"), F.count("*").alias("n_rows"),
+    )
+    return out.crossJoin(F.broadcast(out.agg(F.sum("n_rows").alias("n_total"))))
+
+
+def map_payload(metadata: DataFrame, complete: bool, layers: list[str]) -> DataFrame:
+    """One row: the metadata with an overlay's address for each layer, all null while the source is incomplete."""
+    url = lambda n: F.when(F.lit(complete), F.concat(F.lit("/overlays/"), F.lit(n), F.lit(".png"))).alias(f"{n}_url")
+    return metadata.select(F.lit("available" if complete else "unavailable").alias("status"), *(F.when(F.lit(complete), F.col(c)).alias(c) for c in metadata.columns), *(url(n) for n in layers))
+
+
 def provenance(files: DataFrame, group: str, content: str) -> DataFrame:
     """(group, n_files, sha256s) of file contents as from the binaryFile reader."""
     return files.groupBy(group).agg(F.count("*").alias("n_files"), F.sort_array(F.collect_list(F.sha2(F.col(content), 256))).alias("sha256s"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slopeworks.runtime import settled
+
 
 class CardinalityError(ValueError):
     pass
@@ -26,10 +28,11 @@ def enforce(violations: DataFrame, message: str, shown: int = 20) -> None:
 
 
 def many_to_one(left: DataFrame, right: DataFrame, keys: list[str], require_match: bool = True) -> DataFrame:
-    """Left join that fails on duplicate right keys and, if required, on left keys without a match."""
-    enforce(duplicate_keys(right, keys), "duplicate keys on the right side")
+    """Left join that fails on duplicate right keys and, if required, on left keys without a match; one job checks both."""
+    found = duplicate_keys(right, keys).select(F.lit("duplicate keys on the right side").alias("fault"), *keys)
     if require_match:
-        enforce(unmatched(left, right, keys).orderBy(*keys), "unmatched keys")
+        found = found.unionByName(unmatched(left, right, keys).select(F.lit("unmatched keys").alias("fault"), *keys))
+    enforce(found.orderBy("fault", *keys), "the join's keys are at fault")
     return left.join(right, keys, "left")
 
 
@@ -48,6 +51,30 @@ def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     )
 
 
+def coverage_report(left: DataFrame, right: DataFrame, key: str, features: list[str], shown: int = 1000) -> DataFrame:
+    """One row: counts of both sides' keys, the sorted keys that the right side lacks and those it has besides, and keys with a null feature.
+
+    Each list holds at most ``shown`` keys, the smallest ones; the counts are of all.
+    """
+    l = left.select(F.col(key).alias("k")).distinct().withColumn("l", F.lit(1))  # noqa: E741
+    null = F.greatest(*(F.col(c).isNull() for c in features), F.lit(False))
+    r = right.select(F.col(key).alias("k"), null.alias("r")).groupBy("k").agg(F.max("r").alias("r"))
+    rows = l.join(r, "k", "full_outer")
+    kinds = {"unmatched": F.col("r").isNull(), "right_only": F.col("l").isNull(), "null_features": F.col("l").isNotNull() & F.col("r")}
+    out = rows.agg(F.count("l").alias("n_population"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("n_matched"), *(F.count_if(c).alias(f"n_{k}") for k, c in kinds.items()))
+    for kind, holds in kinds.items():
+        least = rows.filter(holds).select("k").orderBy("k").limit(shown).agg(F.array_join(F.sort_array(F.collect_list("k")), ",").alias(kind))
+        out = out.crossJoin(F.broadcast(least))
+    return out
+
+
+def require_coverage(left: DataFrame, right: DataFrame, key: str, features: list[str]) -> DataFrame:
+    """The one-to-one join, refused with the keys that lack a row or a feature; nothing is dropped or filled in."""
+    joined = settled(one_to_one(left, right.select(key, *features), [key]))
+    enforce(joined.filter(F.greatest(*(F.col(c).isNull() for c in features), F.lit(False))).select(key).orderBy(key), "features are null")
+    return joined
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], value: str, default: object) -> DataFrame:
     """Left join on unique keys of one value, with a default where there is none."""
     return left.join(right.select(*keys, value), keys, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))

@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slopeworks.functions.scalar import PRESETS, rint_at, tier
+from slopeworks.operators.joins import enforce, one_to_one
 from slopeworks.runtime import settled
 
+#: The twelve features in their groups (fixed values); evidence and the composite index are no features.
+TERRAIN = ("elevation_mean_m", "elevation_range_m", "slope_mean_deg", "slope_max_deg")
+HYDROLOGY = ("mean_flow_accumulation_cells", "max_flow_accumulation_cells", "high_flow_area_fraction", "drainage_density_km_per_km2")
+RAINFALL = ("rainfall_7d_p95_mm", "rainfall_3d_p95_mm", "rainfall_1d_max_mm", "rainfall_annual_mean_mm")
+FEATURES = (*TERRAIN, *HYDROLOGY, *RAINFALL)
+TARGET = "conditional_strict_linked_event_count"
+
 
 def load_model(text: str) -> dict:
     """A stored boosted-tree model of binary logistic objective, from its JSON text."""
@@ -24,7 +32,7 @@ def _node(tree: dict, features: list[str], k: int) -> Column:
     value = F.col(features[tree["split_indices"][k]]).cast("float")
     left, right = _node(tree, features, tree["left_children"][k]), _node(tree, features, tree["right_children"][k])
     missing = left if tree["default_left"][k] else right
-    return F.when(value.isNull(), missing).when(value < F.lit(tree["split_conditions"][k]).cast("float"), left).otherwise(right)
+    return F.when(value.isNull() | F.isnan(value), missing).when(value < F.lit(tree["split_conditions"][k]).cast("float"), left).otherwise(right)
 
 
 def score(model: dict) -> Column:
@@ -42,8 +50,48 @@ def importances(spark: SparkSession, model: dict) -> DataFrame:
     return by.join(F.broadcast(by.agg(F.sum("gain").alias("total")))).select("feature", "n_splits", (F.col("gain") / F.col("total")).alias("importance"))
 
 
+def feature_groups(spark: SparkSession) -> DataFrame:
+    """(feature_group, feature, position, in_scenario) of the model's features, in order."""
+    groups = (("terrain", TERRAIN), ("hydrology", HYDROLOGY), ("rainfall", RAINFALL))
+    rows = [(g, f, FEATURES.index(f) + 1, f in SCALED) for g, features in groups for f in features]
+    return spark.createDataFrame(rows, "feature_group string, feature string, position int, in_scenario boolean")
+
+
+def training_table(terrain: DataFrame, days: DataFrame, evidence: DataFrame, master: DataFrame, hydrology: DataFrame, key: str = "village_lgd_code", years: float = 5.0, sources: dict[str, str] | None = None) -> DataFrame:
+    """One row per place: features, label, group and lineage; fails on a source that lacks a place or holds it twice, and on null features.
+
+    ``terrain`` is the population, ``days`` has the rainfall sums of each place and day, ``evidence`` the
+    linked events, ``master`` the group's name, ``hydrology`` its four metrics. A place without linked
+    events is unlabeled, which is no negative.
+    """
+    rain = days.groupBy(key).agg(
+        F.percentile("rainfall_7d_mm", 0.95).alias("rainfall_7d_p95_mm"), F.percentile("rainfall_3d_mm", 0.95).alias("rainfall_3d_p95_mm"),
+        F.max("rainfall_1d_mm").alias("rainfall_1d_max_mm"), (F.sum("rainfall_1d_mm") / F.lit(years)).alias("rainfall_annual_mean_mm"),
+    )
+    rows = terrain.withColumn("elevation_range_m", F.col("elevation_max_m") - F.col("elevation_min_m"))
+    names = master.select(key, "taluk_name_en").distinct()
+    for part in (rain, evidence.select(key, TARGET), names, hydrology.select(key, *HYDROLOGY)):
+        rows = one_to_one(rows, part, [key])
+    rows = settled(rows)
+    enforce(rows.filter(F.greatest(*(F.col(c).isNull() for c in FEATURES))).select(key), "features are null, and nothing is filled in")
+    positive = F.col(TARGET) > 0
+    lineage = {f"{name}_source": F.lit(text) for name, text in (sources or {}).items()}
+    return rows.withColumns({"label_s": positive.cast("int"), "pu_status": F.when(positive, "POSITIVE").otherwise("UNLABELED"), **lineage})
+
+
 #: The features that a rainfall scenario scales, and those it leaves.
-SCALED = ("rainfall_1d_max", "rainfall_3d_p95", "rainfall_7d_p95")
+SCALED = ("rainfall_7d_p95_mm", "rainfall_3d_p95_mm", "rainfall_1d_max_mm")
+
+
+def scenario_factor(preset: str | None = None, multiplier: float | None = None) -> float:
+    """A multiplier if given, else the preset's factor; a preset of another name leaves the rainfall as it is."""
+    return float(multiplier) if multiplier is not None else PRESETS.get(preset or "", 1.0)
+
+
+def scenario_summary(rows: DataFrame) -> DataFrame:
+    """(scenario, factor, high, medium, low, mean_score) of the scenario's rows."""
+    n = lambda name: F.count_if(F.col("scenario_tier") == name)
+    return rows.groupBy("scenario", "factor").agg(n("HIGH").alias("high"), n("MEDIUM").alias("medium"), n("LOW").alias("low"), F.avg("scenario_score").alias("mean_score"))
 
 
 def scenario(df: DataFrame, probability: Column, key: list[str], presets: dict[str, float] | None = None, scaled: tuple[str, ...] = SCALED, overrides: dict[str, float] | None = None) -> DataFrame:
@@ -61,6 +109,29 @@ def scenario(df: DataFrame, probability: Column, key: list[str], presets: dict[s
     )
 
 
+#: Groups that may be held out one by one, each with a copy of all rows.
+FOLDS = 1000
+
+
+def evaluate_folds(splits: DataFrame, label: str, fit=None, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Metrics of each fold's held-out rows, and of all held-out rows together.
+
+    ``splits`` are rows of ``leave_one_group_out``. ``fit(training rows) -> function that adds probability``
+    is called for each fold; without it, the prior is the score: the share of positives in training.
+    """
+    if fit is None:
+        prior = splits.filter(~F.col("is_test")).groupBy("fold").agg(F.avg(F.col(label).cast("double")).alias("probability"))
+        scored = splits.filter("is_test").join(F.broadcast(prior), "fold")
+    else:
+        splits, scored = settled(splits), None
+        for fold in [r["fold"] for r in splits.select("fold").distinct().orderBy("fold").collect()]:  # at most FOLDS
+            mine = splits.filter(F.col("fold") == fold)
+            one = fit(mine.filter(~F.col("is_test")))(mine.filter("is_test"))
+            scored = one if scored is None else scored.unionByName(one)
+    scored = settled(scored.select("fold", label, "probability"))
+    return metrics(scored, label, "probability", ["fold"], threshold), metrics(scored, label, "probability", threshold=threshold)
+
+
 def leave_one_group_out(df: DataFrame, group: str, label: str) -> DataFrame:
     """Each row once in every fold: the fold's number in sorted order, whether the row is held out, and its weight.
 
@@ -72,6 +143,8 @@ def leave_one_group_out(df: DataFrame, group: str, label: str) -> DataFrame:
     folds = by.crossJoin(F.broadcast(every)).select(
         F.col(group).alias("fold"), F.row_number().over(Window.orderBy(group)).alias("fold_index"), (F.col("all_p") - F.col("p")).alias("n_pos"), (F.col("all_u") - F.col("u")).alias("n_unl")
     )
+    if folds.limit(FOLDS + 1).count() > FOLDS:
+        raise ValueError(f"more than {FOLDS} groups: every row would be copied for each of them")
     rows = df.crossJoin(F.broadcast(folds)).withColumn("is_test", F.col(group) == F.col("fold"))
     return rows.withColumn("weight", F.when(F.col(label) == 1, 1.0).otherwise(F.col("n_pos") / F.greatest(F.col("n_unl"), F.lit(1))))
 

@@ -103,6 +103,77 @@ VERIFICATION = ("verified", "unverified", "needs_review")
 OPERATIONAL = ("operational", "not_operational", "unknown")
 
 
+def shelter_coverage(shelters: DataFrame) -> DataFrame:
+    """One row: shelters, those a route may lead to, those of each verification status, and the newest date they were updated."""
+    counts = [F.count_if(F.col("verification_status") == s).alias(s) for s in VERIFICATION]
+    newest = [F.max(blank_to_null(F.col("last_updated"))).alias("last_updated")] if "last_updated" in shelters.columns else []
+    out = shelters.agg(F.count("*").alias("total_records"), F.count_if("operational").alias("route_eligible_records"), *counts, *newest)
+    return out.withColumn("source_coverage", F.when(F.col("verified") > 0, "authoritative").otherwise("no_verified_shelter_records"))
+
+
+def district(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """Rows of the districts, whose names are matched trimmed and in any case; an error if there is none."""
+    kept = rows.filter(F.lower(F.trim(column)).isin([n.strip().lower() for n in names]))
+    if kept.isEmpty():
+        raise ValueError(f"no row of {names}")
+    return kept
+
+
+def duplicate_count(rows: DataFrame, column: str, skip_blank: bool = False) -> DataFrame:
+    """One row: how many rows repeat an earlier value; null is a value, a blank one is left out if asked."""
+    c = F.col(column).cast("string")
+    rows = rows.filter(blank_to_null(c).isNotNull()) if skip_blank else rows
+    return rows.groupBy(column).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n_duplicates"))
+
+
+def event_profile(rows: DataFrame, lat: str, lon: str, slide: str, extent: tuple[float, float, float, float]) -> DataFrame:
+    """One row: events, missing and out-of-range coordinates (no value and NaN are out of range), repeated numbers."""
+    south, west, north, east = extent
+    n = rows.agg(
+        F.count("*").alias("n_events"), F.count_if(finite(F.col(lat)).isNull() | finite(F.col(lon)).isNull()).alias("n_no_coordinate"),
+        F.count_if(outside(F.col(lat), south, north) | outside(F.col(lon), west, east)).alias("n_out_of_range"), F.min(lat).alias("lat_min"), F.max(lat).alias("lat_max"),
+    )
+    return n.crossJoin(F.broadcast(duplicate_count(rows, slide, skip_blank=True)))
+
+
+def index_faults(rows: DataFrame, normalised: list[str], index: str, parts: tuple[str, str, str], weights: tuple[float, float, float] = (0.35, 0.40, 0.25), tolerance: float = 1e-12) -> DataFrame:
+    """Rows of a composite index that break its gate: a value that is not finite, a part outside 0..1, an index outside 0..100 or not the formula's."""
+    columns = [*normalised, index]
+    formula = 100.0 * (weights[0] * F.col(parts[0]) + weights[1] * F.col(parts[1]) + weights[2] * F.col(parts[2]))
+    fault = F.when(F.greatest(*(finite(F.col(c)).isNull() for c in columns)), "not_finite")
+    fault = fault.when(F.greatest(*(~F.col(c).between(0, 1) for c in normalised), F.lit(False)), "part_out_of_range").when(~F.col(index).between(0, 100), "index_out_of_range")
+    return rows.withColumn("fault", fault.when(F.abs(F.col(index) - formula) > tolerance, "formula")).filter("fault is not null")
+
+
+def incompatible_tiles(tiles: DataFrame, order: str, attributes: list[str]) -> DataFrame:
+    """Tiles that differ from the first one in an attribute, with the attributes' names; nulls equal each other."""
+    first = tiles.select(F.min_by(F.struct(*attributes), order).alias("_first"))
+    named = F.array_compact(F.array(*(F.when(~F.col(a).eqNullSafe(F.col(f"_first.{a}")), F.lit(a)) for a in attributes)))
+    return tiles.crossJoin(F.broadcast(first)).withColumn("differs", F.array_join(named, ",")).drop("_first").filter("differs <> ''")
+
+
+def outside_axes(points: DataFrame, grid: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """Points outside of the extent of a grid's axes (lat, lon), with the axis, before any nearest cell is chosen."""
+    ends = grid.agg(F.min("lat").alias("_s"), F.max("lat").alias("_n"), F.min("lon").alias("_w"), F.max("lon").alias("_e"))
+    joined = points.crossJoin(F.broadcast(ends))
+    axis = F.when(outside(F.col(lat), F.col("_s"), F.col("_n")), "latitude").when(outside(F.col(lon), F.col("_w"), F.col("_e")), "longitude")
+    return joined.withColumn("axis", axis).filter("axis is not null").drop("_s", "_n", "_w", "_e")
+
+
+def raster_covers(raster: DataFrame, wanted: DataFrame, cells: DataFrame, least: int = 100) -> DataFrame:
+    """One row: whether a raster's extent (west, south, east, north) holds the wanted one, its valid cells, and whether both suffice."""
+    n = cells.agg(F.count_if(F.coalesce(~F.isnan(F.col("z").cast("double")), F.lit(False))).alias("n_valid"))
+    both = raster.select(*(F.col(c).alias(f"r_{c}") for c in ("west", "south", "east", "north"))).crossJoin(F.broadcast(wanted)).crossJoin(F.broadcast(n))
+    covers = (F.col("r_west") <= F.col("west")) & (F.col("r_south") <= F.col("south")) & (F.col("r_east") >= F.col("east")) & (F.col("r_north") >= F.col("north"))
+    return both.select(covers.alias("covers"), "n_valid", (covers & (F.col("n_valid") >= least)).alias("accepted"))
+
+
+def all_reached(cells: DataFrame, accumulated: DataFrame) -> DataFrame:
+    """One row: valid cells, cells that the flow order reached, and whether these are as many (they are fewer if there is a cycle)."""
+    valid = cells.filter(F.coalesce(~F.isnan(F.col("z").cast("double")), F.lit(False))).agg(F.count("*").alias("n_valid"))
+    return valid.crossJoin(F.broadcast(accumulated.agg(F.count("*").alias("n_processed")))).withColumn("complete", F.col("n_valid") == F.col("n_processed"))
+
+
 def shelters(rows: DataFrame, villages: DataFrame, extent: tuple[float, float, float, float] | None) -> DataFrame:
     """Shelter rows (all text) checked and typed; fails on a missing or repeated id, an unknown status or text that is no number.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from slopeworks.runtime import settled
+
 
 def search(df: DataFrame, text: str, names: list[str], codes: list[str]) -> DataFrame:
     """Rows of which a name contains the text in any case, or a code contains it as it is."""
@@ -18,6 +20,16 @@ def search(df: DataFrame, text: str, names: list[str], codes: list[str]) -> Data
     return df.filter(hit)
 
 
+def with_tier(df: DataFrame, column: str, wanted: str | None) -> DataFrame:
+    """Rows of one tier, or all if none is asked for."""
+    return df.filter(F.col(column) == wanted.upper()) if wanted else df
+
+
+def by_name(name: str) -> list[Column]:
+    """Names in any case; those that are the same but for case go by their letters."""
+    return [F.asc_nulls_last(F.lower(name)), F.asc_nulls_last(name)]
+
+
 def order_by_score(score: str, descending: bool = True, tie: str | None = None) -> list[Column]:
     """Rows without a score come last in either direction."""
     first = F.desc_nulls_last(score) if descending else F.asc_nulls_last(score)
@@ -25,14 +37,36 @@ def order_by_score(score: str, descending: bool = True, tie: str | None = None)
 
 
 def ranked(df: DataFrame, order: list[Column], keys: list[str] | None = None, top: int | None = None) -> DataFrame:
-    """Rows with their position from 1 within their keys; a limit prunes rows before they are shuffled."""
-    rows = df.withColumn("position", F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)))
+    """Rows with their position from 1 within their keys; a limit prunes rows before they are shuffled.
+
+    Without keys the whole table is ranked in ranges of its order, each counted, so that no task has all rows.
+    """
+    if not keys and not top:
+        return _numbered(df, order)
+    rows = df if keys else df.orderBy(*order).limit(top)
+    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)))
     return rows.filter(F.col("position") <= top) if top else rows
 
 
+def _numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    before = counts.select(F.col("_range"), F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(F.broadcast(before), "_range").withColumn("position", (place + F.col("_before")).cast("int")).select(*df.columns, "position")
+
+
+def newest(df: DataFrame, order: list[str], limit: int) -> DataFrame:
+    """The newest rows with their position, 1 to 500 of them whatever is asked; every task sends its own newest only."""
+    wanted = max(1, min(500, limit))
+    return ranked(df.orderBy(*(F.desc(c) for c in order)).limit(wanted), [F.desc(c) for c in order])
+
+
 def route_order() -> list[Column]:
-    """Routes by status, then warnings, susceptibility, events, length and time."""
-    status = F.array_position(F.array(F.lit("preferred"), F.lit("caution"), F.lit("high_risk")), F.col("status"))
+    """Routes by status (an unknown one last), then warnings, susceptibility, events, length and time."""
+    place = F.array_position(F.array(F.lit("preferred"), F.lit("caution"), F.lit("high_risk")), F.col("status"))
+    status = F.when(place > 0, place).otherwise(4)
     return [status.asc(), *(F.asc(c) for c in ("n_red", "n_orange", "n_high", "n_events", "distance_m", "duration_s"))]
 
 

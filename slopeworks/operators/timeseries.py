@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from slopeworks.functions.scalar import finite
+
 
 def densify(df: DataFrame, keys: list[str], date: str, start: Column | None = None, end: Column | None = None) -> DataFrame:
     """A row for each key and each day from ``start`` to ``end`` (of each key, if not given); other columns are null where a day was missing."""
@@ -34,9 +36,17 @@ def climatology(df: DataFrame, keys: list[str], value: str, years: int = 5) -> D
     )
 
 
-def min_max(df: DataFrame, columns: list[str], suffix: str = "_norm") -> DataFrame:
-    """Columns scaled to 0..1 by their extremes over the whole table, which are one broadcast row; null where all values are alike."""
-    ends = df.agg(*(f(c).alias(f"_{f.__name__}_{c}") for c in columns for f in (F.min, F.max)))
+def min_max(df: DataFrame, columns: list[str], suffix: str = "_norm", strict: bool = True) -> DataFrame:
+    """Columns scaled to 0..1 by their extremes over the whole table, which are one broadcast row.
+
+    A column that is constant or holds a value that is not finite is an error; unless ``strict``, all its scaled values are null where
+    all values are alike.
+    """
+    ends = df.agg(*(f(c).alias(f"_{f.__name__}_{c}") for c in columns for f in (F.min, F.max)), *(F.bool_and(finite(F.col(c)).isNotNull()).alias(f"_finite_{c}") for c in columns))
+    if strict:
+        for c in columns:
+            good = F.col(f"_finite_{c}") & (F.col(f"_max_{c}") > F.col(f"_min_{c}"))
+            ends = ends.withColumn(f"_max_{c}", F.when(good | F.col(f"_finite_{c}").isNull(), F.col(f"_max_{c}")).otherwise(F.raise_error(F.lit(f"{c} is constant or not finite"))))
     joined = df.crossJoin(F.broadcast(ends))
     scaled = {f"{c}{suffix}": F.when(F.col(f"_max_{c}") > F.col(f"_min_{c}"), (F.col(c) - F.col(f"_min_{c}")) / (F.col(f"_max_{c}") - F.col(f"_min_{c}"))) for c in columns}
     return joined.withColumns(scaled).select(*df.columns, *scaled)
@@ -46,6 +56,21 @@ def composite_index(terrain: Column, rain: Column, history: Column, weights: tup
     return 100.0 * (weights[0] * terrain + weights[1] * rain + weights[2] * history)
 
 
+def rolling_audit(df: DataFrame, keys: list[str], date: str, one: str, three: str, seven: str) -> DataFrame:
+    """Per key and year: days, days that the calendar lacks, days without a value, and nulls of the two sums.
+
+    A complete year has none of the first three kinds, and 2 and 6 nulls of sums that start afresh each year.
+    """
+    year = F.year(date)
+    days = F.dayofyear(F.make_date(F.col("year"), F.lit(12), F.lit(31)))
+    by = df.groupBy(*keys, year.alias("year")).agg(
+        F.count("*").alias("n_rows"), F.count_distinct(date).alias("n_days"), F.count_if(F.col(one).isNull()).alias("n_null_1d"),
+        F.count_if(F.col(three).isNull()).alias("n_null_3d"), F.count_if(F.col(seven).isNull()).alias("n_null_7d"),
+    )
+    whole = (F.col("n_rows") == F.col("n_days")) & (F.col("n_days") == days) & (F.col("n_null_1d") == 0) & (F.col("n_null_3d") == 2) & (F.col("n_null_7d") == 6)
+    return by.withColumn("n_missing", (days - F.col("n_days")).cast("long")).withColumn("complete", whole)
+
+
 def missing_days(df: DataFrame, keys: list[str], date: str, start: Column, end: Column) -> DataFrame:
     """(keys, date) of the days of a calendar that the table lacks."""
     wanted = df.select(*keys).distinct().select(*keys, F.explode(F.sequence(start, end)).alias(date))

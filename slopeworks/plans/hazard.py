@@ -131,10 +131,10 @@ def checked_joins(spark, sf_dir):
     return rows.select("o_orderkey", "c_name", "n_name", "r_name")
 
 
-@query("select 'left' as side, p_partkey as k from (select p_partkey from part except all select l_partkey from lineitem) union all select 'right', k from (select distinct l_partkey as k from lineitem except all select p_partkey from part)")
+@query("select 'left' as side, p_partkey as k from part where p_partkey % 7 <> 0 and (p_partkey % 5 = 0 or p_partkey not in (select l_partkey from lineitem)) union all select 'right', k from (select distinct l_partkey as k from lineitem) where k % 5 <> 0 and (k % 7 = 0 or k not in (select p_partkey from part))")
 def identity_differences(spark, sf_dir):
-    a = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
-    b = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k")).distinct()
+    a = table(spark, sf_dir, "part").filter("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("k"))
+    b = table(spark, sf_dir, "lineitem").filter("l_partkey % 5 <> 0").select(F.col("l_partkey").alias("k")).distinct()
     return joins.identity_differences(a, b, ["k"])
 
 
@@ -255,7 +255,7 @@ def tree_scores(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(model.score(model.load_model(_MODEL)), 9).alias("probability"))
 
 
-@query("select 'p_size' as feature, 2 as n_splits, 0.5 as importance union all select 'p_retailprice', 1, 0.5")
+@query("with g(feature, gain) as (values ('p_size', 3.0::double), ('p_retailprice', 2.0), ('p_size', 1.0)), m as (select feature, count(*) as n_splits, avg(gain) as gain from g group by 1) select feature, n_splits, gain / (select sum(gain) from m) as importance from m")
 def tree_importances(spark, sf_dir):
     return model.importances(spark, model.load_model(_MODEL))
 

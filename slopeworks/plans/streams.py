@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slopeworks.functions import scalar as S
-from slopeworks.plans import hazard
-from slopeworks.runtime import settled, table
+from slopeworks.operators import warnings
+from slopeworks.plans import checks, hazard
+from slopeworks.runtime import shared_folder, table
 from slopeworks.streaming import sensors
 
 
@@ -19,9 +20,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    settled(spark.range(1))  # names a shared folder where the session has none
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,5 +35,15 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("user_key").cast("long").alias("user_id"), "event_id", "band")
 
 
-QUERIES = {"stream_latest": stream_latest, "stream_history": stream_history}
-ORACLE = {"stream_latest": hazard.ORACLE["latest_reading"], "stream_history": hazard.ORACLE["change_history"].replace("order by ts, event_id", "order by event_id")}
+def stream_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change-only history of warnings by all eight fields of their signature."""
+    rows = checks.evaluated(_stream(spark, sf_dir)).select(F.col("user_id").cast("string").alias("user_key"), "event_id", warnings.signature().alias("signature"))
+    out = sensors.run_to_end(sensors.change_stream(rows, "user_key", "event_id", "signature"), _folder(spark, "warnings"), "append")
+    return out.select(F.col("user_key").cast("long").alias("user_id"), "event_id")
+
+
+QUERIES = {"stream_latest": stream_latest, "stream_history": stream_history, "stream_warnings": stream_warnings}
+ORACLE = {
+    "stream_latest": hazard.ORACLE["latest_reading"], "stream_history": hazard.ORACLE["change_history"].replace("order by ts, event_id", "order by event_id"),
+    "stream_warnings": hazard.ORACLE["warning_history"].replace("order by ts, event_id", "order by event_id"),
+}

@@ -11,12 +11,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept in the session's ``spark.checkpoint.dir``.
-
-    A folder is set here only where the session names none, as in tests on one machine.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", "") and context._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; one is set here only where the session has none and all runs on one machine."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", "")
+    if named:
+        return named
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="slopeworks-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once and kept in the shared folder, which a lost executor rereads."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

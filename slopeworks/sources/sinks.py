@@ -43,20 +43,30 @@ def refuse_overwrite(df: DataFrame, path: str) -> None:
 
 
 def publish(tables: dict[str, DataFrame], folder: str) -> None:
-    """Writes all tables to a staging folder and only then moves each into place, the old one aside first."""
+    """Writes all tables as one release and only then makes it the current one, by one rename over a pointer file.
+
+    Readers (``read_published``) find either all tables of the old release or all of the new one, whenever a writer stops.
+    """
     spark = next(iter(tables.values())).sparkSession
-    stage = f"{folder}/_staging-{uuid.uuid4().hex}"
+    release = f"releases/{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.parquet(f"{stage}/{name}")
-    for name in tables:
-        fs, target = _fs(spark, f"{folder}/{name}")
-        _, fresh = _fs(spark, f"{stage}/{name}")
-        _, old = _fs(spark, f"{stage}/_old_{name}")
-        if fs.exists(target):
-            fs.rename(target, old)
-        fs.rename(fresh, target)
-    fs, staged = _fs(spark, stage)
-    fs.delete(staged, True)
+        df.write.parquet(f"{folder}/{release}/{name}")
+    fs, fresh = _fs(spark, f"{folder}/{release}/pointer")
+    out = fs.create(fresh, False)
+    try:
+        out.write(bytearray(release.encode()))
+    finally:
+        out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fresh, _fs(spark, f"{folder}/current")[1], over)
+
+
+def read_published(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the current release."""
+    release = spark.read.text(f"{folder}/current").first()[0]
+    return spark.read.parquet(f"{folder}/{release}/{name}")
 
 
 def publish_if_unchanged(df: DataFrame, prior: DataFrame, path: str, keys: list[str], numbers: list[str]) -> None:

@@ -26,6 +26,31 @@ def quarantine_reason(sensor_known: Column) -> Column:
     )
 
 
+#: A body's largest size, and the fields it may have (fixed values).
+MOST_BYTES = 4096
+FIELDS = ("sensor_id", "village_lgd_code", "soil_moisture_percent", "raw_value", "recorded_at", "is_test")
+BODY = "sensor_id string, village_lgd_code string, soil_moisture_percent double, raw_value long, recorded_at string, is_test boolean"
+
+
+def parsed(bodies: DataFrame, body: str) -> DataFrame:
+    """Bodies, batch or stream, with their fields and ``reason`` (null: good): too large, malformed, unknown field, or a value out of range."""
+    text = F.col(body)
+    names = F.json_object_keys(text)
+    rows = bodies.withColumns({"_large": F.octet_length(text) > MOST_BYTES, "_names": names}).withColumn("_f", F.from_json(text, BODY))
+    percent, raw = F.col("_f.soil_moisture_percent"), F.col("_f.raw_value")
+    reason = (
+        F.when(F.col("_large"), "too_large").when(F.col("_names").isNull(), "malformed")
+        .when(F.exists("_names", lambda n: ~n.isin(*FIELDS)), "unknown_field")
+        .when(percent.isNull() | F.isnan(percent) | ~percent.between(0, 100), "percent_out_of_range").when(raw.isNotNull() & ~raw.between(0, 10_000_000), "raw_out_of_range")
+    )
+    return rows.withColumn("reason", reason).select(*bodies.columns, "_f.*", "reason")
+
+
+def with_times(readings: DataFrame, recorded: str = "recorded_at", received: str = "received_at") -> DataFrame:
+    """Readings whose time of recording is their arrival where they give none. What is latest, and how fresh it is, goes by arrival."""
+    return readings.withColumn(recorded, F.coalesce(recorded, received))
+
+
 def enrich(readings: DataFrame, sensors: DataFrame) -> DataFrame:
     """Readings, batch or stream, with their sensor's registration and ``reason`` (null: good)."""
     known = sensors.select("sensor_id", F.col("village_lgd_code").alias("registered_village"), F.col("is_test").alias("registered_test"), F.lit(True).alias("known"))
@@ -58,14 +83,14 @@ def change_stream(stream: DataFrame, key: str, order: str, signature: str) -> Da
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before, seen = state.get if state.exists else (None, False)
         rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        kept = []
-        for at, sig in zip(rows[order].tolist(), rows[signature].tolist()):
-            sig = None if pd.isna(sig) else sig
-            if not seen or sig != before:
-                kept.append((name[0], at, sig))
-            before, seen = sig, True
-        state.update((before, seen))
-        yield pd.DataFrame(kept, columns=[key, order, signature])
+        now = rows[signature].astype(object).where(rows[signature].notna(), None)
+        previous = now.shift()
+        previous.iloc[0] = before
+        same = (now == previous) | (now.isna() & previous.isna())
+        same.iloc[0] &= seen
+        last = now.iloc[-1]
+        state.update((last, True))
+        yield rows.loc[~same.to_numpy(), [key, order, signature]]
 
     slim = stream.select(F.col(key).cast("string").alias(key), F.col(order).cast("long").alias(order), F.col(signature).cast("string").alias(signature))
     schema = f"`{key}` string, `{order}` long, `{signature}` string"
@@ -94,6 +119,12 @@ def run_to_end(result: DataFrame, folder: str, mode: str) -> DataFrame:
     return spark.read.schema(result.schema).parquet(f"{out}/{last[0]}") if last else spark.createDataFrame([], result.schema)
 
 
+def polled(result: DataFrame, folder: str, every: str = "60 seconds", mode: str = "append"):
+    """The running query that looks for new rows at fixed intervals and appends what follows from them to ``folder``."""
+    writer = result.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime=every)
+    return writer.format("parquet").option("path", f"{folder}/rows").start()
+
+
 def write_split(batch: DataFrame, _: int, good: str, bad: str) -> None:
     """For foreachBatch: good readings and quarantined ones, each to its own table."""
     batch.persist()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slopeworks.functions import scalar as S
-from slopeworks.operators import catalog, geometry, joins, model, quality, raster, serving, state, timeseries, warnings
+from slopeworks.operators import catalog, geometry, joins, model, places, quality, raster, serving, state, timeseries, warnings
 from slopeworks.plans import streams
 from slopeworks.sources import readers, sinks
 from slopeworks.streaming import sensors
@@ -36,7 +36,7 @@ def test_missing_and_nan_values_leave_sums_null(spark):
 
 
 def test_min_max_of_a_constant_is_null(spark):
-    rows = timeseries.min_max(spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double"), ["a", "b"]).orderBy("a").collect()
+    rows = timeseries.min_max(spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double"), ["a", "b"], strict=False).orderBy("a").collect()
     assert [(r["a_norm"], r["b_norm"]) for r in rows] == [(0, None), (1, None)]
 
 
@@ -136,7 +136,8 @@ def test_warning_cases(spark, case):
     rows = spark.createDataFrame([(*case[:5], 0)], "score double, multiplier double, mode string, moisture double, freshness string, linked_events long")
     got = warnings.evaluate(rows).first()
     assert got["stage"] == case[5] and got["status"] == ("unavailable" if case[0] is None else "available")
-    assert "linked_events" in got["missing_inputs"] and ("rainfall" in got["missing_inputs"]) == (case[2] == "current")
+    assert (warnings.MISSING["rainfall"] in got["missing_inputs"]) == (case[2] == "current") and (warnings.MISSING["score"] in got["missing_inputs"]) == (case[0] is None)
+    assert [f["type"] for f in got["factors"]] == ["susceptibility", "rainfall", "soil_moisture", "hydrology", "historical_evidence"]
 
 
 # --- geometry
@@ -360,9 +361,10 @@ def test_publish_and_refuse(spark, tmp_path):
     df = spark.createDataFrame([(1, 1.0)], "k int, v double")
     sinks.publish({"t": df}, str(tmp_path / "out"))
     sinks.publish({"t": df.union(df)}, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out/t")).count() == 2
+    assert sinks.read_published(spark, str(tmp_path / "out"), "t").count() == 2
+    df.write.parquet(str(tmp_path / "there"))
     with pytest.raises(Exception, match="exist"):
-        sinks.refuse_overwrite(df, str(tmp_path / "out/t"))
+        sinks.refuse_overwrite(df, str(tmp_path / "there"))
     with pytest.raises(joins.CardinalityError):
         sinks.publish_if_unchanged(df.withColumn("v", F.col("v") + 1), df, str(tmp_path / "new"), ["k"], ["v"])
     sinks.write_provenance(spark, {"b": 1, "a": 2}, str(tmp_path / "p.json"))
@@ -393,3 +395,99 @@ def test_overlapping_polygons(spark):
     shapes = polygons(spark, ("a", SQUARE, []), ("b", [(x + 0.5, y) for x, y in SQUARE], []), ("c", [(x + 1.0, y) for x, y in SQUARE], []), ("d", SQUARE, []))
     got = {(r["a"], r["b"]): round(r["area"], 9) for r in geometry.overlaps(shapes, "code").collect()}
     assert got == {("a", "b"): 0.5, ("b", "c"): 0.5, ("a", "d"): 1.0, ("b", "d"): 0.5}
+
+
+# --- what fails, and odd inputs
+
+
+def test_min_max_refuses_constants_and_what_is_not_finite(spark):
+    for values in ([(1.0,), (1.0,)], [(1.0,), (float("nan"),)], [(1.0,), (None,)], [(1.0,), (float("inf"),)]):
+        with pytest.raises(Exception, match="constant or not finite"):
+            timeseries.min_max(spark.createDataFrame(values, "a double"), ["a"]).collect()
+    assert timeseries.min_max(spark.createDataFrame([], "a double"), ["a"]).count() == 0
+
+
+def test_unsupported_place_has_no_stage(spark):
+    rows = spark.createDataFrame([(90.0, 2.0, "scenario", False)], "score double, multiplier double, mode string, supported boolean")
+    got = warnings.evaluate(rows).first()
+    assert (got["status"], got["stage"], got["factors"], got["missing_inputs"]) == ("unavailable", None, None, [warnings.MISSING["coverage"]])
+
+
+def test_unknown_route_status_comes_last(spark):
+    rows = spark.createDataFrame([(1, "unheard"), (2, None), (3, "high_risk"), (4, "preferred")], "id int, status string")
+    for c in ("n_red", "n_orange", "n_high", "n_events", "distance_m", "duration_s"):
+        rows = rows.withColumn(c, F.lit(0))
+    got = [r["id"] for r in serving.ranked(rows, [*serving.route_order(), F.asc("id")]).orderBy("position").collect()]
+    assert got == [4, 3, 1, 2]
+
+
+def test_ranks_over_ranges_have_no_gaps(spark):
+    rows = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(37)).alias("s"), "id")
+    got = serving.ranked(rows, [F.desc("s"), F.asc("id")]).orderBy("position").collect()
+    assert [(-r["s"], r["id"]) for r in got] == sorted((-r["s"], r["id"]) for r in got) and [r["position"] for r in got] == list(range(1, 1001))
+
+
+def test_coverage_is_refused_with_the_keys(spark):
+    left = spark.createDataFrame([(1,), (2,)], "k int")
+    with pytest.raises(joins.CardinalityError, match="unmatched keys"):
+        joins.require_coverage(left, spark.createDataFrame([(1, 1.0)], "k int, x double"), "k", ["x"])
+    with pytest.raises(joins.CardinalityError, match="null"):
+        joins.require_coverage(left, spark.createDataFrame([(1, 1.0), (2, None)], "k int, x double"), "k", ["x"])
+
+
+def test_too_many_groups_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(model, "FOLDS", 2)
+    with pytest.raises(ValueError, match="groups"):
+        model.leave_one_group_out(spark.createDataFrame([(g, 1) for g in "abc"], "g string, y int"), "g", "y")
+
+
+def test_folds_with_a_fitted_model(spark):
+    rows = spark.createDataFrame([("abc"[k % 3], k % 2, float(k % 2) + k / 100) for k in range(60)], "g string, label int, x double")
+    splits = model.leave_one_group_out(rows, "g", "label")
+
+    def fit(training):
+        fitted = model.train(training, ["x"], kind="logistic")
+        return lambda test: fitted.transform(test).withColumn("probability", F.col("probability").cast("string")).withColumn("probability", F.col("prediction"))
+
+    by_fold, pooled = model.evaluate_folds(splits, "label", fit)
+    assert by_fold.count() == 3 and pooled.first()["roc_auc"] == 1.0
+
+
+def test_training_table_refuses_gaps(spark):
+    terrain = spark.createDataFrame([("1", 1.0, 0.0, 2.0, 3.0, 4.0)], "village_lgd_code string, elevation_mean_m double, elevation_min_m double, elevation_max_m double, slope_mean_deg double, slope_max_deg double")
+    days = spark.createDataFrame([("1", 1.0, 2.0, None)], "village_lgd_code string, rainfall_1d_mm double, rainfall_3d_mm double, rainfall_7d_mm double")
+    evidence = spark.createDataFrame([("1", 0)], f"village_lgd_code string, {model.TARGET} long")
+    master = spark.createDataFrame([("1", "t")], "village_lgd_code string, taluk_name_en string")
+    hydrology = spark.createDataFrame([("1", 1.0, 2.0, 0.5, 0.1)], "village_lgd_code string, " + ", ".join(f"{c} double" for c in model.HYDROLOGY))
+    with pytest.raises(joins.CardinalityError, match="null"):
+        model.training_table(terrain, days, evidence, master, hydrology)
+    full = model.training_table(terrain, days.withColumn("rainfall_7d_mm", F.lit(3.0)), evidence, master, hydrology).first()
+    assert (full["elevation_range_m"], full["label_s"], full["pu_status"]) == (2.0, 0, "UNLABELED")
+
+
+def test_samples_are_refused_with_their_ids(spark):
+    cells = spark.createDataFrame([(0, 0, 5.0), (0, 1, float("nan"))], "row int, col int, z double")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 0.5), (3, -0.1, 0.5)], "id int, x double, y double")
+    rows = places.sample(points, cells, 0.0, 1.0, 1.0, 1, 2, ["z"])
+    assert {r["id"]: r["sample_status"] for r in rows.collect()} == {1: "sampled", 2: "nodata", 3: "outside"}
+    with pytest.raises(joins.CardinalityError):
+        places.require_samples(rows, "id")
+
+
+def test_ingest_of_odd_bodies(spark):
+    bodies = ["", "[]", "null", '{"sensor_id":"a","soil_moisture_percent":"x"}', '{"sensor_id":"a","soil_moisture_percent":50,"raw_value":-1}', '{"sensor_id":"a","soil_moisture_percent":50}', None]
+    got = [r["reason"] for r in sensors.parsed(spark.createDataFrame(list(enumerate(bodies)), "k int, body string"), "body").orderBy("k").collect()]
+    assert got == ["malformed", "malformed", "malformed", "percent_out_of_range", "raw_out_of_range", None, "malformed"]
+
+
+def test_fill_of_odd_rasters(spark):
+    """No cell, a single cell, a hole in the middle as an outlet, and a pit behind a wall that several tiles share."""
+    assert raster.fill_depressions(grid(spark, [[1]]).limit(0)).count() == 0
+    assert [r["filled"] for r in raster.fill_depressions(grid(spark, [[7]])).collect()] == [7.0]
+    values = [[9] * 7 for _ in range(7)]
+    values[3][3], values[3][2] = None, 1
+    got = {(r["row"], r["col"]): r["filled"] for r in raster.fill_depressions(grid(spark, values), tile=3).collect()}
+    assert got[3, 2] == 1 and (3, 3) not in got and got[1, 1] == 9
+    wall = [[5] * 13] + [[5] + [1] * 11 + [5] for _ in range(11)] + [[5] * 6 + [3] + [5] * 6]
+    got = {(r["row"], r["col"]): r["filled"] for r in raster.fill_depressions(grid(spark, wall), tile=4).collect()}
+    assert got[1, 1] == got[11, 11] == 3 and got[0, 0] == 5
