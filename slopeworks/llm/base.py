@@ -32,12 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; one is set here only where the session has none, as in tests."""
+    """The session's ``spark.checkpoint.dir``; one is set here only where the session has none and all runs on one machine, as in tests."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", "")
     if named:
         return named
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="slopeworks-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
