@@ -8,8 +8,9 @@ every executor, where workers map it into memory. Words that it lacks are merged
 in order of rank. Decoding joins the tokens' strings as a tokenizer without a decoder does.
 
 Which characters are letters, digits or lower case depends on the Unicode version of who is asked. So
-chunks of plain ASCII are split here, and each distinct chunk with any other character is put in normal
-form and split into words by the tokenizer library's own tables; its words then take the same way as all others.
+a character beyond ASCII is first compared, once a worker: chunks of characters that the tokenizer library
+treats as Python does, and that never join others in normal form, are split here; each distinct chunk with any other
+character is put in normal form and split into words by the library. Its words then take the same way as all others.
 
 Defined cases: a null or empty text has no ids and decodes to nothing; special tokens in a text keep
 their own ids; repeated rows are encoded each for itself; an empty table gives an empty result and an
@@ -22,6 +23,7 @@ import atexit
 import json
 import os
 import tempfile
+import unicodedata
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -75,17 +77,40 @@ class Tokenizer:
         self.first = [self.vocab[c] for c in chars]
         self.last = [self.vocab[c + self.suffix] for c in chars]
         self.byte_of = {c: b for b, c in enumerate(chars)}
+        self.known: dict[str, bool] = {}  # by character: whether it is split here; at most one entry a code point
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def words_in(self, chunk: str) -> list[str]:
         """The normalised words of text without white space."""
-        if chunk.isascii():
-            return self.words.findall(chunk.lower())
+        if chunk.isascii() or self.safe(chunk):
+            return self.words.findall(chunk.lower() if "Σ" not in chunk else "".join(c.lower() for c in chunk))
+        return self.asked(chunk)
+
+    def asked(self, chunk: str) -> list[str]:
+        """The words by the library's own steps."""
         pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
         return [bytes([self.byte_of[c] for c in piece]).decode() for piece, _ in pieces]
 
+    def safe(self, chunk: str) -> bool:
+        """Whether all characters are known to be treated alike here and by the library, whatever is next to them."""
+        known = self.known
+        for c in set(chunk):
+            if c not in known:
+                known[c] = c.isascii() or self.alike(c)
+            if not known[c]:
+                return False
+        return True
+
+    def alike(self, c: str) -> bool:
+        """Marks, Hangul jamo and what is beyond the first plane may join others, and what Python does not know is not compared."""
+        if c > "\uffff" or "\u1100" <= c <= "\u11ff" or unicodedata.category(c)[0] in "MC":
+            return False
+        low = c.lower()
+        text = f"a{low}b{low}{low}1{low}.{low}"
+        return self.library.normalizer.normalize_str(f"a{c}b{c}") == f"a{low}b{low}" and self.asked(text) == self.words.findall(text)
+
     def merge(self, word: str) -> list[int]:
         """The ids of one word: of all neighbours the pair of lowest rank is merged, from the left, until none is left."""
         raw = word.encode("utf-8", "surrogatepass")
