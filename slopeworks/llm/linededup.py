@@ -2,7 +2,7 @@
 
 Lines are reduced to two 64-bit hashes of their key (stripped of blanks at both ends, A-Z in lower
 case). Hashes that many rows share are settled first, from counts that are pre-aggregated before
-their shuffle; there are at most HOT of them, so they are broadcast. All other hashes are
+their shuffle; they are few (see HOT), so they are broadcast. All other hashes are
 range-partitioned and sorted by hash, document and position, and a window that runs along that order
 sees for each line the first document that holds it. What comes out is no text: a sparse bitmap per
 document of the lines to drop, as a map from word number to the 64 bits of that word.
@@ -23,7 +23,8 @@ from slopeworks.llm import base
 
 #: Keys shorter than this many code points stay.
 LEAST = 10
-#: A hash is hot when it has more than one of HOT of all lines, so there are fewer than HOT.
+#: A hash is hot when it has more than one of HOT of all lines, or of as many as there are partitions if these are more, so there are
+#: fewer hot ones than that, and no other hash has more lines than a partition's share.
 HOT = 2000
 _BLANKS = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,11 +58,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), first, last)
     counts = base.settled(counts.filter("n > 1"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.filter(F.col("n") * HOT > total)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = counts.filter(F.col("n") * max(HOT, parts) > total)
     hot = hot.select("h1", "h2", F.col("first.id").alias("first_id"), (F.col("first") != F.col("last")).alias("shared"), F.lit(True).alias("hot"))
     marked = lines.join(F.broadcast(hot), ["h1", "h2"], "left")
     known = marked.filter("hot and shared and not (id <=> first_id)").select("id", "part", "pos")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = marked.filter("hot is null").select("h1", "h2", "id", "part", "pos").repartitionByRange(parts, "h1", "h2")
     along = Window.partitionBy("h1", "h2").orderBy(F.asc_nulls_last("id"), "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     streamed = ranged.withColumn("first_id", F.first(F.struct("id")).over(along)).filter("not (id <=> first_id.id)").select("id", "part", "pos")

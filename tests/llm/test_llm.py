@@ -108,11 +108,13 @@ def brute_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_line_dedup(docs, monkeypatch, hot):
-    """With HOT at 1 no hash is hot and all are streamed; by default, frequent ones are settled by the broadcast."""
+@pytest.mark.parametrize(("hot", "parts"), [(2000, "4"), (1, "1"), (1, "4")])
+def test_line_dedup(spark, docs, monkeypatch, hot, parts):
+    """With HOT and partitions at 1 no hash is hot and all are streamed; by default, frequent ones are settled by the broadcast."""
     monkeypatch.setattr(linededup, "HOT", hot)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"] or "") for r in linededup.kept_texts(docs).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got == brute_lines(enumerate(texts()))
 
 
