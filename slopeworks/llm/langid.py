@@ -40,6 +40,8 @@ BITS = 21
 #: The code of what separates words; those of letters are greater.
 MARK = 1
 UNKNOWN = "und"
+#: Documents of the sample that a task counts the n-grams of, or more.
+TASK = 500
 
 
 @lru_cache(maxsize=1)
@@ -161,6 +163,8 @@ def learn(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     labelled = docs.filter(training & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     labelled = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sample = base.settled(_sample(labelled))
+    # each task counts n-grams for itself, so many tasks of few documents would send most of them once a task
+    sample = sample.coalesce(1 + sample.count() // TASK)
     schema = "lang string, code long, n long"
     letters = sample.mapInArrow(_counted(), schema).groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").collect()
     # letters that no training document has share the last code, which is in no profile; at most as many rows as code points
