@@ -59,6 +59,16 @@ def usable(polygons: DataFrame, code: str, parts: str = "parts", cell: float = 1
     return polygons.join(validity(polygons, code, parts, cell).filter("valid").select(code), code, "left_semi")
 
 
+def merged(polygons: DataFrame, polygon_id: str, code: str, master: DataFrame, parts: str = "parts", cell: float = 1.0) -> DataFrame:
+    """(code, parts) of the master's codes: all parts of a code's valid polygons; invalid ones and other codes are left out.
+
+    District and sub-district are not compared, unlike in ``geometry.exact_code_polygons``. A point is inside if it is inside of any part.
+    """
+    known = usable(polygons, polygon_id, parts, cell).join(master.select(code).distinct(), code, "left_semi")
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(polygon_id).alias("id"), F.col(parts).alias("parts"))))
+    return known.groupBy(code).agg(F.flatten(F.transform(ordered, lambda p: p["parts"])).alias(parts))
+
+
 def interior_point(ring_edges: Column) -> Column:
     """A point inside (struct of x and y): the middle of the widest interior stretch half way up."""
     ys = F.concat(F.transform(ring_edges, lambda e: e["y1"]), F.transform(ring_edges, lambda e: e["y2"]))

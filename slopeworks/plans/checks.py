@@ -334,6 +334,25 @@ def _written_json(spark: SparkSession, rows: DataFrame) -> str:
     return at
 
 
+@query("select case when c_custkey % 2 = 0 then 'lat' else 'lon' end as axis, c_custkey as position, case when c_custkey % 30 = 4 then 'no_number' when c_custkey % 30 = 8 then 'out_of_limits' else 'not_rising' end as fault from customer where c_custkey < 80 and (c_custkey % 30 in (4, 8, 12) or (c_custkey % 30 = 10))")
+def axis_checks(spark, sf_dir):
+    """By place on the axis: no number, beyond the limits (the next one falls below it), and one that does not rise."""
+    k = F.col("c_custkey")
+    value = F.when(k % 30 == 4, F.lit(float("nan"))).when(k % 30 == 8, 999.0).when(k % 30 == 12, k - 2).otherwise(k.cast("double"))
+    axes = table(spark, sf_dir, "customer").filter("c_custkey < 80").select(F.when(k % 2 == 0, "lat").otherwise("lon").alias("axis"), k.alias("position"), value.alias("value"))
+    return readers.axis_faults(axes, {"lat": (0.0, 90.0), "lon": (0.0, 180.0)})
+
+
+@query("select c_custkey, case when c_custkey % 4 <> 0 then c_name end as slide, case when c_custkey % 4 <> 0 then 'Nilgiri' end as district, cast(case when c_custkey % 3 <> 0 then 11.25 end as double) as lat from customer")
+def anchored_columns(spark, sf_dir):
+    """Lines whose columns begin where the state's name does, at another place in each line."""
+    k = F.col("c_custkey")
+    lead, state = F.repeat(F.lit(" "), (k % 7).cast("int")), F.when(k % 4 != 0, "Statename ").otherwise("Elsewhere ")
+    line = F.concat(lead, state, F.lit("Nilgiri   "), F.col("c_name"), F.when(k % 3 != 0, "  10.5 76.0 11.25 76.5").otherwise("  -"))
+    rows = readers.anchored(table(spark, sf_dir, "customer").select("c_custkey", line.alias("value")), "Statename", [("district", 10, 10), ("slide", 20, 18)])
+    return rows.select("c_custkey", "slide", "district", F.col("place.latitude").alias("lat"))
+
+
 @query("""select 'rain' as source_id, 'available' as status union all select 'plan', 'planned' union all select 'gone', 'unavailable' union all select 'soil_moisture', 'unavailable' union all select 'shelters', 'available'""")
 def source_catalog(spark, sf_dir):
     here = f"{sf_dir}/region.parquet"

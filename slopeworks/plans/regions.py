@@ -72,6 +72,14 @@ def geometry_summary(spark, sf_dir):
     return geometry.geometry_summary(flagged, F.col("flag"))
 
 
+@query(f"with {_VALID} select k % 50 as code, count(*) + count(*) filter (k % 16 = 5) as n_parts from v where reason is null and k % 50 < 25 group by 1")
+def merged_polygons(spark, sf_dir):
+    """Valid polygons of the codes that the master knows; a code's polygons are one of several parts."""
+    rows = _odd_polygons(spark, sf_dir).withColumn("code", F.col("k") % 50)
+    master = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("code"))
+    return places.merged(rows, "k", "code", master, cell=2.0).select("code", F.size("parts").cast("long").alias("n_parts"))
+
+
 @query("select cast(n_nationkey as varchar) as vlcode from nation where n_nationkey % 3 = 0")
 def exact_code_polygons(spark, sf_dir):
     """Polygons whose three codes are those of one place; others have another district or sub-district."""

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slopeworks.functions.scalar import last_coordinates
+
 #: No file holds this, so "NA" and "" stay what they are.
 _NEVER = "\x00never\x00"
 
@@ -67,6 +69,32 @@ def rainfall_cube_checks(cube: DataFrame, year: int) -> DataFrame:
     )
 
 
+def axis_faults(axes: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
+    """(axis, position, fault) of a cube's axes (axis, position, value): a value that is no number, out of its limits, or not above the one before."""
+    from pyspark.sql.window import Window
+
+    value = F.col("value").cast("double")
+    before = F.last(F.when(~F.isnan(value), value), ignorenulls=True).over(Window.partitionBy("axis").orderBy("position").rowsBetween(Window.unboundedPreceding, -1))
+    low, high = (F.create_map(*(F.lit(x) for name, ends in limits.items() for x in (name, float(ends[k]))))[F.col("axis")] for k in (0, 1))
+    fault = F.when(value.isNull() | F.isnan(value), "no_number").when(~value.between(low, high), "out_of_limits").when(value <= before, "not_rising")
+    return axes.select("axis", "position", fault.alias("fault")).filter("fault is not null")
+
+
+def of_district(marks: DataFrame, names: list[str], attribute: str = "district") -> DataFrame:
+    """Placemarks of the districts, matched trimmed and in any case."""
+    return marks.filter(F.lower(F.trim(F.col("attributes")[attribute])).isin([n.strip().lower() for n in names]))
+
+
+def anchored(lines: DataFrame, state: str, columns: list[tuple[str, int, int]], text: str = "value") -> DataFrame:
+    """Cells of fixed-width lines whose columns are counted from where the state's name begins in each line, with the last coordinates.
+
+    Lines without the state's name have null cells.
+    """
+    at = F.nullif(F.instr(text, state), F.lit(0))
+    cell = lambda start, width: F.when(at.isNotNull(), F.nullif(F.trim(F.substring(F.col(text), F.greatest(F.lit(1), at + start), F.lit(width))), F.lit("")))
+    return lines.select("*", *(cell(start, width).alias(name) for name, start, width in columns), last_coordinates(F.col(text)).alias("place"))
+
+
 def inventory_rows(lines: DataFrame, text: str = "value") -> DataFrame:
     """Rows of a text table that begin with a serial number, with continuation lines joined to them.
 
