@@ -343,12 +343,12 @@ def axis_checks(spark, sf_dir):
     return readers.axis_faults(axes, {"lat": (0.0, 90.0), "lon": (0.0, 180.0)})
 
 
-@query("select c_custkey, case when c_custkey % 4 <> 0 then c_name end as slide, case when c_custkey % 4 <> 0 then 'Nilgiri' end as district, cast(case when c_custkey % 3 <> 0 then 11.25 end as double) as lat from customer")
+@query("select c_custkey, case when c_custkey % 4 <> 0 then c_name end as slide, case when c_custkey % 4 <> 0 then 'Hillside' end as district, cast(case when c_custkey % 3 <> 0 then 11.25 end as double) as lat from customer")
 def anchored_columns(spark, sf_dir):
     """Lines whose columns begin where the state's name does, at another place in each line."""
     k = F.col("c_custkey")
     lead, state = F.repeat(F.lit(" "), (k % 7).cast("int")), F.when(k % 4 != 0, "Statename ").otherwise("Elsewhere ")
-    line = F.concat(lead, state, F.lit("Nilgiri   "), F.col("c_name"), F.when(k % 3 != 0, "  10.5 76.0 11.25 76.5").otherwise("  -"))
+    line = F.concat(lead, state, F.lit("Hillside  "), F.col("c_name"), F.when(k % 3 != 0, "  10.5 76.0 11.25 76.5").otherwise("  -"))
     rows = readers.anchored(table(spark, sf_dir, "customer").select("c_custkey", line.alias("value")), "Statename", [("district", 10, 10), ("slide", 20, 18)])
     return rows.select("c_custkey", "slide", "district", F.col("place.latitude").alias("lat"))
 
