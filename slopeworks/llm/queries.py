@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopeworks.llm import base, bpe, htmltext, langid, linededup, packing, quality, sharding, simjoin, tokencount, topk
+from slopeworks.llm import base, bpe, fim, htmltext, langid, linededup, negatives, packing, quality, sharding, simjoin, tokencount, topk
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(base.table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.transform(base.table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    chars = lambda part: F.length(part).cast("long").alias(f"{part}_chars")
+    restored = fim.restore(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", chars("prefix"), chars("middle"), digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(base.table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, noisy)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
@@ -87,6 +100,8 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -117,5 +132,36 @@ with x as (
   select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored
 )
 select query_id, rank, vec_id, score from ranked where rank <= 10
+""",
+    "op12_fill_in_middle": r"""
+with h as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as units, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as d from documents
+), drawn as (
+  select *, len(units) as n, list_transform([1, 9, 17, 25], lambda k: cast('0x' || substr(d, k, 8) as bigint)) as h from h
+), cut as (
+  select doc_id, text, units, n, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h[3] % 100 >= 100 then 'plain' when h[4] % 100 < 50 then 'spm' else 'psm' end as form
+  from drawn
+), parts as (
+  select *, coalesce(array_to_string(units[1:a], ''), '') as p, coalesce(array_to_string(units[a + 1:b], ''), '') as m, coalesce(array_to_string(units[b + 1:n], ''), '') as s from cut
+)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256
+from parts
+""",
+    "op13_hard_negatives": """
+with x as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+), scored as (
+  select q.vec_id as anchor_id, x.vec_id, q.label = x.label as same, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i])) as bigint) as score
+  from x q join x on q.vec_id <> x.vec_id where q.vec_id % 100 = 0
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+), ranked as (
+  select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as integer) as rank, vec_id as negative_id, positive_score, score as negative_score
+  from positives join scored using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+)
+select * from ranked where rank <= 10
 """,
 }
