@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopeworks.llm import base, bpe, fim, htmltext, langid, linededup, negatives, packing, quality, sharding, simjoin, tokencount, topk
+from slopeworks.llm import base, bpe, fim, htmltext, langid, linededup, negatives, packing, quality, sharding, simjoin, tokencount, topk, warc
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +78,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(base.table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{base.shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    rows = warc.read(warc.write(base.table(spark, sf_dir, "pages"), folder)).drop("payload")
+    # what was just written has no gaps; one would be pages lost
+    lost = F.concat(F.lit("unreadable bytes in "), "path", F.lit(": "), "reason")
+    kind = F.when(F.col("reason").isNotNull(), F.raise_error(lost)).otherwise(F.col("type"))
+    rows = rows.withColumn("record_type", kind).filter(F.col("record_type") != "warcinfo")
+    key = lambda c: warc.page_id(F.col(c)).try_cast("long")
+    return rows.select(key("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", key("refers_to").alias("refers_to"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fim.transform(base.table(spark, sf_dir, "documents"))
     digest = lambda text: F.sha2(text.cast("binary"), 256)
@@ -100,6 +113,7 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
+    "op11_warc": op11_warc,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -132,6 +146,13 @@ with x as (
   select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored
 )
 select query_id, rank, vec_id, score from ranked where rank <= 10
+""",
+    "op11_warc": """
+with x as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as n from pages),
+f as (select *, case when n >= 1000 then max(page_id) over (partition by html) end as first from x)
+select page_id, n as payload_bytes, sha1(html) as payload_digest, case when first is distinct from page_id and first is not null then 'revisit' else 'response' end as record_type,
+  case when first is distinct from page_id then first end as refers_to
+from f
 """,
     "op12_fill_in_middle": r"""
 with h as (
