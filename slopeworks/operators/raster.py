@@ -1,17 +1,12 @@
 """Raster operators on long tables of cells (row, col, z): shifts by equal joins, graphs by doubling.
 
-Nothing holds a whole raster in one task: neighbours meet in joins on shifted coordinates, depressions
-are filled tile by tile with borders exchanged until nothing changes, and flow is accumulated along
-pointers that double their reach each round.
+Nothing holds a whole raster in one task: neighbours meet in joins on shifted coordinates, and flow is
+accumulated along pointers that double their reach each round. ``drainage`` fills, drains and accumulates whole
+rasters tile by tile.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,7 +15,6 @@ from slopeworks.runtime import settled
 
 #: Neighbours in their order of preference: row step, column step, direction code (fixed values).
 D8 = ((0, 1, 1), (1, 1, 2), (1, 0, 4), (1, -1, 8), (0, -1, 16), (-1, -1, 32), (-1, 0, 64), (-1, 1, 128))
-TILE = 128
 
 
 def mosaic(tiles: DataFrame, order: str = "tile_order") -> DataFrame:
@@ -75,13 +69,13 @@ def downstream(cells: DataFrame) -> DataFrame:
     return steps.join(there, ["to_row", "to_col"], "left_semi")
 
 
-def accumulate(nodes: DataFrame, node: str = "node", down: str = "down") -> DataFrame:
-    """(node, accumulation): how many nodes, itself included, lead to each over the edges to ``down`` (null: none).
+def accumulate(nodes: DataFrame, node: str = "node", down: str = "down", weight: str | None = None) -> DataFrame:
+    """(node, accumulation): how many nodes, itself included, lead to each over the edges to ``down`` (null: none), or the sum of their weights.
 
     After k rounds a node has counted all that lead to it in fewer than 2**k steps, and points 2**k steps
     down, so the rounds grow with the logarithm of the longest path. A cycle has no end and is an error.
     """
-    state = settled(nodes.select(F.col(node).alias("node"), F.col(down).alias("ptr"), F.lit(1).cast("long").alias("acc")))
+    state = settled(nodes.select(F.col(node).alias("node"), F.col(down).alias("ptr"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("acc")))
     rounds, most = 0, state.count().bit_length()
     while not state.filter("ptr is not null").isEmpty():
         if rounds > most:
@@ -96,156 +90,6 @@ def accumulate(nodes: DataFrame, node: str = "node", down: str = "down") -> Data
     return state.select(F.col("node").alias(node), F.col("acc").alias("accumulation"))
 
 
-_TILE = "tr int, tc int, round int, z binary, level binary, border boolean"
-_MESSAGE = "tr int, tc int, at binary, level binary"
-
-
-def _relax(z: list[float], level: list[float], heap: list[tuple[float, int]], width: int) -> None:
-    """Lowers levels from the cells in the heap on: the least level first, each neighbour to the greater of it and its ground.
-
-    Cells outside have the least level already, so none is lowered.
-    """
-    steps = [dr * width + dc for dr, dc, _ in D8]
-    heapq.heapify(heap)
-    pop, push = heapq.heappop, heapq.heappush
-    while heap:
-        f, k = pop(heap)
-        if f > level[k]:
-            continue
-        for d in steps:
-            n = k + d
-            if level[n] > f:
-                new = z[n] if z[n] > f else f
-                if new < level[n]:
-                    level[n] = new
-                    push(heap, (new, n))
-
-
-def _padded(values: np.ndarray, tile: int, outside: float) -> list[float]:
-    return np.pad(values.reshape(tile, tile), 1, constant_values=outside).ravel().tolist()
-
-
-def _inner(values: list[float], tile: int) -> np.ndarray:
-    return np.array(values).reshape(tile + 2, tile + 2)[1:-1, 1:-1].ravel()
-
-
-def _started(tile: int):
-    """One tile from its cells and those around it: water that leaves at an outlet of its own."""
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        tr, tc = key[0].as_py(), key[1].as_py()
-        r, c = (rows.column(n).to_numpy() - t * tile + 1 for n, t in (("row", tr), ("col", tc)))
-        ground = np.full((tile + 2, tile + 2), np.inf)
-        ground[r, c] = rows.column("z").to_numpy()
-        there = np.isfinite(ground)
-        around = sum(there[1 + dr : tile + 1 + dr, 1 + dc : tile + 1 + dc] for dr, dc, _ in D8)
-        inner = there[1:-1, 1:-1]
-        z = ground[1:-1, 1:-1].ravel()
-        flat = np.where(inner.ravel(), np.inf, -np.inf)
-        padded = _padded(flat, tile, -np.inf)
-        heap = []
-        for i, j in np.argwhere(inner & (around < 8)).tolist():
-            k = (i + 1) * (tile + 2) + j + 1
-            padded[k] = float(ground[i + 1, j + 1])
-            heap.append((padded[k], k))
-        _relax(_padded(z, tile, np.inf), padded, heap, tile + 2)
-        return _tile_row(tr, tc, 0, z, _inner(padded, tile), True)
-
-    return run
-
-
-def _tile_row(tr: int, tc: int, number: int, z: np.ndarray, level: np.ndarray, border: bool) -> pa.Table:
-    columns = ([tr], pa.int32()), ([tc], pa.int32()), ([number], pa.int32()), ([z.tobytes()], pa.binary()), ([level.tobytes()], pa.binary()), ([border], pa.bool_())
-    return pa.table([pa.array(v, t) for v, t in columns], names=["tr", "tc", "round", "z", "level", "border"])
-
-
-def _told(tile: int):
-    """What a tile with a changed border tells each tile around it: the levels along the side or corner that they share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strip = {-1: slice(0, 1), 0: slice(0, tile), 1: slice(tile - 1, tile)}
-        for batch in batches:
-            out: list[tuple] = []
-            for tr, tc, raw in zip(*(batch.column(n).to_pylist() for n in ("tr", "tc", "level"))):
-                level = np.frombuffer(raw, np.float64).reshape(tile, tile)
-                for dr, dc, _ in D8:
-                    side = level[strip[dr], strip[dc]]
-                    i, j = np.nonzero(np.isfinite(side))
-                    if len(i):
-                        # places in the padded tile that is told
-                        r, c = i + (strip[dr].start - dr * tile + 1), j + (strip[dc].start - dc * tile + 1)
-                        out.append((tr + dr, tc + dc, (r * (tile + 2) + c).astype("<i8").tobytes(), side[i, j].astype("<f8").tobytes()))
-            kinds = pa.int32(), pa.int32(), pa.binary(), pa.binary()
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["tr", "tc", "at", "level"])
-
-    return run
-
-
-def _heard(tile: int):
-    """A tile with the levels around it: its row if any of its levels falls."""
-
-    def run(key: tuple, state: pa.Table, messages: pa.Table) -> pa.Table:
-        empty = pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_())], names=["tr", "tc", "round", "z", "level", "border"])
-        if not state.num_rows or not messages.num_rows:
-            return empty
-        z, before = (np.frombuffer(state.column(n)[0].as_py(), np.float64) for n in ("z", "level"))
-        level, heap = _padded(before, tile, -np.inf), []
-        for at, values in zip(messages.column("at").to_pylist(), messages.column("level").to_pylist()):
-            heap += zip(np.frombuffer(values, "<f8").tolist(), np.frombuffer(at, "<i8").tolist())
-        # a halo cell is no higher than what is told of it, so that it passes its level on
-        ground, width = _padded(z, tile, np.inf), tile + 2
-        inside = []
-        for f, k in heap:
-            for dr, dc, _ in D8:
-                n = k + dr * width + dc
-                if 0 <= n < len(level) and level[n] > f and max(f, ground[n]) < level[n]:
-                    level[n] = max(f, ground[n])
-                    inside.append((level[n], n))
-        if not inside:
-            return empty
-        _relax(ground, level, inside, width)
-        after = _inner(level, tile)
-        moved = (after != before).reshape(tile, tile)
-        border = bool(moved[0].any() or moved[-1].any() or moved[:, 0].any() or moved[:, -1].any())
-        return _tile_row(key[0].as_py(), key[1].as_py(), state.column("round")[0].as_py() + 1, z, after, border)
-
-    return run
-
-
-def _cells_of(tile: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for tr, tc, z, level in zip(*(batch.column(n).to_pylist() for n in ("tr", "tc", "z", "level"))):
-                z, level = np.frombuffer(z, np.float64), np.frombuffer(level, np.float64)
-                at = np.flatnonzero(np.isfinite(z))
-                rows = pa.array((at // tile + tr * tile).astype(np.int32)), pa.array((at % tile + tc * tile).astype(np.int32)), pa.array(z[at]), pa.array(level[at])
-                yield pa.RecordBatch.from_arrays(list(rows), names=["row", "col", "z", "filled"])
-
-    return run
-
-
-def fill_depressions(cells: DataFrame, tile: int = TILE) -> DataFrame:
-    """(row, col, z, filled): the least level at which water leaves each valid cell for the raster's edge or an invalid cell.
-
-    That level is unique. A tile is one row, solved by a priority flood with the cells around it. A tile whose border
-    fell tells the tiles next to it, and only tiles that were told are looked at again, until no border falls;
-    levels only fall, so this ends.
-    """
-    ok = F.col("z").isNotNull() & ~F.isnan(F.col("z").cast("double")) & (F.abs(F.col("z").cast("double")) != float("inf"))
-    valid = cells.filter(ok).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("z").cast("double").alias("z"))
-    reach = F.array(*(F.struct(F.floor((F.col("row") + dr) / tile).cast("int").alias("tr"), F.floor((F.col("col") + dc) / tile).cast("int").alias("tc")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)))
-    spread = valid.withColumn("t", F.explode(F.array_distinct(reach))).select("t.tr", "t.tc", "row", "col", "z")
-    state = news = settled(spread.groupBy("tr", "tc").applyInArrow(_started(tile), _TILE))
-    latest = F.max_by(F.struct("round", "z", "level", "border"), "round").alias("x")
-    while True:
-        messages = news.filter("border").select("tr", "tc", "level").mapInArrow(_told(tile), _MESSAGE)
-        told = state.join(messages.select("tr", "tc").distinct(), ["tr", "tc"], "left_semi").groupBy("tr", "tc").agg(latest).select("tr", "tc", "x.*")
-        news = settled(told.groupBy("tr", "tc").cogroup(messages.groupBy("tr", "tc")).applyInArrow(_heard(tile), _TILE))
-        if news.isEmpty():
-            return state.groupBy("tr", "tc").agg(latest).select("tr", "tc", "x.*").mapInArrow(_cells_of(tile), "row int, col int, z double, filled double")
-        state = state.unionByName(news)
-
-
 def stream_mask(cells: DataFrame, threshold: int) -> DataFrame:
     return cells.withColumn("is_stream", F.coalesce(F.col("accumulation") >= threshold, F.lit(False)))
 

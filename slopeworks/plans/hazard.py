@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slopeworks.functions import scalar as S
-from slopeworks.operators import catalog, geometry, joins, model, quality, raster, serving, state, timeseries, warnings
+from slopeworks.operators import catalog, drainage, geometry, joins, model, quality, raster, serving, state, timeseries, warnings
 from slopeworks.runtime import table
 from slopeworks.streaming import sensors
 
@@ -398,7 +398,7 @@ def flow_accumulation(spark, sf_dir):
 
 @query()
 def depression_fill(spark, sf_dir):
-    return raster.fill_depressions(_cells(spark, sf_dir))
+    return drainage.fill_depressions(_cells(spark, sf_dir))
 
 
 def _flow(spark, sf_dir):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return on_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,6 +28,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept in the shared folder, which a lost executor rereads."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows of ``df``, computed once and kept as a table in the shared folder, which a lost executor rereads.
+
+    A written table has its own size. A checkpoint keeps the estimate of what it was made from, which a loop of joins
+    multiplies until planning a round takes longer than running it.
+    """
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def on_workers(spark: SparkSession) -> SparkSession:
+    """Makes this package importable on workers, wherever the driver was started; clusters that ship it are left as they are."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    return spark

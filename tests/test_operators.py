@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slopeworks.functions import scalar as S
-from slopeworks.operators import catalog, geometry, joins, model, places, quality, raster, serving, state, timeseries, warnings
+from slopeworks.operators import catalog, drainage, geometry, joins, model, places, quality, raster, serving, state, timeseries, warnings
 from slopeworks.plans import streams
 from slopeworks.sources import readers, sinks
 from slopeworks.streaming import sensors
@@ -212,7 +212,7 @@ def test_fill_over_many_tiles_is_a_priority_flood(spark):
 
     rnd = random.Random(1)
     values = [[rnd.randrange(50) for _ in range(20)] for _ in range(20)]
-    got = {(r["row"], r["col"]): r["filled"] for r in raster.fill_depressions(grid(spark, values), tile=6).collect()}
+    got = {(r["row"], r["col"]): r["filled"] for r in drainage.fill_depressions(grid(spark, values), tile=6).collect()}
     assert got == priority_flood(values)
 
 
@@ -482,12 +482,12 @@ def test_ingest_of_odd_bodies(spark):
 
 def test_fill_of_odd_rasters(spark):
     """No cell, a single cell, a hole in the middle as an outlet, and a pit behind a wall that several tiles share."""
-    assert raster.fill_depressions(grid(spark, [[1]]).limit(0)).count() == 0
-    assert [r["filled"] for r in raster.fill_depressions(grid(spark, [[7]])).collect()] == [7.0]
+    assert drainage.fill_depressions(grid(spark, [[1]]).limit(0)).count() == 0
+    assert [r["filled"] for r in drainage.fill_depressions(grid(spark, [[7]])).collect()] == [7.0]
     values = [[9] * 7 for _ in range(7)]
     values[3][3], values[3][2] = None, 1
-    got = {(r["row"], r["col"]): r["filled"] for r in raster.fill_depressions(grid(spark, values), tile=3).collect()}
+    got = {(r["row"], r["col"]): r["filled"] for r in drainage.fill_depressions(grid(spark, values), tile=3).collect()}
     assert got[3, 2] == 1 and (3, 3) not in got and got[1, 1] == 9
     wall = [[5] * 13] + [[5] + [1] * 11 + [5] for _ in range(11)] + [[5] * 6 + [3] + [5] * 6]
-    got = {(r["row"], r["col"]): r["filled"] for r in raster.fill_depressions(grid(spark, wall), tile=4).collect()}
+    got = {(r["row"], r["col"]): r["filled"] for r in drainage.fill_depressions(grid(spark, wall), tile=4).collect()}
     assert got[1, 1] == got[11, 11] == 3 and got[0, 0] == 5
