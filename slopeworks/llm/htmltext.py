@@ -15,8 +15,9 @@ compared; the texts that may stay meet the outcome in one join.
 Differencing alone deletes sentences that two articles happen to share and leaves adverts, notices and comments that differ
 from page to page. So markup corrects it both ways: it vetoes the deletion of a line within an
 article or main element, and it deletes lines that differencing has left in elements that are menus, headers, footers,
-sidebars, notices, adverts, forms or comments by their name, role or class. ``n_shared`` counts the lines that
-differencing deleted, ``n_vetoed`` those that it would have, and ``n_marked`` those that only markup deleted.
+sidebars, notices, adverts, forms or comments by their name, role or class. ``n_shared`` counts the lines that go by
+differencing alone, ``n_both`` those that markup deletes as well, ``n_vetoed`` those that differencing would have deleted, and
+``n_marked`` those that only markup deletes. Only where ``n_shared`` is not 0 does differencing change a page's text.
 
 Defined cases: a null or empty html has an empty text; a null url is a host and path of its own; unclosed
 elements end with the page; repeated rows are copies of each other; pages without lines are no
@@ -194,12 +195,13 @@ def shared_lines(lines: list, sizes: list[int], others: list[list]) -> tuple[int
     return at, best[1] if best else set()
 
 
-def kept_lines(page: list[Line], shared: set[int]) -> tuple[list[int], int, int, int]:
-    """Positions of the lines that stay, and how many were deleted as shared, vetoed from that, and deleted by markup only."""
+def kept_lines(page: list[Line], shared: set[int]) -> tuple[list[int], int, int, int, int]:
+    """Positions of the lines that stay, and how many go as shared only, as shared and marked, were vetoed, and go by markup only."""
     gone = {k for k in shared if not page[k].main}
     left = [k for k in range(len(page)) if k not in gone]
     kept = [k for k in left if not page[k].aside]
-    return kept, len(gone), len(shared) - len(gone), len(left) - len(kept)
+    both = sum(page[k].aside for k in gone)
+    return kept, len(gone) - both, both, len(shared) - len(gone), len(left) - len(kept)
 
 
 def main_text(page: list[Line], neighbours: list[list[Line]]) -> str:
@@ -249,8 +251,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = [Line("" if k >= _ASIDE_LINE else next(texts), k in (_MAIN_LINE, _ASIDE_IN_MAIN), k >= _ASIDE_LINE) for k in kinds]
             kept, *counts = kept_lines(page, set(shared or ()))
             found.append((" ".join(page[k].text for k in kept), *counts))
-        counts = [pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array([f[0] for f in found], pa.string()), *counts], names=["id", "url", "text", "n_shared", "n_vetoed", "n_marked"])
+        counts = [pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3, 4)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array([f[0] for f in found], pa.string()), *counts], names=["id", "url", "text", "n_shared", "n_both", "n_vetoed", "n_marked"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +323,7 @@ def _ranked(outlines: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """A row per page: its id, ``url``, main ``text``, and ``n_shared``, ``n_vetoed`` and ``n_marked`` lines."""
+    """A row per page: its id, ``url``, main ``text``, and ``n_shared``, ``n_both``, ``n_vetoed`` and ``n_marked`` lines."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = rows.schema["id"].dataType.simpleString()
     host = F.lower(F.regexp_extract("url", r"^[^:/?#]+://([^/?#]*)", 1))
@@ -336,4 +338,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         found = _resolved(ranked, found)
     parsed = on_host(rows.mapInArrow(_parsed, f"id {kind}, url string, key binary, kinds binary, texts binary"))
     met = parsed.join(found.select("host", "key", "shared"), ["host", "key"], "left").select("id", "url", "kinds", "texts", "shared")
-    return met.mapInArrow(_cut, f"id {kind}, url string, text string, n_shared long, n_vetoed long, n_marked long").withColumnRenamed("id", id_col)
+    return met.mapInArrow(_cut, f"id {kind}, url string, text string, n_shared long, n_both long, n_vetoed long, n_marked long").withColumnRenamed("id", id_col)

@@ -37,7 +37,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = htmltext.extract(base.table(spark, sf_dir, "pages"))
-    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_vetoed", "n_marked")
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_both", "n_vetoed", "n_marked")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,9 +176,20 @@ def test_pages_by_brute_force(spark, sf_dir):
         if sum(len(own[k]) for k in shared) <= htmltext.COPY * sum(map(len, own)):  # others look farther
             kept, *counts = htmltext.kept_lines(mine, shared)
             want[key] = (" ".join(own[k] for k in kept), *counts)
-    got = {r["page_id"]: (r["text"], r["n_shared"], r["n_vetoed"], r["n_marked"]) for r in queries.op5_html_text(spark, sf_dir).collect()}
+    got = {r["page_id"]: (r["text"], r["n_shared"], r["n_both"], r["n_vetoed"], r["n_marked"]) for r in queries.op5_html_text(spark, sf_dir).collect()}
     assert len(got) == len(pages) and {k: got[k] for k in want} == want and len(want) > len(pages) / 2
-    assert sum(x[1] for x in got.values()) > 0
+    assert sum(x[2] for x in got.values()) > 0
+    # a text changes by differencing where n_shared says so, and nowhere else
+    alone = {key: " ".join(x.text for x in htmltext.lines_of(html or "") if not x.aside) for key, _, html in pages}
+    assert all((got[k][0] != text) == (got[k][1] > 0) for k, text in alone.items())
+
+
+def test_credit_goes_to_what_changes_a_page(spark):
+    """Lines that nothing marks go by differencing alone; those that markup deletes as well are counted apart."""
+    page = lambda k: f"<div>Top of the site</div><p>Story {k}, told at some length</p><footer>All rights reserved</footer><article>Shared words</article><nav>Menu {k}</nav>"
+    rows = htmltext.extract(spark.createDataFrame([(k, f"http://a.b/{k}", page(k)) for k in range(3)], "page_id long, url string, html string")).collect()
+    assert {(r["n_shared"], r["n_both"], r["n_vetoed"], r["n_marked"]) for r in rows} == {(1, 1, 1, 1)}
+    assert {r["text"] for r in rows} == {f"Story {k}, told at some length Shared words" for k in range(3)}
 
 
 # --- top-k
