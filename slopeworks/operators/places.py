@@ -5,66 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slopeworks.operators.geometry import RING, by_cell, contains, edges, on_edge, to_segment_m, touches, with_box
+from slopeworks.operators.geometry import by_cell, contains, edges, to_segment_m, touches, with_box
 from slopeworks.operators.joins import enforce
+from slopeworks.operators.validity import validity
 
 
-def _side(p: Column, q: Column, x: Column, y: Column) -> Column:
-    return F.signum((q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"]))
-
-
-def _numbered_edges(polygons: DataFrame, code: str, parts: str) -> DataFrame:
-    """(_code, part, ring, k, n, a, b): the edges of every ring, numbered along it; ring 0 of a part is its shell."""
-    rings = polygons.select(F.col(code).alias("_code"), F.posexplode(parts).alias("part", "p"))
-    rings = rings.select("_code", "part", F.posexplode(F.concat(F.array("p.shell"), F.coalesce("p.holes", F.array().cast(f"array<{RING}>")))).alias("ring", "r"))
-    pairs = F.zip_with(F.slice("r", 1, F.size("r") - 1), F.slice("r", 2, F.size("r") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return rings.filter(F.size("r") >= 2).select("_code", "part", "ring", (F.size("r") - 1).alias("n"), F.posexplode(pairs).alias("k", "e")).select("_code", "part", "ring", "n", "k", "e.a", "e.b")
-
-
-def validity(polygons: DataFrame, code: str, parts: str = "parts", cell: float = 1.0) -> DataFrame:
-    """(code, valid, reason) of every polygon; ``code`` is unique.
-
-    A ring is closed, has four points at least and neither crosses nor touches itself; rings of one part do
-    not cross; a hole lies in its shell. Edges meet in an equal join on grid cells, so a polygon with many
-    edges is not compared edge by edge. Parts of one polygon are not compared with each other.
-    """
-    ring_faults = lambda r: F.when(r.isNull() | (F.size(r) < 4), "too_few_points").when(r[0] != F.element_at(r, -1), "not_closed").when(F.exists(r, lambda p: F.isnan(p["x"]) | F.isnan(p["y"]) | p["x"].isNull() | p["y"].isNull()), "not_finite")
-    rings = F.flatten(F.transform(parts, lambda p: F.concat(F.array(p["shell"]), F.coalesce(p["holes"], F.array().cast(f"array<{RING}>")))))
-    shape = F.when(F.col(parts).isNull() | (F.size(parts) == 0), "empty").otherwise(F.get(F.array_compact(F.transform(rings, ring_faults)), 0))
-    shaped = polygons.select(code, parts, shape.alias("_shape"))
-    e = _numbered_edges(shaped.filter("_shape is null"), code, parts)
-    lo, hi = (lambda c: F.floor(F.least(F.col(f"a.{c}"), F.col(f"b.{c}")) / cell)), (lambda c: F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / cell))
-    spread = e.withColumn("cx", F.explode(F.sequence(lo("x"), hi("x")))).withColumn("cy", F.explode(F.sequence(lo("y"), hi("y"))))
-    left = spread.select("_code", "part", "cx", "cy", F.col("n").alias("n"), F.col("ring").alias("r1"), F.col("k").alias("k1"), F.col("a").alias("a1"), F.col("b").alias("b1"))
-    right = spread.select("_code", "part", "cx", "cy", F.col("ring").alias("r2"), F.col("k").alias("k2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    met = left.join(right, ["_code", "part", "cx", "cy"]).filter((F.col("r1") < F.col("r2")) | ((F.col("r1") == F.col("r2")) & (F.col("k1") < F.col("k2"))))
-    a1, b1, a2, b2 = (F.col(c) for c in ("a1", "b1", "a2", "b2"))
-    s1, s2, s3, s4 = _side(a1, b1, a2["x"], a2["y"]), _side(a1, b1, b2["x"], b2["y"]), _side(a2, b2, a1["x"], a1["y"]), _side(a2, b2, b1["x"], b1["y"])
-    crosses = (s1 * s2 < 0) & (s3 * s4 < 0)
-    edge = lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
-    lies = lambda p, a, b: on_edge(edge(a, b), p["x"], p["y"])
-    any_touch = lies(a2, a1, b1) | lies(b2, a1, b1) | lies(a1, a2, b2) | lies(b1, a2, b2)
-    following, around = F.col("k2") == F.col("k1") + 1, (F.col("k1") == 0) & (F.col("k2") == F.col("n") - 1)
-    # neighbours share a point; a spike runs back along the edge before it
-    spike = F.when(following, lies(b2, a1, b1) | lies(a1, a2, b2)).when(around, lies(a2, a1, b1) | lies(b1, a2, b2)).otherwise(any_touch)
-    bad = met.filter(F.when(F.col("r1") == F.col("r2"), crosses | spike).otherwise(crosses)).select(F.col("_code").alias(code), F.lit("self_intersection").alias("_cut")).distinct()
-    ring_edges = lambda r: edges(F.array(F.struct(r.alias("shell"), F.array().cast(f"array<{RING}>").alias("holes"))))
-    outside = lambda p: F.exists(F.coalesce(p["holes"], F.array().cast(f"array<{RING}>")), lambda h: ~F.exists(h, lambda v: contains(ring_edges(p["shell"]), v["x"], v["y"])))
-    out = shaped.join(bad, code, "left").withColumn("_reason", F.coalesce("_shape", "_cut", F.when(F.col("_shape").isNull() & F.exists(parts, outside), "hole_outside_shell")))
-    return out.select(code, F.col("_reason").isNull().alias("valid"), F.col("_reason").alias("reason"))
-
-
-def usable(polygons: DataFrame, code: str, parts: str = "parts", cell: float = 1.0) -> DataFrame:
+def usable(polygons: DataFrame, code: str, parts: str = "parts") -> DataFrame:
     """The polygons that are valid."""
-    return polygons.join(validity(polygons, code, parts, cell).filter("valid").select(code), code, "left_semi")
+    return polygons.join(validity(polygons, code, parts).filter("valid").select(code), code, "left_semi")
 
 
-def merged(polygons: DataFrame, polygon_id: str, code: str, master: DataFrame, parts: str = "parts", cell: float = 1.0) -> DataFrame:
+def merged(polygons: DataFrame, polygon_id: str, code: str, master: DataFrame, parts: str = "parts") -> DataFrame:
     """(code, parts) of the master's codes: all parts of a code's valid polygons; invalid ones and other codes are left out.
 
     District and sub-district are not compared, unlike in ``geometry.exact_code_polygons``. A point is inside if it is inside of any part.
     """
-    known = usable(polygons, polygon_id, parts, cell).join(master.select(code).distinct(), code, "left_semi")
+    known = usable(polygons, polygon_id, parts).join(master.select(code).distinct(), code, "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(polygon_id).alias("id"), F.col(parts).alias("parts"))))
     return known.groupBy(code).agg(F.flatten(F.transform(ordered, lambda p: p["parts"])).alias(parts))
 

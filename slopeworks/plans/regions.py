@@ -57,18 +57,19 @@ def _odd_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.when(k % 8 == 0, shapes[0])
     for n, shape in enumerate(shapes[1:], 1):
         part = part.when(k % 8 == n, shape)
-    return table(spark, sf_dir, "customer").select(k.alias("k"), F.when(k % 16 == 5, F.array(part, part)).otherwise(F.array(part)).alias("parts"))
+    beside = _part(_ring(at(10, 0), at(14, 0), at(14, 4), at(10, 4), at(10, 0)), _ring(at(11, 1), at(12, 1), at(12, 2), at(11, 1)))  # parts may not overlap
+    return table(spark, sf_dir, "customer").select(k.alias("k"), F.when(k % 16 == 5, F.array(part, beside)).otherwise(F.array(part)).alias("parts"))
 
 
 @query(f"with {_VALID} select k, reason is null as valid, reason from v")
 def polygon_validity(spark, sf_dir):
-    return places.validity(_odd_polygons(spark, sf_dir), "k", cell=2.0)
+    return places.validity(_odd_polygons(spark, sf_dir), "k")
 
 
 @query(f"with {_VALID} select count(*) as records, count(*) filter (reason is null) as valid, count(*) filter (reason is not null) as invalid, count(*) filter (k % 16 = 5) as multipart, count(*) + count(*) filter (k % 16 = 5) as polygon_parts from v")
 def geometry_summary(spark, sf_dir):
     rows = _odd_polygons(spark, sf_dir)
-    flagged = rows.join(places.validity(rows, "k", cell=2.0).select("k", F.col("valid").alias("flag")), "k")
+    flagged = rows.join(places.validity(rows, "k").select("k", F.col("valid").alias("flag")), "k")
     return geometry.geometry_summary(flagged, F.col("flag"))
 
 
@@ -77,7 +78,7 @@ def merged_polygons(spark, sf_dir):
     """Valid polygons of the codes that the master knows; a code's polygons are one of several parts."""
     rows = _odd_polygons(spark, sf_dir).withColumn("code", F.col("k") % 50)
     master = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("code"))
-    return places.merged(rows, "k", "code", master, cell=2.0).select("code", F.size("parts").cast("long").alias("n_parts"))
+    return places.merged(rows, "k", "code", master).select("code", F.size("parts").cast("long").alias("n_parts"))
 
 
 @query("select cast(n_nationkey as varchar) as vlcode from nation where n_nationkey % 3 = 0")
