@@ -40,23 +40,6 @@ def files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return df.select("path", "content").orderBy("path")
 
 
-def placemarks(spark: SparkSession, path: str) -> DataFrame:
-    """(attributes, parts) of the placemarks of a KML file, read as a whole text per file and cut by expressions.
-
-    ``attributes`` is a map of data names to values; rings of fewer than four points are left out.
-    """
-    text = spark.read.option("wholetext", True).text(path)
-    mark = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<Placemark\b[^>]*>(.*?)</Placemark>"), F.lit(1))).alias("mark"))
-    names = F.regexp_extract_all("mark", F.lit(r'(?s)<(?:Simple)?Data\s+name="([^"]*)"\s*>'), F.lit(1))
-    values = F.transform(F.regexp_extract_all("mark", F.lit(r'(?s)<(?:Simple)?Data\s+name="[^"]*"\s*>(.*?)</(?:Simple)?Data>'), F.lit(1)), lambda v: F.trim(F.regexp_replace(v, "<[^>]*>", "")))
-    point = lambda p: F.struct(F.split(p, ",")[0].try_cast("double").alias("x"), F.split(p, ",")[1].try_cast("double").alias("y"))
-    ring = lambda c: F.transform(F.filter(F.split(F.trim(c), r"\s+"), lambda p: p != ""), point)
-    rings = lambda part, kind: F.filter(F.transform(F.regexp_extract_all(part, F.lit(rf"(?s)<{kind}BoundaryIs>.*?<coordinates>(.*?)</coordinates>"), F.lit(1)), ring), lambda r: F.size(r) >= 4)
-    polygons = F.regexp_extract_all("mark", F.lit(r"(?s)<Polygon\b[^>]*>(.*?)</Polygon>"), F.lit(1))
-    parts = F.filter(F.transform(polygons, lambda p: F.struct(F.get(rings(p, "outer"), F.lit(0)).alias("shell"), rings(p, "inner").alias("holes"))), lambda p: p["shell"].isNotNull())
-    return mark.select(F.map_from_arrays(names, values).alias("attributes"), parts.alias("parts"))
-
-
 def rainfall_cube_checks(cube: DataFrame, year: int) -> DataFrame:
     """One row of structural checks on a long rainfall table (date, lat, lon, mm) of a source year."""
     wanted = F.dayofyear(F.make_date(F.lit(year), F.lit(12), F.lit(31)))

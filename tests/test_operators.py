@@ -350,13 +350,6 @@ def test_csv_keeps_literals_and_drops_the_mark(spark, tmp_path):
     assert rows.columns == ["code", "name"] and sorted(map(tuple, rows.collect())) == [("001", "x"), ("NA", "")]
 
 
-def test_placemarks(spark, tmp_path):
-    ring = lambda pts: " ".join(f"{x},{y},0" for x, y in pts)
-    (tmp_path / "a.kml").write_text(f'<kml><Placemark><ExtendedData><Data name="vlcode"><value>100</value></Data></ExtendedData><Polygon><outerBoundaryIs><LinearRing><coordinates>{ring(SQUARE)}</coordinates></LinearRing></outerBoundaryIs><innerBoundaryIs><LinearRing><coordinates>{ring(HOLE)}</coordinates></LinearRing></innerBoundaryIs></Polygon></Placemark></kml>')
-    row = readers.placemarks(spark, str(tmp_path / "a.kml")).first()
-    assert row["attributes"] == {"vlcode": "100"} and len(row["parts"]) == 1 and len(row["parts"][0]["holes"]) == 1
-
-
 def test_publish_and_refuse(spark, tmp_path):
     df = spark.createDataFrame([(1, 1.0)], "k int, v double")
     sinks.publish({"t": df}, str(tmp_path / "out"))
