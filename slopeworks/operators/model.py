@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slopeworks.functions.scalar import PRESETS, rint_at, tier
 from slopeworks.operators.joins import enforce, one_to_one
-from slopeworks.runtime import settled
+from slopeworks.runtime import on_workers, settled
 
 #: The twelve features in their groups (fixed values); evidence and the composite index are no features.
 TERRAIN = ("elevation_mean_m", "elevation_range_m", "slope_mean_deg", "slope_max_deg")
@@ -205,3 +209,92 @@ def train(df: DataFrame, features: list[str], label: str = "label", weight: str
         "boosted": lambda: GBTClassifier(featuresCol="scaled", maxIter=35, maxDepth=3, stepSize=0.08, seed=42, **common),
     }[kind]()
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), last]).fit(df)
+
+
+def fold_moments(df: DataFrame, group: str, features: list[str], label: str) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """The folds in order with, for each one's training rows, the features' means and deviations and the weight of unlabeled rows.
+
+    They follow from sums by group, at most FOLDS rows, so no row is looked at for each fold.
+    """
+    rows = df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("p"), *(F.avg(f).alias(f"m{k}") for k, f in enumerate(features)), *(F.var_pop(f).alias(f"v{k}") for k, f in enumerate(features)))
+    found = rows.orderBy(group).limit(FOLDS + 1).collect()
+    if len(found) > FOLDS:
+        raise ValueError(f"more than {FOLDS} groups")
+    d = len(features)
+    n, p = (np.array([float(r[c]) for r in found]) for c in ("n", "p"))
+    m, v = (np.array([[r[f"{c}{k}"] for k in range(d)] for r in found], float).reshape(-1, d) for c in ("m", "v"))
+    others = 1.0 - np.eye(len(found))
+    n_train = others @ n
+    mean = (others @ (n[:, None] * m)) / np.maximum(n_train, 1)[:, None]
+    spread = np.array([(others[k] * n) @ (v + (m - mean[k]) ** 2) for k in range(len(found))]).reshape(-1, d) / np.maximum(n_train, 1)[:, None]
+    scale = np.sqrt(spread)
+    scale[scale == 0] = 1.0
+    return [r[group] for r in found], mean, scale, (others @ p) / np.maximum(others @ (n - p), 1)
+
+
+def _newton_sums(folds: list, mean: np.ndarray, scale: np.ndarray, unlabeled: np.ndarray, beta: np.ndarray):
+    """Each partition's sums of all folds' gradients and curvatures, where a row counts in every fold but its own."""
+    number = {g: k for k, g in enumerate(folds)}
+    wide = beta.shape[1]
+
+    def run(batches):
+        total = np.zeros((len(folds), wide + wide * wide))
+        for batch in batches:
+            own = np.array([number[g] for g in batch.column(0).to_pylist()], int)
+            y = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[2:]]) if batch.num_rows else np.zeros((0, wide - 1))
+            for k in range(len(folds)):
+                train = own != k
+                z = np.column_stack((np.ones(train.sum()), (x[train] - mean[k]) / scale[k]))
+                w = np.where(y[train] == 1, 1.0, unlabeled[k])
+                p = 1 / (1 + np.exp(-np.clip(z @ beta[k], -700, 700)))
+                total[k, :wide] += z.T @ (w * (p - y[train]))
+                total[k, wide:] += ((z * (w * p * (1 - p))[:, None]).T @ z).ravel()
+        flat = total.ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["at", "value"])
+
+    return run
+
+
+def logistic_folds(df: DataFrame, group: str, features: list[str], label: str, c: float = 0.5, steps: int = 100) -> DataFrame:
+    """(fold, intercept, coefficients, mean, scale): for each group a logistic model of all other rows, on inputs standardised by these.
+
+    Positives weigh 1, unlabeled rows positives / unlabeled of the fold's training rows; ``c`` is the inverse strength of the
+    squared penalty, which leaves the intercept alone. A Newton step of all folds is one pass of grouped sums over the rows.
+    A null feature is an error: nothing is imputed or dropped.
+    """
+    on_workers(df.sparkSession)
+    rows = df.select(F.col(group), F.col(label), *(F.col(f).cast("double") for f in features))
+    lacking = rows.filter(reduce(or_, (F.col(x).isNull() for x in (group, label, *features))))
+    if not lacking.isEmpty():
+        raise ValueError("a group, label or feature is missing")
+    folds, mean, scale, unlabeled = fold_moments(df, group, features, label)
+    wide = len(features) + 1
+    beta, penalty = np.zeros((len(folds), wide)), np.diag([0.0] + [1.0] * (wide - 1))
+    for _ in range(steps if folds else 0):
+        sums = rows.mapInArrow(_newton_sums(folds, mean, scale, unlabeled, beta), "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
+        total = np.zeros(len(folds) * wide * (wide + 1))
+        for r in sums.collect():  # folds times squared features, whatever the number of rows
+            total[r["at"]] = r["value"]
+        total = total.reshape(len(folds), -1)
+        gradient = c * total[:, :wide] + beta @ penalty
+        curve = c * total[:, wide:].reshape(-1, wide, wide) + penalty + 1e-12 * np.eye(wide)
+        move = np.linalg.solve(curve, gradient[:, :, None])[:, :, 0]
+        beta -= move
+        if np.abs(move).max() < 1e-10:
+            break
+    else:
+        if folds:
+            raise ValueError(f"no convergence in {steps} steps")
+    kind = df.schema[group].dataType.simpleString()
+    data = [(f, float(b[0]), b[1:].tolist(), m.tolist(), s.tolist()) for f, b, m, s in zip(folds, beta, mean, scale)]
+    return df.sparkSession.createDataFrame(data, f"fold {kind}, intercept double, coefficients array<double>, mean array<double>, scale array<double>")
+
+
+def held_out_scores(df: DataFrame, folds: DataFrame, group: str, features: list[str]) -> DataFrame:
+    """Rows with ``probability`` by the model that has not seen their group; models are at most FOLDS rows."""
+    joined = df.join(F.broadcast(folds.withColumnRenamed("fold", group)), group)
+    inputs = F.array(*(F.col(f).cast("double") for f in features))
+    terms = F.transform(F.arrays_zip(inputs.alias("x"), "coefficients", "mean", "scale"), lambda t: t["coefficients"] * (t["x"] - t["mean"]) / t["scale"])
+    score = F.col("intercept") + F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
+    return joined.withColumn("probability", 1 / (1 + F.exp(-score))).drop("intercept", "coefficients", "mean", "scale")
