@@ -54,6 +54,32 @@ def importances(spark: SparkSession, model: dict) -> DataFrame:
     return by.join(F.broadcast(by.agg(F.sum("gain").alias("total")))).select("feature", "n_splits", (F.col("gain") / F.col("total")).alias("importance"))
 
 
+def split_covers(df: DataFrame, model: dict) -> DataFrame:
+    """(feature, n_rows): how many rows reach the splits of each feature, counted in one pass over the table."""
+    reached: dict[str, Column] = {}
+
+    def walk(tree: dict, k: int, here: Column) -> None:
+        if tree["left_children"][k] == -1:
+            return
+        feature, limit = model["features"][tree["split_indices"][k]], tree["split_conditions"][k]
+        reached[feature] = reached.get(feature, F.lit(0)) + here.cast("int")
+        value = F.col(feature).cast("float")
+        left = F.when(value.isNull() | F.isnan(value), F.lit(bool(tree["default_left"][k]))).otherwise(value < F.lit(limit).cast("float"))
+        walk(tree, tree["left_children"][k], here & left)
+        walk(tree, tree["right_children"][k], here & ~left)
+
+    for tree in model["trees"]:
+        walk(tree, 0, F.lit(True))
+    sums = df.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(f) for f, n in reached.items()))
+    return sums.select(F.explode(F.map_from_entries(F.array(*(F.struct(F.lit(f), F.col(f"`{f}`").cast("long")) for f in reached)))).alias("feature", "n_rows"))
+
+
+def completeness(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, n_values, least, greatest) of numeric columns, in one pass."""
+    one = lambda c: F.struct(F.lit(c).alias("feature"), F.count(c).alias("n_values"), F.min(c).cast("double").alias("least"), F.max(c).cast("double").alias("greatest"))
+    return df.agg(F.array(*map(one, columns)).alias("found")).select(F.explode("found").alias("f")).select("f.*")
+
+
 def feature_groups(spark: SparkSession) -> DataFrame:
     """(feature_group, feature, position, in_scenario) of the model's features, in order."""
     groups = (("terrain", TERRAIN), ("hydrology", HYDROLOGY), ("rainfall", RAINFALL))

@@ -353,9 +353,14 @@ def anchored_columns(spark, sf_dir):
     return rows.select("c_custkey", "slide", "district", F.col("place.latitude").alias("lat"))
 
 
-@query("""select 'rain' as source_id, 'available' as status union all select 'plan', 'planned' union all select 'gone', 'unavailable' union all select 'soil_moisture', 'unavailable' union all select 'shelters', 'available'""")
+@query("""select n_name as source_id, case when n_nationkey % 5 = 0 then 'planned' when n_nationkey % 3 = 1 then 'available' else 'unavailable' end as status from nation
+union all select 'soil_moisture', 'unavailable' union all select 'shelters', case when (select count(*) from supplier where s_acctbal > 0) > 0 then 'available' else 'unavailable' end""")
 def source_catalog(spark, sf_dir):
-    here = f"{sf_dir}/region.parquet"
-    entries = [("rain", "Rain", "observed", False, [here]), ("plan", "Plan", "modeled", True, []), ("gone", "Gone", "derived", False, [here, f"{sf_dir}/none"]), ("soil_moisture", "Soil", "observed", False, []), ("shelters", "Shelters", "reference", False, [])]
-    paths = {p for e in entries for p in e[4] if catalog.exists(spark, p)}
-    return catalog.availability(catalog.catalog(spark, entries), paths, has_sensor=False, eligible_shelters=2).select("source_id", "status")
+    """A source for each nation, planned, with its files, or with one that is not there; and two that depend on rows."""
+    k, here, gone = F.col("n_nationkey"), F.lit(f"{sf_dir}/region.parquet"), F.lit(f"{sf_dir}/none")
+    listed = F.when(k % 3 == 1, F.array(here)).when(k % 3 == 2, F.array(here, gone)).otherwise(F.array().cast("array<string>"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("source_id"), F.col("n_name").alias("name"), F.lit("observed").alias("data_type"), (k % 5 == 0).alias("planned"), listed.alias("artifacts"))
+    sources = nations.unionByName(catalog.catalog(spark, [("soil_moisture", "Soil", "observed", False, []), ("shelters", "Shelters", "reference", False, [])]))
+    paths = {p for p in (f"{sf_dir}/region.parquet", f"{sf_dir}/none") if catalog.exists(spark, p)}
+    eligible = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").count()
+    return catalog.availability(sources, paths, has_sensor=False, eligible_shelters=eligible).select("source_id", "status")

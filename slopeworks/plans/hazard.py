@@ -255,9 +255,11 @@ def tree_scores(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(model.score(model.load_model(_MODEL)), 9).alias("probability"))
 
 
-@query("with g(feature, gain) as (values ('p_size', 3.0::double), ('p_retailprice', 2.0), ('p_size', 1.0)), m as (select feature, count(*) as n_splits, avg(gain) as gain from g group by 1) select feature, n_splits, gain / (select sum(gain) from m) as importance from m")
+@query("with g(feature, gain) as (values ('p_size', 3.0::double), ('p_retailprice', 2.0), ('p_size', 1.0)), m as (select feature, count(*) as n_splits, avg(gain) as gain from g group by 1) select feature, n_splits, gain / (select sum(gain) from m) as importance, (select case feature when 'p_size' then count(*) + count(*) filter (cast(p_retailprice as float) >= 1000) else count(*) end from part) as n_rows from m")
 def tree_importances(spark, sf_dir):
-    return model.importances(spark, model.load_model(_MODEL))
+    """Gains of the stored model's splits, with the parts that reach them."""
+    found = model.load_model(_MODEL)
+    return model.importances(spark, found).join(model.split_covers(table(spark, sf_dir, "part"), found), "feature")
 
 
 _SCORE = "round_even(10000 / (1 + exp(-" + _MARGIN + ")), 0) / 100"

@@ -46,11 +46,15 @@ def training_table(spark, sf_dir):
     return rows.select("village_lgd_code", *model.FEATURES, "taluk_name_en", "label_s", "pu_status", "boundary_source")
 
 
-@query("""select g as feature_group, f as feature, cast(p as int) as position, s as in_scenario from (values ('terrain', 'elevation_mean_m', 1, false), ('terrain', 'elevation_range_m', 2, false), ('terrain', 'slope_mean_deg', 3, false), ('terrain', 'slope_max_deg', 4, false),
+@query(f"""with {_TABLE}, rows as (select {_NAMED} from t join rain on rain.v = t.v), long as (unpivot (select columns(* exclude (village_lgd_code))::double from rows) on * into name feature value x), seen as (select feature, count(x) as n_values, min(x) as least, max(x) as greatest from long group by 1)
+select g as feature_group, f as feature, cast(p as int) as position, s as in_scenario, n_values, round(least, 6) as least, round(greatest, 6) as greatest from (values ('terrain', 'elevation_mean_m', 1, false), ('terrain', 'elevation_range_m', 2, false), ('terrain', 'slope_mean_deg', 3, false), ('terrain', 'slope_max_deg', 4, false),
 ('hydrology', 'mean_flow_accumulation_cells', 5, false), ('hydrology', 'max_flow_accumulation_cells', 6, false), ('hydrology', 'high_flow_area_fraction', 7, false), ('hydrology', 'drainage_density_km_per_km2', 8, false),
-('rainfall', 'rainfall_7d_p95_mm', 9, true), ('rainfall', 'rainfall_3d_p95_mm', 10, true), ('rainfall', 'rainfall_1d_max_mm', 11, true), ('rainfall', 'rainfall_annual_mean_mm', 12, false)) t(g, f, p, s)""")
+('rainfall', 'rainfall_7d_p95_mm', 9, true), ('rainfall', 'rainfall_3d_p95_mm', 10, true), ('rainfall', 'rainfall_1d_max_mm', 11, true), ('rainfall', 'rainfall_annual_mean_mm', 12, false)) d(g, f, p, s) join seen on feature = f""")
 def feature_schema(spark, sf_dir):
-    return model.feature_groups(spark)
+    """The model's features in order, with what the training table holds of each."""
+    seen = model.completeness(_training(spark, sf_dir), list(model.FEATURES))
+    rows = model.feature_groups(spark).join(F.broadcast(seen), "feature")
+    return rows.select("feature_group", "feature", "position", "in_scenario", "n_values", F.round("least", 6).alias("least"), F.round("greatest", 6).alias("greatest"))
 
 
 _PRIOR = f"""with {_TABLE}, r0 as (select taluk as fold, case when n_events > 0 then 1.0 else 0.0 end as y from t), n as (select sum(y) as p, sum(1 - y) as u from r0), g as (select fold, n.p - sum(y) as tp, n.u - sum(1 - y) as tu from r0, n group by fold, n.p, n.u),
@@ -104,3 +108,38 @@ def scores_of_gaps(spark, sf_dir):
     gap = lambda c: F.when(k % 3 == 0, F.lit(float("nan"))).when(k % 3 == 2, c.cast("double"))
     rows = table(spark, sf_dir, "part").select("p_partkey", gap(F.col("p_size")).alias("p_size"), gap(F.col("p_retailprice")).alias("p_retailprice"))
     return rows.select("p_partkey", F.round(model.score(model.load_model(_MODEL)), 9).alias("probability"))
+
+
+_LOGISTIC = """with recursive r as (select p_partkey, p_partkey % 5 as g, cast(p_size as double) as x, case when p_partkey * 7919 % 100 < p_size + 20 then 1.0 else 0.0 end as y from part), folds as (select distinct g as fold from r),
+st as (select fold, avg(x) as m, stddev_pop(x) as d, sum(y) / greatest(sum(1 - y), 1) as wu from folds join r on r.g <> fold group by 1), tr as (select fold, (x - m) / d as z, y, case when y = 1 then 1.0 else wu end as w from st join r on r.g <> fold),
+b(fold, k, b0, b1) as (select fold, 0, 0.0::double, 0.0::double from st union all
+ select fold, k + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) from (
+  select fold, k, b0, b1, 0.5 * sum(w * (p - y)) as g0, 0.5 * sum(w * (p - y) * z) + b1 as g1, 0.5 * sum(w * p * (1 - p)) as h00, 0.5 * sum(w * p * (1 - p) * z) as h01, 0.5 * sum(w * p * (1 - p) * z * z) + 1 as h11
+  from (select b.*, z, y, w, 1 / (1 + exp(-(b0 + b1 * z))) as p from b join tr using (fold) where k < 12) group by fold, k, b0, b1)),
+done as (select fold, b0, b1, m, d from b join st using (fold) where k = 12)"""
+
+
+def _logistic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("p_partkey")
+    label = F.when(k * 7919 % 100 < F.col("p_size") + 20, 1).otherwise(0)
+    rows = table(spark, sf_dir, "part").select("p_partkey", (k % 5).alias("fold_group"), F.col("p_size").cast("double").alias("size"), label.alias("label"))
+    return rows, model.logistic_folds(rows, "fold_group", ["size"], "label")
+
+
+@query(f"{_LOGISTIC} select fold, round(b0, 6) as intercept, round(b1, 6) as coefficient, round(m, 6) as mean, round(d, 6) as scale from done")
+def logistic_folds(spark, sf_dir):
+    """A logistic model of all parts but a group's, for each group."""
+    _, folds = _logistic(spark, sf_dir)
+    return folds.select("fold", F.round("intercept", 6).alias("intercept"), *(F.round(F.col(c)[0], 6).alias(n) for c, n in (("coefficients", "coefficient"), ("mean", "mean"), ("scale", "scale"))))
+
+
+_HELD = ", r as (select g as fold, y, round(1 / (1 + exp(-(b0 + b1 * (x - m) / d))), 9) as p, round(1 / (1 + exp(-(b0 + b1 * (x - m) / d))), 9) as s from r0 join done on fold = g), "
+
+
+@query(_LOGISTIC.replace("r as (select p_partkey", "r0 as (select p_partkey").replace("from r)", "from r0)").replace("join r on r.g", "join r0 on r0.g") + _HELD + _METRICS.format(k="fold, ", g="fold") + f" select fold, {_OUT} group by fold")
+def logistic_fold_metrics(spark, sf_dir):
+    """How each fold's model does on the group that it has not seen."""
+    rows, folds = _logistic(spark, sf_dir)
+    scored = model.held_out_scores(rows, folds, "fold_group", ["size"]).withColumn("probability", F.round("probability", 9)).withColumnRenamed("fold_group", "fold")
+    by_fold = model.metrics(scored, "label", "probability", ["fold"])
+    return by_fold.select("fold", *_rounded(by_fold))
