@@ -6,8 +6,8 @@ has a subset in each segment that it fills, at the segments of its own band and,
 the next band down. Each differing shingle spoils at most one subset of either set. So if one of the two
 fills more than H segments, they have a subset in common, and the first of those in an order that is the same for all sets is among
 the first H + 1 of each. Only these are indexed. The order is the allocation's cost: the subsets with the most
-shingles that are not crowded come first, as their lists are the shortest. Shingles are counted over all documents
-in a table of fixed size to tell crowded ones; this bears on cost alone.
+shingles that are not crowded come first, as their lists are the shortest. Each task counts its shingles in a table of
+fixed size, and what stands out in any of them is crowded; this bears on cost alone.
 
 A set that fills only F <= H segments indexes all its subsets and their one-deletion neighbourhoods, the
 subsets less one shingle. It allots a second unit to H + 1 - F of its segments of least cost: of two
@@ -20,8 +20,10 @@ subset become candidates; candidates are screened by
 parity sketches, which bound their difference from below, and verified on their whole sets. A subset that many sets share
 is not expanded into all pairs: all are compared with its first set, and of sets that are still in
 different components only those are then verified whose sketches allow a link, the nearest ones first. Copies are one set throughout.
+Of a subset that a task finds in very many sets only the first goes to its bucket; the task's list goes past it and joins the subset's
+other lists by name, so no bucket gathers them.
 
-Identities of words, shingles and sets are 64-bit hashes (sets: 128 bits).
+Identities of words, shingles and sets are 64-bit hashes; where copies are classes by themselves, sets are told by 128 bits.
 
 Defined cases: a null or empty text has no shingles and is its own component; a text of one to four
 words is one shingle; a null id counts as greater than any other; ties cannot occur, as a component
@@ -35,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +52,8 @@ BUCKET = 1_600_000
 BROADCAST = 1_000_000
 #: Subset hashes a task gathers before it emits a block for each bucket.
 GATHERED = 2_000_000
+#: Sets of a task with one subset from which on only their first goes to its bucket, and cells that these are told in.
+HOT, HOT_CELLS = 10_000, 1 << 18
 #: Sets that a task remembers to index copies once.
 REMEMBERED = 500_000
 #: Sets of a long list that are compared with as many others at once, and words of sketches that a comparison holds.
@@ -203,12 +208,44 @@ def _only(wanted: np.ndarray, key: np.ndarray, first: np.ndarray) -> tuple[np.nd
     return key[np.repeat(wanted, size)], np.concatenate(([0], np.cumsum(size[wanted])))
 
 
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashes >> np.uint64(40)).astype(np.uint32) % np.uint32(buckets)
+
+
+def _held_back(hashes: np.ndarray, nick: np.ndarray, probe: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Which rows go to their buckets, which of these stand for a list, and the lists: a hash and all its sets.
+
+    Of the sets of a hash that more than ``hot`` of a task's rows have, the first stands for all; a probe of one counts for it.
+    """
+    go, stands, lists = np.ones(len(hashes), bool), np.zeros(len(hashes), bool), []
+    cells = (hashes % np.uint64(HOT_CELLS)).astype(np.int64)
+    crowded = np.bincount(cells, minlength=HOT_CELLS) > hot
+    if crowded.any():
+        at = np.flatnonzero(crowded[cells])
+        order = at[np.lexsort((nick[at], hashes[at]))]
+        h = hashes[order]
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        for first, n in zip(starts.tolist(), np.diff(np.append(starts, len(h))).tolist()):
+            if n > hot:
+                mine = order[first : first + n]
+                go[mine[1:]], stands[mine[0]] = False, True
+                probe[mine[0]] = probe[mine].any()
+                lists.append((int(h[first]), np.unique(nick[mine])))
+    return go, stands, lists
+
+
 def _blocks(buckets: int, crowd):
-    """Batches of texts into a row for each bucket: sets' nicks, how many hashes each has there, and the hashes."""
+    """Batches of texts into a row for each bucket: sets' nicks, how many hashes each has there, and the hashes.
+
+    A list that a task has held back is a row of its own, under a negative number, with its name.
+    """
 
-    def emit(gathered: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def emit(gathered: list[tuple], number: list[int]) -> Iterator[pa.RecordBatch]:
         hashes, nick, probe = (np.concatenate(x) for x in zip(*gathered))
-        bucket = (hashes >> np.uint64(40)).astype(np.uint32) % np.uint32(buckets)
+        go, stands, lists = _held_back(hashes, nick, probe, HOT)
+        if lists:
+            hashes, nick, probe, stands = (x[go] for x in (hashes, nick, probe, stands))
+        bucket = _bucket(hashes, buckets)
         order = np.argsort(bucket.astype(np.uint16 if buckets < 65536 else np.uint32), kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
         rows: list[tuple] = []
@@ -219,12 +256,16 @@ def _blocks(buckets: int, crowd):
             nicks = nick[mine]
             starts = np.flatnonzero(np.concatenate(([True], nicks[1:] != nicks[:-1])))
             low = (hashes[mine] & np.uint64(0xFFFFFFFF)).astype("<u4")
-            high = ((hashes[mine] >> np.uint64(32)) & np.uint64(0x7F)).astype(np.uint8) | (probe[mine].astype(np.uint8) << 7)
+            high = ((hashes[mine] >> np.uint64(32)) & np.uint64(0x3F)).astype(np.uint8) | (stands[mine].astype(np.uint8) << 6) | (probe[mine].astype(np.uint8) << 7)
             rows.append((k, nicks[starts].astype("<i8").tobytes(), np.diff(np.append(starts, len(mine))).astype("<u4").tobytes(), low.tobytes(), high.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["bucket", "nicks", "counts", "low", "high"])
+        for h, members in lists:
+            name = _name(_bucket(np.array([h], np.uint64), buckets).astype(np.int64), np.array([h & ((1 << 38) - 1)], np.uint64))
+            number[0] += 1
+            rows.append((-number[0], members.astype("<i8").tobytes(), name.astype("<i8").tobytes(), b"", b""))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], names=["bucket", "nicks", "counts", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered, size, seen = [], 0, set()
+        gathered, size, seen, number = [], 0, set(), [TaskContext.get().partitionId() << 32]
         dense = np.unpackbits(np.frombuffer(crowd.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
             for a, b in base.parts(batch.column(0)):
@@ -238,10 +279,10 @@ def _blocks(buckets: int, crowd):
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 if size >= GATHERED:
-                    yield from emit(gathered)
+                    yield from emit(gathered, number)
                     gathered, size = [], 0
         if size:
-            yield from emit(gathered)
+            yield from emit(gathered, number)
 
     return run
 
@@ -289,18 +330,43 @@ def candidates_of(nick: np.ndarray, key: np.ndarray, probe: np.ndarray) -> tuple
     return *_unique(np.concatenate(left), np.concatenate(right)), list(lists.values())
 
 
+def _name(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """What a hash is called in all tasks: its bucket and what else buckets tell hashes by."""
+    return (bucket.astype(np.int64) << 38) + key.astype(np.int64)
+
+
+_FOUND = "a long, b long, name long, members binary"
+
+
+def _found(a, b, name, members) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip((a, b, name, members), kinds)], names=["a", "b", "name", "members"])
+
+
 def _candidates(rows: pa.Table) -> pa.Table:
+    """Candidate pairs (a, b), lists (a, members), lists that tasks held back (a, name, members), and whose they are (a, name)."""
+    bucket = rows.column("bucket")[0].as_py()
     columns = {c: rows.column(c).to_pylist() for c in ("nicks", "counts", "low", "high")}
+    if bucket < 0:
+        members = np.frombuffer(columns["nicks"][0], "<i8")
+        n, (name,) = len(members) - 1, np.frombuffer(columns["counts"][0], "<i8").tolist()
+        pairs = _found(np.full(n, members[0]), members[1:], pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()))
+        return pa.concat_tables([pairs, _found([int(members[0])], [None], [name], [columns["nicks"][0]])])
     join = lambda c, t: np.frombuffer(b"".join(columns[c]), t)
     high = join("high", np.uint8)
-    key = (high & 0x7F).astype(np.uint64) << np.uint64(32) | join("low", "<u4").astype(np.uint64)
-    a, b, runs = candidates_of(np.repeat(join("nicks", "<i8"), join("counts", "<u4")), key, high >= 128)
-    nothing, n = [None] * len(runs), len(a)
-    return pa.table({
-        "a": pa.array([*a.tolist(), *(int(m[0]) for m in runs)], pa.int64()),
-        "b": pa.array([*b.tolist(), *nothing], pa.int64()),
-        "members": pa.array([*[None] * n, *(m.astype("<i8").tobytes() for m in runs)], pa.binary()),
-    })
+    key = (high & 0x3F).astype(np.uint64) << np.uint64(32) | join("low", "<u4").astype(np.uint64)
+    nick = np.repeat(join("nicks", "<i8"), join("counts", "<u4"))
+    a, b, runs = candidates_of(nick, key, high >= 128)
+    names, firsts = [], []
+    for k in np.unique(key[(high & 0x40) > 0]):  # sets of other tasks with this subset belong to what was held back
+        mine = np.unique(nick[key == k])
+        runs.append(mine)
+        names.append(int(_name(np.array([bucket]), np.array([k]))[0]))
+        firsts.append(int(mine[0]))
+    n, m = len(a), len(runs)
+    pairs = _found(a, b, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()))
+    lists = _found([int(r[0]) for r in runs], pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), [r.astype("<i8").tobytes() for r in runs])
+    return pa.concat_tables([pairs, lists, _found(firsts, [None] * len(firsts), names, [None] * len(firsts))])
 
 
 def sketch(key: np.ndarray) -> bytes:
@@ -443,17 +509,34 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nick), run, np.int64)), pa.array(nick)], names=["run", "nick"])
 
 
-def _listed(lists: DataFrame) -> DataFrame:
-    """(run, part, nick): lists of the same first set as one list, as most of them hold mostly the same sets.
+def _listed(found: DataFrame) -> DataFrame:
+    """(run, nick): lists of the same first set as one list, as most of them hold mostly the same sets.
+
+    What tasks held back of a subset is one list, under the first set of all of them.
+    """
+    owners = found.filter("name is not null and members is null").groupBy("name").agg(F.min("a").alias("first"))
+    lists = found.filter("members is not null").join(owners, "name", "left").select(F.coalesce("first", "a").alias("run"), "members")
+    return base.settled(lists.mapInArrow(_exploded, "run long, nick long").distinct())
+
+
+def _open_parts(rows: DataFrame) -> DataFrame:
+    """(run, part, nick, root) of lists (run, nick, root) whose sets are in several components.
 
-    Long lists are dealt out in chunks, and each two chunks are a part.
+    Long lists are dealt out in chunks. Sets of a list's largest component need not meet each other, so its chunks meet
+    only those of all others: a list of mostly one component has as many parts as chunks.
     """
-    rows = base.settled(lists.mapInArrow(_exploded, "run long, nick long").distinct())
-    chunks = rows.groupBy("run").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    own = F.pmod(F.xxhash64("nick"), F.col("chunks"))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: k != F.col("own"))
-    parts = F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda k: F.least(k, "own") * F.col("chunks") + F.greatest(k, "own")))
-    return base.settled(rows.join(chunks, "run").withColumn("own", own).select("run", F.explode(parts).alias("part"), "nick"))
+    by_root = rows.groupBy("run", "root").agg(F.count("*").alias("n"))
+    sizes = by_root.groupBy("run").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("roots")).filter("roots > 1")
+    chunks = lambda n: F.ceil(n / CHUNK)
+    sizes = sizes.select("run", "top", F.when(F.col("all") <= CHUNK, 0).otherwise(chunks(F.col("all") - F.col("most"))).alias("others"), chunks(F.col("most")).alias("tops"))
+    rows = rows.join(sizes, "run").withColumn("own", F.when(F.col("root") == F.col("top"), F.pmod(F.xxhash64("nick"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("nick"), F.greatest(F.col("others"), F.lit(1)))))
+    zero = F.lit(0).cast("long")
+    part = lambda other, k: other * (F.col("others") + F.col("tops")) + k
+    to_tops = F.transform(F.sequence(zero, F.col("tops") - 1), lambda j: part(F.col("own"), F.col("others") + j))
+    to_others = F.transform(F.sequence(zero, F.col("others") - 1), lambda i: part(F.least(i, "own"), F.greatest(i, "own")))
+    from_top = F.transform(F.sequence(zero, F.col("others") - 1), lambda i: part(i, F.col("others") + F.col("own")))
+    parts = F.when(F.col("others") == 0, F.array(zero)).when(F.col("root") == F.col("top"), from_top).otherwise(F.concat(to_tops, to_others))
+    return rows.select("run", F.explode(parts).alias("part"), "nick", "root")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -466,18 +549,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     buckets = max(8, -(-total // BUCKET))
     shared = docs.sparkSession.sparkContext.broadcast(_crowd(read.filter("cell is not null")))
     found = base.settled(
-        docs.select("text").mapInArrow(_blocks(buckets, shared), "bucket int, nicks binary, counts binary, low binary, high binary")
-        .groupBy("bucket").applyInArrow(_candidates, "a long, b long, members binary")
+        docs.select("text").mapInArrow(_blocks(buckets, shared), "bucket long, nicks binary, counts binary, low binary, high binary")
+        .groupBy("bucket").applyInArrow(_candidates, _FOUND)
     )
     pairs = base.settled(found.filter("b is not null").select("a", "b").distinct())
     sets = _wanted_sets(pairs, docs, members)
     checked = _verify(pairs, sets)
     roots = graph.components(checked.filter("linked").select("a", "b"))
-    listed = _listed(found.filter("b is null").select(F.col("a").alias("run"), "members"))
+    listed = _listed(found.filter("b is null"))
     for nearest in (True, False):  # most links show at the nearest pairs, and what then is one component needs no more
-        joined = listed.join(roots.withColumnRenamed("node", "nick"), "nick", "left").select("run", "part", "nick", F.coalesce("root", "nick").alias("root"))
-        open_runs = joined.groupBy("run", "part").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("run", "part")
-        rows = joined.join(open_runs, ["run", "part"], "left_semi").join(sets.select("nick", "n", "sketch"), "nick")
+        joined = listed.join(roots.withColumnRenamed("node", "nick"), "nick", "left").select("run", "nick", F.coalesce("root", "nick").alias("root"))
+        rows = _open_parts(joined).join(sets.select("nick", "n", "sketch"), "nick")
         blocks = rows.groupBy("run", "part").applyInArrow(_apart(nearest, 2 * buckets), "slot long, block binary")
         pairs = blocks.groupBy("slot").applyInArrow(_met, "a long, b long").join(checked, ["a", "b"], "left_anti")
         more = _verify(pairs, sets)

@@ -22,10 +22,12 @@ def docs(spark):
 # --- similarity join
 
 
-@pytest.mark.parametrize("broadcast", [1_000_000, -1])
-def test_hot_lists_in_chunks_lose_no_link(spark, monkeypatch, broadcast):
-    """Near copies of one text, some linked and some below the threshold, in lists of many chunks, with and without broadcasts."""
+@pytest.mark.parametrize(("broadcast", "hot", "gathered"), [(1_000_000, 10_000, 2_000_000), (-1, 10_000, 2_000_000), (1_000_000, 3, 300), (1_000_000, 6, 2_000_000)])
+def test_hot_lists_in_chunks_lose_no_link(spark, monkeypatch, broadcast, hot, gathered):
+    """Near copies of one text, some linked and some below the threshold, in lists of many chunks, with and without broadcasts, and held back by tasks."""
     monkeypatch.setattr(simjoin, "CHUNK", 16)
+    monkeypatch.setattr(simjoin, "HOT", hot)
+    monkeypatch.setattr(simjoin, "GATHERED", gathered)
     monkeypatch.setattr(simjoin, "BROADCAST", broadcast)
     rnd = random.Random(8)
     words = [str(rnd.randrange(10**6)) for _ in range(150)]
@@ -35,10 +37,38 @@ def test_hot_lists_in_chunks_lose_no_link(spark, monkeypatch, broadcast):
         for _ in range(rnd.choice([1, 2, 5, 9])):
             w[rnd.randrange(len(w))] = f"new{rnd.randrange(10**6)}"
         rows.append((k, " ".join(w)))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in simjoin.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in simjoin.components(docs).collect()}
     assert got == brute_components(rows) and len({c for _, c in got.values()}) > 2
 
 
+def test_a_subset_of_very_many_sets_stays_out_of_its_bucket(spark):
+    """200,000 sets with one subset: one of each task's goes to the bucket, and a list of mostly one component has as many parts as chunks."""
+    rnd = np.random.Generator(np.random.PCG64(1))
+    hashes = np.concatenate((np.full(200_000, 77, np.uint64), rnd.integers(0, 2**63, 50_000, dtype=np.uint64)))
+    nick, probe = rnd.integers(0, 2**62, len(hashes)), np.zeros(len(hashes), bool)
+    probe[5] = True
+    go, stands, lists = simjoin._held_back(hashes, nick, probe, simjoin.HOT)
+    assert go.sum() == 50_001 and stands.sum() == 1 and probe[stands].all() and [(h, len(m)) for h, m in lists] == [(77, len(set(nick[:200_000].tolist())))]
+    rows = spark.range(200_000).selectExpr("1L as run", "id as nick", "if(id % 40000 = 7, id, 0L) as root")
+    parts = simjoin._open_parts(rows)
+    sizes = parts.groupBy("part").count().collect()
+    assert len(sizes) <= 51 and max(r["count"] for r in sizes) < 2 * simjoin.CHUNK and parts.count() < 201_000
+    assert simjoin._open_parts(rows.withColumn("root", F.lit(0).cast("long"))).count() == 0
+
+
+def test_open_parts_bring_all_pairs_of_different_components_together(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "CHUNK", 3)
+    rnd = random.Random(2)
+    rows = [(run, k + 100 * run, rnd.choice([0, 0, 0, 1, 2, k]) + 100 * run) for run in range(5) for k in range(20)] + [(9, 900 + k, 900) for k in range(7)]
+    got = collections.defaultdict(list)
+    for r in simjoin._open_parts(spark.createDataFrame(rows, "run long, nick long, root long")).collect():
+        got[r["run"], r["part"]].append(r["nick"])
+    met = {(min(a, b), max(a, b)) for found in got.values() for a, b in itertools.combinations(found, 2)}
+    want = {(min(a[1], b[1]), max(a[1], b[1])) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[2] != b[2]}
+    assert want <= met and not any(run == 9 for run, _ in got)
+
+
 def test_sets_of_few_segments_meet_in_their_neighbourhoods(monkeypatch):
     """With so few segments that no set fills more than it may differ in, subsets less one shingle find what subsets do not."""
     monkeypatch.setattr(simjoin, "SEGMENTS", np.where(simjoin.SEGMENTS > 0, np.maximum(1, simjoin.TOPS // 6), 0).astype(np.uint64))
