@@ -32,6 +32,8 @@ from slopeworks.llm import base
 
 #: Most labelled documents of a language that are learned from.
 SAMPLE = 1500
+#: Labels at most: each task holds the profiles of all. More are refused, none is left out.
+LANGUAGES = 1000
 RANKS = 300
 #: Ids of a language that are put in order, as a multiple of SAMPLE: so many that fewer than SAMPLE never occur by chance.
 MARGIN = 4
@@ -148,13 +150,16 @@ def _sample(labelled: DataFrame) -> DataFrame:
     language brings no more rows to its window than a rare one.
     """
     ids = base.settled(labelled.select("lang", "id", F.xxhash64("id").alias("h")).distinct())
-    total = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().collect()}  # a row for each language
+    total = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(total) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels: the column holds something else than languages")
     if not total:
         return labelled.select("lang", "text")
     share = F.create_map(*(F.lit(x) for lang, n in total.items() for x in (lang, min(1.0, MARGIN * SAMPLE / n))))
     low = ids.filter(F.col("h").cast("double") <= (2 * share[F.col("lang")] - 1) * float(2**63))
     order = Window.partitionBy("lang").orderBy("h", "id")
     chosen = low.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE).select("id", "lang")
+    # at most LANGUAGES times SAMPLE ids
     return labelled.join(F.broadcast(chosen), ["id", "lang"], "left_semi").groupBy("lang", "id").agg(F.min("text").alias("text")).select("lang", "text")
 
 

@@ -336,3 +336,11 @@ def test_stages_of_an_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_a_label_column_that_holds_no_languages_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    rows = lambda n: spark.createDataFrame([(k, "some words", f"l{k % n}") for k in range(20)], "doc_id long, text string, lang string")
+    assert len(langid.learn(rows(3), F.lit(True)).langs) == 3
+    with pytest.raises(ValueError, match="more than 3 labels"):
+        langid.learn(rows(4), F.lit(True))
