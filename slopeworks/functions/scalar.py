@@ -68,7 +68,8 @@ def device_status(percent: Column) -> Column:
 
 
 def age_seconds(received: Column, now: Column) -> Column:
-    return F.greatest(F.lit(0).cast("long"), F.timestamp_diff("SECOND", received, now))
+    """Whole seconds since the arrival, 0 for one ahead of the clock; null without an arrival."""
+    return F.when(received.isNotNull(), F.greatest(F.lit(0).cast("long"), F.timestamp_diff("SECOND", received, now)))
 
 
 def freshness(received: Column, now: Column, online: int = 600, stale: int = 1800) -> Column:

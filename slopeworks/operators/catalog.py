@@ -47,16 +47,17 @@ def with_lineage(df: DataFrame, constants: dict[str, str], templates: dict[str,
     return df.withColumns({n: F.lit(v) for n, v in constants.items()} | {n: F.format_string(text, F.col(c)) for n, (text, c) in (templates or {}).items()})
 
 
-def source_provenance(rows: DataFrame, group: str, content: str, date: str, lat: str, lon: str) -> DataFrame:
-    """Per source: a hash over its rows' hashes, distinct coordinates and dates, their ranges, rows, and the rows of all sources.
+def source_provenance(rows: DataFrame, group: str, files: DataFrame, content: str, date: str, lat: str, lon: str) -> DataFrame:
+    """Per source: the SHA-256 of each of its files, distinct coordinates and dates, their ranges, rows, and the rows of all sources.
 
-    The sum of the rows' 64-bit hashes does not depend on their order, and no list of them is gathered.
+    ``files`` has the group and the content, as from the binaryFile reader; digests are in order, a source without a file has none.
     """
-    digest = F.sha2(F.sum(F.conv(F.substring(F.sha2(F.col(content).cast("binary"), 256), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string"), 256)
     out = rows.groupBy(group).agg(
-        digest.alias("sha256"), F.count_distinct(lat).alias("n_lat"), F.count_distinct(lon).alias("n_lon"), F.count_distinct(date).alias("n_dates"), F.min(date).alias("first_date"),
+        F.count_distinct(lat).alias("n_lat"), F.count_distinct(lon).alias("n_lon"), F.count_distinct(date).alias("n_dates"), F.min(date).alias("first_date"),
         F.max(date).alias("last_date"), F.min(lat).alias("lat_min"), F.max(lat).alias("lat_max"), F.min(lon).alias("lon_min"), F.max(lon).alias("lon_max"), F.count("*").alias("n_rows"),
     )
+    digests = provenance(files, group, content)
+    out = out.join(digests, group, "left").withColumns({"n_files": F.coalesce("n_files", F.lit(0)), "sha256s": F.coalesce("sha256s", F.array().cast("array<string>"))})
     return out.crossJoin(F.broadcast(out.agg(F.sum("n_rows").alias("n_total"))))
 
 

@@ -7,7 +7,6 @@ box, and only then are rings looked at, in expressions.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -185,10 +184,6 @@ def geojson(features: DataFrame, properties: list[str], coordinates: str, kind:
     return features.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry"))).alias("value"))
 
 
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 def _area_above(e: Column, x1: Column, x2: Column) -> tuple[Column, Column]:
     """Heights of an edge at both sides of a strip that lies within its span."""
     slope = (e["y2"] - e["y1"]) / F.nullif(e["x2"] - e["x1"], F.lit(0.0))

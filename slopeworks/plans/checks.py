@@ -308,11 +308,17 @@ def line_features(spark, sf_dir):
     return one.select(F.get_json_object("value", "$.properties.c_custkey").cast("long").alias("c_custkey"), "value")
 
 
-@query("select o_orderpriority as source, count(distinct o_custkey) as n_lat, count(distinct o_orderstatus) as n_lon, count(*) as n_rows, (select count(*) from orders) as n_total, min(o_custkey) as lat_min, max(o_custkey) as lat_max from orders group by 1")
+@query("""with f as (select o_orderpriority as source, sha256('orders of ' || strftime(o_orderdate, '%Y') || ' ' || o_orderpriority) as h from orders where o_orderpriority <> '5-LOW' group by o_orderpriority, strftime(o_orderdate, '%Y')),
+d as (select source, count(*) as n_files, list_aggregate(list_sort(list(h)), 'string_agg', ',') as digests from f group by 1)
+select o_orderpriority as source, coalesce(n_files, 0) as n_files, coalesce(digests, '') as digests, count(distinct o_custkey) as n_lat, count(distinct o_orderstatus) as n_lon, count(*) as n_rows, (select count(*) from orders) as n_total, min(o_custkey) as lat_min, max(o_custkey) as lat_max from orders left join d on source = o_orderpriority group by 1, 2, 3""")
 def source_provenance(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").withColumn("content", F.col("o_orderkey").cast("string"))
-    out = catalog.source_provenance(rows, "o_orderpriority", "content", "o_orderdate", "o_custkey", "o_orderstatus")
-    return out.select(F.col("o_orderpriority").alias("source"), "n_lat", "n_lon", "n_rows", "n_total", "lat_min", "lat_max")
+    """Sources with a file for each year, but for one without any, and what their rows span."""
+    rows = table(spark, sf_dir, "orders")
+    year = F.date_format("o_orderdate", "yyyy")
+    contents = F.concat(F.lit("orders of "), year, F.lit(" "), F.col("o_orderpriority")).cast("binary")
+    files = rows.filter("o_orderpriority <> '5-LOW'").groupBy("o_orderpriority", year.alias("year")).agg(F.first(contents).alias("content"))
+    out = catalog.source_provenance(rows, "o_orderpriority", files, "content", "o_orderdate", "o_custkey", "o_orderstatus")
+    return out.select(F.col("o_orderpriority").alias("source"), "n_files", F.array_join("sha256s", ",").alias("digests"), "n_lat", "n_lon", "n_rows", "n_total", "lat_min", "lat_max")
 
 
 @query("select count(*) as n_part, (select count(*) from supplier) as n_supplier, 0::bigint as n_sensor, true as ready_model, false as ready_sensors, false as ready from part")

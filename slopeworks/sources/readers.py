@@ -40,8 +40,8 @@ def files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return df.select("path", "content").orderBy("path")
 
 
-def rainfall_cube_checks(cube: DataFrame, year: int) -> DataFrame:
-    """One row of structural checks on a long rainfall table (date, lat, lon, mm) of a source year."""
+def rainfall_cube_checks(cube: DataFrame, year: int, unit: str | None = None) -> DataFrame:
+    """One row of structural checks on a long rainfall table (date, lat, lon, mm) of a source year, whose unit has to be mm."""
     wanted = F.dayofyear(F.make_date(F.lit(year), F.lit(12), F.lit(31)))
     inside = F.year("date") == year
     return cube.agg(
@@ -49,6 +49,7 @@ def rainfall_cube_checks(cube: DataFrame, year: int) -> DataFrame:
         (F.count("*") == F.count_distinct("date", "lat", "lon")).alias("unique_cells"),
         (F.count("*") == F.count_distinct("date") * F.count_distinct("lat", "lon")).alias("dense"),
         F.coalesce(F.bool_and(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)), F.lit(False)).alias("axes_in_range"),
+        F.lit(unit == "mm").alias("unit_is_mm"),
     )
 
 
@@ -78,13 +79,15 @@ def anchored(lines: DataFrame, state: str, columns: list[tuple[str, int, int]],
     return lines.select("*", *(cell(start, width).alias(name) for name, start, width in columns), last_coordinates(F.col(text)).alias("place"))
 
 
-def inventory_rows(lines: DataFrame, text: str = "value") -> DataFrame:
+def inventory_rows(lines: DataFrame, text: str = "value", pages: tuple[int, int] | None = None) -> DataFrame:
     """Rows of a text table that begin with a serial number, with continuation lines joined to them.
 
-    ``lines`` has page, line and the text. Each line takes the serial of the last one that began with one, on its page.
+    ``lines`` has page, line and the text. Each line takes the serial of the last one that began with one, on its page. Only
+    pages from the first to the last of ``pages`` are read.
     """
     from pyspark.sql.window import Window
 
+    lines = lines.filter(F.col("page").between(*pages)) if pages else lines
     along = Window.partitionBy("page").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     serial = F.nullif(F.regexp_extract(text, r"^\s{0,8}(\d{1,4})\s", 1), F.lit("")).cast("int")
     rows = lines.withColumn("serial", F.last(serial, ignorenulls=True).over(along)).filter("serial is not null")
