@@ -54,7 +54,7 @@ def moisture_alert(percent: Column, freshness: Column | None = None) -> Column:
 
 def device_moisture(raw: Column, dry: int = 4095, wet: int = 2082) -> Column:
     """The percentage of a raw reading between its dry and wet calibration, clamped."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * (F.lit(dry) - raw) / F.lit(dry - wet)))
+    return F.when(raw.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * (F.lit(dry) - raw) / F.lit(dry - wet))))
 
 
 def device_reading(samples: Column, dry: int = 4095, wet: int = 2082) -> Column:
@@ -84,7 +84,7 @@ def utc_timestamp(c: Column) -> Column:
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * EARTH_KM * F.asin(F.when(a > 1, F.lit(1.0)).otherwise(F.sqrt(a)))  # not least(), which passes over a null
 
 
 def history_category(raw: Column, parsed: Column) -> Column:

@@ -78,7 +78,7 @@ def simplified_lines(spark, sf_dir):
 n as (select *, case when k % 13 = 0 then 'no_route' when y > 90 then 'coordinate_out_of_range' when t = 0 then 'not_positive' end as reason from o),
 g as (select *, 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(11.0 - y) / 2), 2) + cos(radians(y)) * cos(radians(11.0)) * pow(sin(radians(76.0 - x) / 2), 2)))) as gap from n)
 select k as o_orderkey, case when k % 2 = 0 then 'OSRM / OpenStreetMap' else 'OpenRouteService / OpenStreetMap' end as provider_name, reason, case when reason is null then round(d, 2) end as distance_m, case when reason is null then round(gap, 3) end as origin_gap_m,
- case when reason is null then gap <= 50 end as near_origin from g""")
+ reason is null and gap <= 50 as near_origin from g""")
 def provider_routes(spark, sf_dir):
     """Orders as answers of two routing services, brought to one shape, and how far each route begins from a fixed place."""
     k = F.col("o_orderkey")
@@ -93,7 +93,7 @@ def provider_routes(spark, sf_dir):
     gap, _ = lines.end_gaps(F.col("points"), (F.lit(11.0), F.lit(76.0)), (F.lit(11.5), F.lit(76.5)))
     good = lambda c: F.when(F.col("reason").isNull(), c)
     rows = lines.routes(answers, "provider")
-    return rows.select("o_orderkey", "provider_name", "reason", good(F.round("distance_m", 2)).alias("distance_m"), good(F.round(gap, 3)).alias("origin_gap_m"), good(gap <= 50).alias("near_origin"))
+    return rows.select("o_orderkey", "provider_name", "reason", good(F.round("distance_m", 2)).alias("distance_m"), good(F.round(gap, 3)).alias("origin_gap_m"), F.coalesce(F.col("reason").isNull() & (gap <= 50), F.lit(False)).alias("near_origin"))
 
 
 def _inverse_sql() -> str:

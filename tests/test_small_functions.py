@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from slopeworks.functions import scalar
 from slopeworks.operators import raster, state, timeseries
 from slopeworks.sources import readers, sinks
 from slopeworks.streaming import sensors
@@ -103,3 +104,9 @@ def test_polling_picks_up_new_rows(spark, tmp_path):
     finally:
         query.stop()
     assert sorted(r["k"] for r in found) == [1, 2]
+
+
+def test_missing_values_have_no_distance_and_no_moisture(spark):
+    nothing, one = F.lit(None).cast("double"), F.lit(1.0)
+    row = spark.range(1).select(scalar.haversine_km(one, one, nothing, one).alias("d"), scalar.device_moisture(F.lit(None).cast("int")).alias("m"), scalar.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("half")).first()
+    assert row["d"] is None and row["m"] is None and row["half"] == pytest.approx(math.pi * scalar.EARTH_KM)
