@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SETTLED: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return on_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,9 +38,18 @@ def settled(df: DataFrame) -> DataFrame:
     """
     spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SETTLED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Deletes the settled tables of this process; for when nothing that rests on them is read any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    while _SETTLED:
+        path = hadoop.Path(_SETTLED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def on_workers(spark: SparkSession) -> SparkSession:
     """Makes this package importable on workers, wherever the driver was started; clusters that ship it are left as they are."""
     root = str(Path(__file__).resolve().parents[1])

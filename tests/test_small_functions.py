@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from slopeworks import runtime
 from slopeworks.functions import scalar
 from slopeworks.operators import raster, state, timeseries
 from slopeworks.sources import readers, sinks
@@ -110,3 +111,12 @@ def test_missing_values_have_no_distance_and_no_moisture(spark):
     nothing, one = F.lit(None).cast("double"), F.lit(1.0)
     row = spark.range(1).select(scalar.haversine_km(one, one, nothing, one).alias("d"), scalar.device_moisture(F.lit(None).cast("int")).alias("m"), scalar.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0)).alias("half")).first()
     assert row["d"] is None and row["m"] is None and row["half"] == pytest.approx(math.pi * scalar.EARTH_KM)
+
+
+def test_settled_tables_are_kept_until_they_are_forgotten(spark):
+    df = runtime.settled(spark.range(5).withColumn("x", F.rand()))
+    assert df.collect() == df.collect() and runtime._SETTLED
+    runtime.forget(spark)
+    assert not runtime._SETTLED
+    with pytest.raises(Exception, match="(?i)not exist|not found|no such file"):
+        spark.read.schema("id long").parquet(df.inputFiles()[0]).collect()
