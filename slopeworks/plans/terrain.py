@@ -26,7 +26,7 @@ acc as (select fill.r, fill.c, lvl, coalesce(code, 0) as direction, nr, nc, n fr
 
 @query(f'{_DRAINED} select r as "row", c as col, lvl as filled, cast(direction as int) as direction, n as accumulation from acc')
 def drained_flow(spark, sf_dir):
-    return drainage.flow(_cells(spark, sf_dir), tile=16)
+    return drainage.flow(_cells(spark, sf_dir))
 
 
 @query(f'{_DRAINED} select count(*) as n_cells, count(*) filter (direction = 0) as n_outlets, cast(sum(n) filter (direction = 0) as bigint) as n_drained, cast(0 as bigint) as n_undrained from acc')
