@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slopeworks.operators.raster import D8, accumulate
+from slopeworks.operators.lines import simplified
+from slopeworks.operators.raster import D8, accumulate, downstream, stream_mask, stream_segments
 from slopeworks.runtime import on_workers, settled
 
 #: Rows and columns of a tile.
@@ -451,3 +452,22 @@ def unresolved(drained: DataFrame, valid: Column | None = None) -> DataFrame:
     ends = here.filter("direction = 0").select("row", "col", steps).select("row", "col", (F.col("row") + F.col("s.dr")).alias("n_row"), (F.col("col") + F.col("s.dc")).alias("n_col"))
     beside = here.select(F.col("row").alias("n_row"), F.col("col").alias("n_col"))
     return ends.join(beside, ["n_row", "n_col"]).groupBy("row", "col").agg(F.count("*").alias("n")).filter("n = 8").select("row", "col")
+
+
+def stream_lines(drained: DataFrame, threshold: int, west: float, north: float, res: float, tolerance: float = 15.0) -> DataFrame:
+    """(segment, points, n_cells, most) of a flow's streams: lines between sources and junctions through the cells' centres, simplified.
+
+    ``segment`` numbers the first cell, ``n_cells`` counts the line's cells before it is simplified, and ``most`` is their
+    greatest accumulation.
+    """
+    cells = settled(stream_mask(drained, threshold).filter("is_stream"))
+    node = lambda r, c: F.shiftleft(F.col(r).cast("long"), 32) + F.col(c).cast("long") + F.lit(1 << 31)
+    down = downstream(cells).select("row", "col", node("to_row", "to_col").alias("down"))
+    nodes = cells.join(down, ["row", "col"], "left").select(node("row", "col").alias("node"), "down", "is_stream")
+    segments = stream_segments(nodes)
+    x = lambda n: west + (n.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31) + 0.5) * res
+    y = lambda n: north - (F.shiftright(n, 32) + 0.5) * res
+    shaped = segments.select("segment", F.transform("nodes", lambda n: F.struct(x(n).alias("x"), y(n).alias("y"))).alias("points"), F.size("nodes").alias("n_cells"), F.element_at("nodes", -1).alias("last"))
+    # water only grows on its way, so the last cell has most
+    ends = cells.select(node("row", "col").alias("last"), F.col("accumulation").alias("most"))
+    return simplified(shaped.join(ends, "last").drop("last"), tolerance)

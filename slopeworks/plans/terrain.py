@@ -38,14 +38,6 @@ def drained_whole(spark, sf_dir):
     return cells.agg(F.count("*").alias("n_cells"), F.count_if(outlet).alias("n_outlets"), F.sum(F.when(outlet, F.col("accumulation"))).alias("n_drained")).crossJoin(lost)
 
 
-def _drained_nodes(spark, sf_dir):
-    """The nodes of the drained raster's graph, numbered by row and column."""
-    cells = settled(drainage.flow(_cells(spark, sf_dir)))
-    key = lambda r, c: (F.col(r).cast("long") * 1_000_000 + F.col(c)).alias
-    down = raster.downstream(cells).select("row", "col", key("to_row", "to_col")("down"))
-    return raster.stream_mask(cells.join(down, ["row", "col"], "left").withColumn("node", key("row", "col")("node")), 20)
-
-
 @query(f"""{_DRAINED}, m as (select r // 8 as zone, * from acc)
 select cast(zone as bigint) as zone, count(*) as n_cells, max(n) as max_accumulation, round(avg(n), 6) as mean_accumulation, round(avg(case when n >= 20 then 1.0 else 0.0 end), 6) as stream_fraction,
 round(coalesce(sum(case when n >= 20 and direction > 0 then case when direction in (2, 8, 32, 128) then 30 * sqrt(2.0) else 30.0 end end), 0) / 1000, 6) as stream_km from m group by 1""")

@@ -4,9 +4,10 @@ import collections
 import heapq
 import random
 
+import numpy as np
 import pytest
 
-from slopeworks.operators import drainage
+from slopeworks.operators import drainage, lines
 from slopeworks.operators.raster import D8
 
 
@@ -90,3 +91,25 @@ def test_levels_settle_beyond_the_compacted_rounds(spark, monkeypatch):
     z = {(r, c): 5 if r % 2 and c != (11 if r % 4 == 1 else 1) else 3 for r in range(13) for c in range(13)}
     z |= {(r, c): 9 for r in range(13) for c in range(13) if r in (0, 12) or c in (0, 12)} | {(12, 6): 0}
     assert flowed(spark, z, 3)[0] == brute_flow(z)[0]
+
+
+def test_stream_lines_are_the_walks_between_sources_and_junctions(spark):
+    rnd = random.Random(12)
+    z = {(r - 3, c - 2): 40 - r + rnd.randrange(8) for r in range(24) for c in range(20)}
+    want, _ = brute_flow(z)
+    step = {code: (dr, dc) for dr, dc, code in D8}
+    stream = {c for c, (_, _, n) in want.items() if n >= 6}
+    to = {c: (c[0] + step[want[c][1]][0], c[1] + step[want[c][1]][1]) for c in stream if want[c][1]}
+    entering = collections.Counter(to.values())
+    expected = {}
+    for head in (c for c in stream if entering[c] != 1):
+        walk = [head]
+        while walk[-1] in to and (len(walk) == 1 or entering[walk[-1]] == 1):
+            walk.append(to[walk[-1]])
+        if len(walk) > 1:
+            points = np.array([(100 + (c + 0.5) * 30, 900 - (r + 0.5) * 30) for r, c in walk])
+            expected[tuple(points[0]), tuple(points[1])] = (len(walk), want[walk[-1]][2], [tuple(p) for p in points[lines.kept(points, 15.0)]])
+    drained = flowed(spark, z, 8)[1]
+    got = drainage.stream_lines(drained, 6, 100.0, 900.0, 30.0).collect()
+    assert sorted((r["n_cells"], r["most"], [tuple(p) for p in r["points"]]) for r in got) == sorted(expected.values()) and len(got) > 5
+    assert any(r["n_cells"] > len(r["points"]) for r in got) and drainage.stream_lines(drained, 10_000, 0.0, 0.0, 30.0).collect() == []
