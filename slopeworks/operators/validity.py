@@ -89,7 +89,8 @@ def _meetings(edges: DataFrame) -> DataFrame:
     following = (F.col("k2") == F.col("k1") + 1) | ((F.col("k1") == 0) & (F.col("k2") == F.col("n") - 1))
     # two points in common are a stretch in common; neighbours along a ring have one
     fault = F.col("crosses") | (F.size("touches") > 1) | (same & ~following)
-    return met.withColumns({"fault": fault, "same": same}).select("_code", "part1", "ring1", "k1", "a1", "b1", "part2", "ring2", "k2", "a2", "b2", "touches", "fault", "same").distinct()
+    # what neighbours along a ring share is not looked at again
+    return met.withColumns({"fault": fault, "same": same}).filter(fault | ~same).select("_code", "part1", "ring1", "k1", "a1", "b1", "part2", "ring2", "k2", "a2", "b2", "touches", "fault", "same").distinct()
 
 
 def _arc_points(edges: DataFrame, touched: DataFrame) -> DataFrame:
@@ -146,9 +147,9 @@ def validity(polygons: DataFrame, code: str, parts: str = "parts") -> DataFrame:
     edges = settled(_edges(shaped.filter("_shape is null")))
     met = settled(_meetings(edges))
     found = [met.filter("fault").select("_code", F.lit("self_intersection").alias("reason"))]
-    several = edges.filter("part > 0 or ring > 0").select("_code").distinct().join(met.filter("fault").select("_code").distinct(), "_code", "left_anti")
-    edges = edges.join(several, "_code", "left_semi")
-    touched = met.filter("not fault and not same").join(several, "_code", "left_semi")
+    several = settled(edges.filter("part > 0 or ring > 0").select("_code").distinct().join(met.filter("fault").select("_code").distinct(), "_code", "left_anti"))
+    edges = settled(edges.join(several, "_code", "left_semi"))
+    touched = met.filter("not fault").join(several, "_code", "left_semi")
     points = settled(_arc_points(edges, touched))
     inside = settled(_inside(points, edges))
     spot = ["_code", "part", "ring", "x", "y"]
