@@ -1,4 +1,4 @@
-"""What the corpus operators share: table access, worker set-up, materialised steps."""
+"""What the corpus operators share: table access, worker set-up, materialised steps, what a worker remembers of strings."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -68,3 +69,86 @@ def parts(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         size += length
     if first < len(column):
         yield first, len(column)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """First and second columns, the second of strings, of batches put together to about ``most`` bytes of text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def given() -> Iterator[tuple[pa.Array, pa.Array]]:
+        keys, texts = (pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+        for a, b in parts(texts, most):
+            yield keys.slice(a, b - a), texts.slice(a, b - a)
+
+    for batch in batches:
+        size_here = pc.sum(pc.binary_length(batch.column(1))).as_py() or 0
+        if held and size + size_here > most:
+            yield from given()
+            held, size = [], 0
+        held.append(batch)
+        size += size_here
+    if held:
+        yield from given()
+
+
+class Ragged:
+    """Lists of numbers in one flat array."""
+
+    def __init__(self, dtype: np.dtype):
+        self.flat = np.empty(0, dtype)
+        self.starts = self.lengths = np.empty(0, np.int64)
+
+    def add(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """More lists, that begin at ``starts`` of ``flat``."""
+        self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def joined(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of ``which`` in turn, and where each of them begins, with the end of the last."""
+        lengths = self.lengths[which]
+        at = np.concatenate(([0], np.cumsum(lengths)))
+        return self.flat[np.repeat(self.starts[which] - at[:-1], lengths) + np.arange(at[-1])], at
+
+    def kept(self, which: np.ndarray) -> Ragged:
+        """The lists of ``which`` alone."""
+        out = Ragged(self.flat.dtype)
+        flat, at = self.joined(which)
+        out.add(flat, at[:-1], np.diff(at))
+        return out
+
+
+class Slots:
+    """Numbers the strings that a worker meets, in order of learning, and forgets those not at hand when they are too many."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.known = pa.array([], pa.string())
+
+    def learn(self, unseen: pa.StringArray) -> None:
+        """To be defined: remembers these strings' values after those of all known ones."""
+        raise NotImplementedError
+
+    def keep(self, slots: np.ndarray) -> None:
+        """To be defined: forgets all values but these, which are numbered anew in this order."""
+        raise NotImplementedError
+
+    def slots(self, words: pa.StringArray) -> np.ndarray:
+        """The number of each string."""
+        at = pc.index_in(words, value_set=self.known)
+        if not at.null_count:
+            return at.to_numpy()
+        lacking = at.is_null()
+        missed = words.filter(lacking)
+        unseen = missed.unique()
+        slots = at.fill_null(0).to_numpy().copy()
+        lacking = lacking.to_numpy(zero_copy_only=False)
+        if len(self.known) + len(unseen) > self.most:
+            used, slots[~lacking] = np.unique(slots[~lacking], return_inverse=True)
+            self.keep(used)
+            self.known = self.known.take(pa.array(used))
+        slots[lacking] = pc.index_in(missed, value_set=unseen).to_numpy() + len(self.known)
+        self.learn(unseen)
+        self.known = pa.concat_arrays([self.known, unseen])
+        return slots

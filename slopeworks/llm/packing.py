@@ -19,11 +19,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from slopeworks.llm import base
 
 CAPACITY = 1024
 END_ID = 0
@@ -31,31 +32,39 @@ END_ID = 0
 GROUP = 4096
 #: Cost of a piece of n ids: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
-#: Distinct words whose ids a worker remembers; beyond that it starts afresh.
+#: Distinct words whose ids a worker remembers; beyond that it keeps those of the texts at hand only.
 REMEMBERED = 600_000
+#: Bytes of text that are split and looked up together; a longer text is looked up alone.
+TOGETHER = 8 << 20
+_OTHER = r"\x09\x0B-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: A key that is no whole word: white space or nothing stands where a word begins or ends.
+_UNEVEN = rf"^\n?\z|^[{_OTHER}]|^\n[\n{_OTHER}]|[\n{_OTHER}]\z"
+#: Keys that only the tokenizer's own library encodes: special tokens, what the faster one separates words by, and
+#: characters beyond the end of Latin Extended-B.
+_OWN = rf"{_UNEVEN}|<\||\x0B|[^\x00-\x{{24F}}]"
 #: A place where a blank may be cut from the word before without any change of ids.
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
-_UNEVEN = re.compile(r" \s|\s ")
-#: Only texts of these characters (to the end of Latin Extended-B) take the faster library.
-_PLAIN = re.compile(r"[\x00-ɏ]*\Z")
 
 
-class WordIds(dict):
-    """From a word with the blank before it to its ids, as little-endian 32-bit integers.
+class WordIds(base.Slots):
+    """The ids of texts, as little-endian 32-bit integers, by those of their words.
 
-    The byte-level tokenizer never joins a blank to what stands before it, so the ids of a text
-    are those of its words in turn. Words not seen before are encoded by the tokenizer's own
-    library or, for plain Latin words, by the faster one with the same merges.
+    The byte-level tokenizer never joins a blank to what stands before it, and a single line feed between
+    two words is a piece of its own, so the ids of a text are those of its words in turn. A word is
+    remembered under itself if a blank is before it, and with the line feed if that is; the first word of a text is
+    taken as if a line feed were before it, whose id is then left out. All words of many texts are split, looked
+    up and put together by whole columns. Words not seen before are encoded by the tokenizer's
+    own library or, for plain Latin words, by the faster one with the same merges.
     """
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None = None):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(REMEMBERED)
         self._whole = Tokenizer.from_file(tokenizer_path)
         self._whole.no_truncation()
         self._whole.no_padding()
-        self._fast: Callable[[str], list[int]] | None = None
+        self._fast: Callable[[str], np.ndarray] | None = None
         if ranks_path:
             import base64
 
@@ -63,33 +72,58 @@ class WordIds(dict):
             import tiktoken
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
-            self._fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            self._feed = ranks[b"\n"]
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, unseen: list[str]) -> None:
-        """Encodes words; plain ones in one go, split again at the line feeds put between them."""
-        plain = [w for w in unseen if "\n" not in w and "<|" not in w and _PLAIN.match(w)] if self._fast else []
-        if plain:
-            ids = np.array(self._fast(" " + "\n ".join(plain) + "\n"), "<u4")
-            ends = np.flatnonzero(ids == self._feed)
-            raw = ids.tobytes()
-            self.update(zip(plain, (raw[4 * a : 4 * b] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist()))))
-        self.update((w, self.encode(f" {w}")) for w in unseen if w not in self)
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        split = [_BLANK.split(x) if _UNEVEN.search(x) else x.split(" ") for x in texts]
-        wanted = {w for words in split for w in words[1:]}
-        unseen = wanted.difference(self)
-        if len(self) + len(unseen) > REMEMBERED:
-            self.clear()
-            unseen = wanted
-        if unseen:
-            self.learn(list(unseen))
-        return [self.encode(words[0]) + b"".join(map(self.__getitem__, words[1:])) for words in split]
+            words = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self._fast = lambda text: words.encode_to_numpy(text, disallowed_special=())
+            self._mark = ranks[b"\x0b"]
+        self.ids = base.Ragged(np.dtype("<u4"))
+        self.uneven = np.empty(0, bool)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, unseen: pa.StringArray) -> None:
+        """Encodes words; plain ones in one go, split again at the vertical tabs put between them."""
+        led = pc.binary_join_element_wise(pc.if_else(pc.starts_with(unseen, "\n"), "", " "), unseen, "")
+        own = pc.match_substring_regex(unseen, _OWN).to_numpy(zero_copy_only=False) if self._fast else np.ones(len(unseen), bool)
+        lengths = np.zeros(len(unseen), np.int64)
+        alone = [self.encode(w) for w in led.filter(pa.array(own)).to_pylist()]
+        lengths[own] = [len(x) for x in alone]
+        ids = np.concatenate(alone) if alone else np.empty(0, "<u4")
+        if not own.all():
+            found = self._fast("\x0b" + "\x0b".join(led.filter(pa.array(~own)).to_pylist()) + "\x0b")
+            lengths[~own] = np.diff(np.flatnonzero(found == self._mark)) - 1
+            ids = np.concatenate([ids, found[found != self._mark]])
+        # the library's words come first in ids
+        order = np.argsort(~own, kind="stable")
+        starts = np.empty(len(unseen), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        self.ids.add(ids, starts, lengths)
+        self.uneven = np.concatenate([self.uneven, pc.match_substring_regex(unseen, _UNEVEN).to_numpy(zero_copy_only=False)])
+
+    def keep(self, slots: np.ndarray) -> None:
+        self.ids, self.uneven = self.ids.kept(slots), self.uneven[slots]
+
+    def of(self, texts: pa.StringArray) -> Iterator[bytes]:
+        """The ids of each text; null is as empty."""
+        texts = pc.fill_null(texts, "")
+        words = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        ends = words.offsets.to_numpy()
+        slots = self.slots(words.flatten())
+        ids, at = self.ids.joined(slots)
+        odd = np.concatenate(([0], np.cumsum(self.uneven[slots])))[ends]
+        uneven = odd[1:] > odd[:-1]
+        others = iter(self.cut(texts.filter(pa.array(uneven)).to_pylist()))
+        raw, at = ids.tobytes(), at[ends].tolist()
+        for k, other in enumerate(uneven.tolist()):
+            yield next(others) if other else raw[4 * at[k] + 4 : 4 * at[k + 1]]
+
+    def cut(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts with white space elsewhere than singly between words, cut at what blanks are between words."""
+        split = [_BLANK.split(x) for x in texts]
+        slots = self.slots(pa.array([w for words in split for w in words[1:]], pa.string()))
+        ids, at = self.ids.joined(slots)
+        at = at[np.cumsum([0, *(len(words) - 1 for words in split)])].tolist()
+        return [self.encode(words[0]).tobytes() + ids[a:b].tobytes() for words, a, b in zip(split, at, at[1:])]
 
 
 _coders: dict[tuple, WordIds] = {}
@@ -160,10 +194,9 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, ca
             sequence += last + 1
             rest.clear()
 
-        for batch in batches:
-            out = out or _Out(batch.schema.field(0).type)
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for key, ids in zip(batch.column(0).to_pylist(), ids_of.of(texts)):
+        for keys, texts in base.gathered(batches, TOGETHER):
+            out = out or _Out(keys.type)
+            for key, ids in zip(keys.to_pylist(), ids_of.of(texts)):
                 ids += end
                 total = len(ids) // 4
                 whole = total - total % capacity
