@@ -99,6 +99,12 @@ class Ragged:
         self.flat = np.empty(0, dtype)
         self.starts = self.lengths = np.empty(0, np.int64)
 
+    @classmethod
+    def of(cls, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Ragged:
+        out = cls(flat.dtype)
+        out.flat, out.starts, out.lengths = flat, starts, lengths
+        return out
+
     def add(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         """More lists, that begin at ``starts`` of ``flat``."""
         self.starts = np.concatenate([self.starts, starts + len(self.flat)])
@@ -113,10 +119,8 @@ class Ragged:
 
     def kept(self, which: np.ndarray) -> Ragged:
         """The lists of ``which`` alone."""
-        out = Ragged(self.flat.dtype)
         flat, at = self.joined(which)
-        out.add(flat, at[:-1], np.diff(at))
-        return out
+        return Ragged.of(flat, at[:-1], np.diff(at))
 
 
 class Slots:

@@ -20,17 +20,17 @@ empty lexicon; a text of any length is encoded whole. Extra columns are not look
 from __future__ import annotations
 
 import atexit
+import itertools
 import json
 import os
 import tempfile
 import unicodedata
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -40,9 +40,11 @@ from slopeworks.llm import base
 
 #: Words in the lexicon at most.
 LEXICON = 1 << 17
-#: Distinct words a task counts before it emits its counts so far.
-COUNTED = 400_000
-#: Distinct chunks, and distinct words, whose ids a worker remembers; beyond that it starts afresh.
+#: Bytes of text whose words are counted before the counts are emitted.
+COUNTED = 16 << 20
+#: Bytes of text that are split, looked up and decoded together; a longer text is a pass of its own.
+TOGETHER = 8 << 20
+#: Distinct chunks, and distinct words, whose ids a worker remembers; beyond that it keeps those of the texts at hand only.
 REMEMBERED = 400_000
 #: Separators to str.split() that the tokenizer takes for ordinary characters.
 _KEPT = regex.compile("[\x1c-\x1f]")
@@ -80,6 +82,7 @@ class Tokenizer:
         self.known: dict[str, bool] = {}  # by character: whether it is split here; at most one entry a code point
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
+        self.words_or_ends = regex.compile(split["pattern"]["Regex"] + "|\n")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def words_in(self, chunk: str) -> list[str]:
@@ -88,6 +91,16 @@ class Tokenizer:
             return self.words.findall(chunk.lower() if "Σ" not in chunk else "".join(c.lower() for c in chunk))
         return self.asked(chunk)
 
+    def words_of(self, chunks: list[str]) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+        """The words of many chunks in one go, the chunks' order in which they come, and how many each has in that order; a special token is one word."""
+        special, safe = self.special, self.safe
+        plain = np.array([c not in special and (c.isascii() or ("Σ" not in c and safe(c))) for c in chunks], bool)
+        found = pa.array(self.words_or_ends.findall("\n".join([*itertools.compress(chunks, plain), ""]).lower()), pa.string())
+        ends = np.flatnonzero(pc.equal(found, "\n").to_numpy(zero_copy_only=False))
+        others = [[c] if c in special else self.words_in(c) for c in itertools.compress(chunks, ~plain)]
+        words = pa.concat_arrays([found.filter(pc.not_equal(found, "\n")), pa.array([w for ws in others for w in ws], pa.string())])
+        return words, np.argsort(~plain, kind="stable"), np.concatenate([np.diff(ends, prepend=-1) - 1, np.array([len(ws) for ws in others], np.int64)])
+
     def asked(self, chunk: str) -> list[str]:
         """The words by the library's own steps."""
         pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
@@ -223,19 +236,45 @@ class Lexicon:
             at[live], number[live] = self.to[arc], number[live] + self.skip[arc]
         return np.where((at >= 0) & (self.final[at] == 1), number, -1)
 
-    def ids_of(self, number: int) -> list[int]:
-        return self.ids[self.offsets[number] : self.offsets[number + 1]].tolist()
 
+class Words(base.Slots):
+    """From a normalised word to its ids: from the lexicon, or else merged."""
+
+    def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon | None):
+        super().__init__(REMEMBERED)
+        self.tokenizer, self.lexicon = tokenizer, lexicon
+        self.ids = base.Ragged(np.dtype("<i4"))
 
-class Coder(dict):
-    """From a chunk between white space to its ids' bytes; ``decoded`` has its tokens' strings."""
+    def learn(self, unseen: pa.StringArray) -> None:
+        tokenizer = self.tokenizer
+        numbers = self.lexicon.numbers(unseen.cast(pa.binary()).to_pylist()) if self.lexicon else np.full(len(unseen), -1, np.int64)
+        lacking = numbers < 0
+        merged = [[tokenizer.special[w]] if w in tokenizer.special else tokenizer.merge(w) for w in unseen.filter(pa.array(lacking)).to_pylist()]
+        starts, lengths = np.empty(len(unseen), np.int64), np.empty(len(unseen), np.int64)
+        lengths[lacking] = [len(x) for x in merged]
+        starts[lacking] = np.cumsum(lengths[lacking]) - lengths[lacking]
+        flat = np.fromiter(itertools.chain.from_iterable(merged), "<i4")
+        if self.lexicon:
+            found, offsets = numbers[~lacking], self.lexicon.offsets
+            listed, at = base.Ragged.of(self.lexicon.ids, offsets[:-1], np.diff(offsets)).joined(found)
+            starts[~lacking], lengths[~lacking] = at[:-1] + len(flat), np.diff(at)
+            flat = np.concatenate([flat, listed.astype("<i4")])
+        self.ids.add(flat, starts, lengths)
+
+    def keep(self, slots: np.ndarray) -> None:
+        self.ids = self.ids.kept(slots)
+
+
+class Coder(base.Slots):
+    """From a chunk between white space to its ids; texts are split, looked up, put together and decoded by whole columns."""
 
     def __init__(self, tokenizer_path: str, lexicon_path: str | None):
-        super().__init__()
+        super().__init__(REMEMBERED)
         self.tokenizer = Tokenizer(tokenizer_path)
-        self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.decoded: dict[str, str] = {}
+        self.words = Words(self.tokenizer, Lexicon(lexicon_path) if lexicon_path else None)
+        self.ids = base.Ragged(np.dtype("<i4"))
+        strings = self.tokenizer.strings
+        self.strings = pa.array([strings.get(i) for i in range(max(strings, default=-1) + 1)], pa.string())
 
     def chunks(self, text: str) -> list[str]:
         """The text between white space and special tokens; special tokens are chunks of their own."""
@@ -244,41 +283,43 @@ class Coder(dict):
             return [c for k, part in enumerate(special.split(text)) for c in ([part] if k % 2 else self.chunks(part))]
         return [c for c in _GAP.split(text) if c] if _KEPT.search(text) else text.split()
 
-    def look_up(self, words: set[str]) -> None:
-        """Puts words into ``self.words``: from the lexicon, or else merged."""
-        unseen = words.difference(self.words)
-        if len(self.words) + len(unseen) > REMEMBERED:
-            self.words.clear()
-            unseen = words
-        if not unseen:
-            return
-        tokenizer, strings, unseen = self.tokenizer, self.tokenizer.strings, list(unseen)
-        numbers = self.lexicon.numbers([w.encode("utf-8", "surrogatepass") for w in unseen]).tolist() if self.lexicon else [-1] * len(unseen)
-        for w, n in zip(unseen, numbers):
-            ids = self.lexicon.ids_of(n) if n >= 0 else [tokenizer.special[w]] if w in tokenizer.special else tokenizer.merge(w)
-            self.words[w] = array("i", ids).tobytes(), " ".join([strings[i] for i in ids])
-
-    def learn(self, unseen: list[str]) -> None:
-        tokenizer = self.tokenizer
-        split = [[c] if c in tokenizer.special else tokenizer.words_in(c) for c in unseen]
-        self.look_up({w for ws in split for w in ws})
-        known = self.words
-        for chunk, ws in zip(unseen, split):
-            self[chunk], self.decoded[chunk] = known[ws[0]] if len(ws) == 1 else (b"".join([known[w][0] for w in ws]), " ".join([known[w][1] for w in ws]))
+    def chunked(self, texts: pa.StringArray) -> pa.ListArray:
+        """The chunks of each text; null is as empty. An empty chunk, where white space begins or ends a text, has no ids."""
+        texts = pc.fill_null(texts, "")
+        lists = pc.utf8_split_whitespace(texts)
+        odd = pc.match_substring_regex(texts, r"[\x1C-\x1F]|<\|")
+        if not pc.any(odd).as_py():
+            return lists
+        others = pa.array([self.chunks(x) for x in texts.filter(odd).to_pylist()], pa.list_(pa.string()))
+        mask = odd.to_numpy(zero_copy_only=False)
+        rows = np.where(mask, len(texts) + np.cumsum(mask) - 1, np.arange(len(texts)))
+        return pa.concat_arrays([lists.cast(others.type), others]).take(pa.array(rows))
+
+    def learn(self, unseen: pa.StringArray) -> None:
+        words, order, counts = self.tokenizer.words_of(unseen.to_pylist())
+        slots = self.words.slots(words)
+        flat, at = self.words.ids.joined(slots)
+        at = at[np.concatenate(([0], np.cumsum(counts)))]
+        starts, lengths = np.empty(len(unseen), np.int64), np.empty(len(unseen), np.int64)
+        starts[order], lengths[order] = at[:-1], np.diff(at)
+        self.ids.add(flat, starts, lengths)
+
+    def keep(self, slots: np.ndarray) -> None:
+        self.ids = self.ids.kept(slots)
+
+    def columns(self, texts: pa.StringArray) -> tuple[pa.ListArray, pa.StringArray]:
+        """The ids of each text, and what they decode to."""
+        lists = self.chunked(texts)
+        slots = self.slots(lists.flatten())
+        ids, at = self.ids.joined(slots)
+        ends = pa.array(at[lists.offsets.to_numpy()].astype(np.int32))
+        return pa.ListArray.from_arrays(ends, pa.array(ids)), pc.binary_join(pa.ListArray.from_arrays(ends, self.strings.take(pa.array(ids))), " ")
 
     def of(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """The ids of each text, and what they decode to."""
-        split = [self.chunks(x) for x in texts]
-        wanted = {c for cs in split for c in cs}
-        unseen = wanted.difference(self)
-        if len(self) + len(unseen) > REMEMBERED:
-            self.clear()
-            self.decoded.clear()
-            unseen = wanted
-        if unseen:
-            self.learn(list(unseen))
-        ids_of, string_of = self.__getitem__, self.decoded.__getitem__
-        return [b"".join(map(ids_of, cs)) for cs in split], [" ".join(map(string_of, cs)) for cs in split]
+        """The ids of each text as bytes, and what they decode to."""
+        ids, decoded = self.columns(pa.array(texts, pa.string()))
+        raw, ends = ids.values.to_numpy().tobytes(), ids.offsets.to_pylist()
+        return [raw[4 * a : 4 * b] for a, b in zip(ends, ends[1:])], decoded.to_pylist()
 
 
 _coders: dict[tuple, Coder] = {}
@@ -298,23 +339,17 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text")
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = coder(tokenizer_path, None)
         tokenizer = splitter.tokenizer
-        total: Counter = Counter()
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            words: Counter = Counter()
-            for chunk, n in total.items():
-                if chunk not in tokenizer.special:
-                    for w in tokenizer.words_in(chunk):
-                        words[w] += n
-            yield pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-            total.clear()
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total.update(splitter.chunks(text or ""))
-            if len(total) >= COUNTED:
-                yield from emit()
-        yield from emit()
+        for _, texts in base.gathered((pa.RecordBatch.from_arrays([b.column(0)] * 2, names=["text", "again"]) for b in batches), COUNTED):
+            chunks = splitter.chunked(texts).flatten().value_counts()
+            distinct, n = chunks.field("values"), chunks.field("counts").to_numpy()
+            if tokenizer.special:
+                usual = pc.invert(pc.is_in(distinct, value_set=pa.array(list(tokenizer.special), pa.string())))
+                distinct, n = distinct.filter(usual), n[usual.to_numpy(zero_copy_only=False)]
+            words, order, counts = tokenizer.words_of(distinct.to_pylist())
+            words = words.dictionary_encode()
+            total = np.zeros(len(words.dictionary), np.int64)
+            np.add.at(total, words.indices.to_numpy(), np.repeat(n[order], counts))
+            yield pa.RecordBatch.from_arrays([words.dictionary.cast(pa.binary()), pa.array(total)], names=["word", "n"])
 
     words = docs.select(F.col(text_col).alias("text")).mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = base.settled(words.filter("n > 1"))
@@ -352,12 +387,10 @@ def encode(docs: DataFrame, tokenizer_path: str, lexicon: str | None = None, id_
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = coder(tokenizer_path, SparkFiles.get(lexicon) if lexicon else None)
-        for batch in batches:
-            for a, b in base.parts(batch.column(1)):
-                ids, decoded = tokens.of([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()])
-                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), listed, pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
+        for keys, texts in base.gathered(batches, TOGETHER):
+            ids, decoded = tokens.columns(texts)
+            for a, b in base.parts(decoded):
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), ids.slice(a, b - a), decoded.slice(a, b - a)], names=["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encoded, f"id {kind}, ids array<int>, decoded string")
