@@ -42,6 +42,15 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that is dealt out by its key and never broadcast.
+
+    What is small enough for a broadcast is told from sizes of files, which are compressed and do not know of what is exploded or
+    derived from them: a million cells look like two megabytes, and take the driver a hundred times that.
+    """
+    return df.hint("merge")
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes the settled tables of this process; for when nothing that rests on them is read any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs
