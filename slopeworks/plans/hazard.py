@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from slopeworks.functions import scalar as S
 from slopeworks.operators import catalog, drainage, geometry, joins, model, quality, raster, serving, state, timeseries, warnings
-from slopeworks.runtime import table
+from slopeworks.runtime import by_key, table
 from slopeworks.streaming import sensors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -407,8 +407,8 @@ def _flow(spark, sf_dir):
     cells = raster.settled(raster.d8_direction(_cells(spark, sf_dir)))
     key = lambda r, c: F.concat_ws("_", r, c)
     down = raster.downstream(cells).select("row", "col", key(F.col("to_row"), F.col("to_col")).alias("down"))
-    nodes = cells.join(down, ["row", "col"], "left").select("row", "col", "direction", key(F.col("row"), F.col("col")).alias("node"), "down")
-    return nodes.join(raster.accumulate(nodes), "node")
+    nodes = cells.join(by_key(down), ["row", "col"], "left").select("row", "col", "direction", key(F.col("row"), F.col("col")).alias("node"), "down")
+    return nodes.join(by_key(raster.accumulate(nodes)), "node")
 
 
 _UP = f"""with recursive {_GRID}, {_STEPS}, n as (select a."row", a.col, k, dr, dc, code, (a.z - b.z) / case when k % 2 = 1 then sqrt(2.0) else 1.0 end as d from cells a, steps join cells b on b."row" = a."row" + dr and b.col = a.col + dc),

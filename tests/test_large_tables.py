@@ -6,13 +6,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from slopeworks.operators import raster
+from slopeworks.plans import registry
 
 
 def broadcast(df) -> list[str]:
-    """What a plan's joins broadcast, but for tables made from fixed rows."""
+    """What a plan's joins broadcast of files' rows; a table made from fixed rows or one row of sums is nothing of the kind."""
     plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
-    what = [plan[n + 1].strip(" :+-") for n, line in enumerate(plan) if "BroadcastExchange" in line]
-    return [x for x in what if not re.search("LocalTableScan|Scan ExistingRDD|ReusedExchange", x)]
+    depth = [re.search(r"[A-Za-z*(]|$", line).start() for line in plan]
+    found = []
+    for n, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = plan[n + 1 : next((m for m in range(n + 1, len(plan)) if depth[m] <= depth[n]), len(plan))]
+            if any("FileScan" in x for x in below) and not any("Aggregate(keys=[]" in x for x in below):
+                found.append(below[0].strip(" :+-"))
+    return found
 
 
 @pytest.fixture
@@ -27,3 +34,28 @@ def test_directions_broadcast_no_cells(cells):
     directed = raster.d8_direction(cells)
     assert broadcast(directed) == []
     assert {(r["col"], r["direction"]) for r in directed.collect()} == {(c, 1) for c in range(5)} | {(5, 0)}
+
+
+@pytest.fixture
+def settled_plans(monkeypatch):
+    """What the plans of tables that are settled on the way broadcast."""
+    found = []
+
+    def watch(module):
+        keep = module.settled
+        monkeypatch.setattr(module, "settled", lambda df: found.extend(broadcast(df)) or keep(df))
+
+    watch.found = found
+    return watch
+
+
+@pytest.mark.parametrize("name", ["flow_reached"])
+def test_flow_broadcasts_no_cells(spark, sf_dir, name, settled_plans):
+    settled_plans(raster)
+    rows = registry.QUERIES[name](spark, sf_dir)
+    assert settled_plans.found + broadcast(rows) == []
+
+
+def test_sums_along_pointers_of_nodes_that_end_and_go_on(spark):
+    nodes = spark.createDataFrame([(1, 2), (2, 3), (3, None), (4, None), (5, 3)], "node int, down int")
+    assert {tuple(r) for r in raster.accumulate(nodes).collect()} == {(1, 1), (2, 2), (3, 4), (4, 1), (5, 1)}
