@@ -49,7 +49,7 @@ def settled_plans(monkeypatch):
     return watch
 
 
-@pytest.mark.parametrize("name", ["flow_reached", "stream_cells", "stream_segments"])
+@pytest.mark.parametrize("name", ["flow_reached", "stream_cells", "zonal_hydrology", "stream_segments"])
 def test_flow_broadcasts_no_cells(spark, sf_dir, name, settled_plans):
     settled_plans(raster)
     rows = registry.QUERIES[name](spark, sf_dir)
