@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopeworks.operators.geometry import RING
-from slopeworks.runtime import on_workers, settled
+from slopeworks.runtime import by_key, on_workers, settled
 
 #: Reasons in the order in which one is given for a polygon that has several (fixed values).
 REASONS = ("empty", "too_few_points", "not_closed", "not_finite", "self_intersection", "hole_outside_shell", "nested_holes", "overlapping_parts", "interior_cut")
@@ -77,7 +77,7 @@ def _meetings(edges: DataFrame) -> DataFrame:
     """Pairs of edges that share a point: where they touch, and whether that is a fault whatever rings they are of."""
     spread = edges.withColumn("cx", _cells("x")).withColumn("cy", _cells("y"))
     own = lambda n: [F.col(c).alias(f"{c}{n}") for c in ("part", "ring", "k", "a", "b")]
-    met = spread.select("_code", "cx", "cy", "n", *own(1)).join(spread.select("_code", "cx", "cy", *own(2)), ["_code", "cx", "cy"])
+    met = spread.select("_code", "cx", "cy", "n", *own(1)).join(by_key(spread.select("_code", "cx", "cy", *own(2))), ["_code", "cx", "cy"])
     key = lambda n: F.struct(f"part{n}", f"ring{n}", f"k{n}")
     a1, b1, a2, b2 = (F.col(c) for c in ("a1", "b1", "a2", "b2"))
     s1, s2, s3, s4 = _side(a1, b1, a2), _side(a1, b1, b2), _side(a2, b2, a1), _side(a2, b2, b1)
@@ -105,17 +105,17 @@ def _arc_points(edges: DataFrame, touched: DataFrame) -> DataFrame:
     arcs = on_edge.select("_code", "part", "ring", "a", "b", F.explode(middles).alias("m"))
     at = lambda c: (a[c] + F.col("m") * (b[c] - a[c])).alias(c)
     arcs = arcs.select("_code", "part", "ring", at("x"), at("y"))
-    free = edges.filter("k = 0").join(arcs.select("_code", "part", "ring").distinct(), ["_code", "part", "ring"], "left_anti")
+    free = edges.filter("k = 0").join(by_key(arcs.select("_code", "part", "ring").distinct()), ["_code", "part", "ring"], "left_anti")
     return arcs.unionByName(free.select("_code", "part", "ring", "a.x", "a.y"))
 
 
 def _inside(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(points' columns, t_part, t_ring) for each other ring of the polygon that a point is inside of."""
     grid = edges.filter("part = 0 and ring = 0 and k = 0").select("_code", "y0", "cell")
-    placed = points.join(grid, "_code").withColumn("cy", F.floor((F.col("y") - F.col("y0")) / F.col("cell"))).drop("y0", "cell")
+    placed = points.join(by_key(grid), "_code").withColumn("cy", F.floor((F.col("y") - F.col("y0")) / F.col("cell"))).drop("y0", "cell")
     strips = edges.withColumn("cy", _cells("y")).select("_code", "cy", F.col("part").alias("t_part"), F.col("ring").alias("t_ring"), "a", "b")
     a, b, x, y = F.col("a"), F.col("b"), F.col("x"), F.col("y")
-    met = placed.join(strips, ["_code", "cy"]).filter((F.col("part") != F.col("t_part")) | (F.col("ring") != F.col("t_ring")))
+    met = placed.join(by_key(strips), ["_code", "cy"]).filter((F.col("part") != F.col("t_part")) | (F.col("ring") != F.col("t_ring")))
     right = ((a["y"] > y) != (b["y"] > y)) & (x < a["x"] + (y - a["y"]) * (b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)))
     return met.filter(right).groupBy("_code", "part", "ring", "x", "y", "t_part", "t_ring").agg((F.count("*") % 2).alias("odd")).filter("odd = 1").drop("odd")
 
@@ -147,18 +147,18 @@ def validity(polygons: DataFrame, code: str, parts: str = "parts") -> DataFrame:
     edges = settled(_edges(shaped.filter("_shape is null")))
     met = settled(_meetings(edges))
     found = [met.filter("fault").select("_code", F.lit("self_intersection").alias("reason"))]
-    several = settled(edges.filter("part > 0 or ring > 0").select("_code").distinct().join(met.filter("fault").select("_code").distinct(), "_code", "left_anti"))
-    edges = settled(edges.join(several, "_code", "left_semi"))
-    touched = met.filter("not fault").join(several, "_code", "left_semi")
+    several = settled(edges.filter("part > 0 or ring > 0").select("_code").distinct().join(by_key(met.filter("fault").select("_code").distinct()), "_code", "left_anti"))
+    edges = settled(edges.join(by_key(several), "_code", "left_semi"))
+    touched = met.filter("not fault").join(by_key(several), "_code", "left_semi")
     points = settled(_arc_points(edges, touched))
     inside = settled(_inside(points, edges))
     spot = ["_code", "part", "ring", "x", "y"]
     held = inside.filter("part = t_part and t_ring = 0").select(*spot)
-    found.append(points.filter("ring > 0").join(held, spot, "left_anti").select("_code", F.lit("hole_outside_shell").alias("reason")))
+    found.append(points.filter("ring > 0").join(by_key(held), spot, "left_anti").select("_code", F.lit("hole_outside_shell").alias("reason")))
     found.append(inside.filter("part = t_part and ring > 0 and t_ring > 0").select("_code", F.lit("nested_holes").alias("reason")))
     covered = inside.filter("ring = 0 and part <> t_part")
     in_hole = covered.filter("t_ring > 0").select(*spot, "t_part")
-    found.append(covered.filter("t_ring = 0").join(in_hole, [*spot, "t_part"], "left_anti").select("_code", F.lit("overlapping_parts").alias("reason")))
+    found.append(covered.filter("t_ring = 0").join(by_key(in_hole), [*spot, "t_part"], "left_anti").select("_code", F.lit("overlapping_parts").alias("reason")))
     links = touched.filter("part1 = part2").select("_code", F.col("part1").alias("part"), F.array("ring1", "ring2").alias("rings"), F.explode("touches").alias("t")).select("_code", "part", F.explode("rings").alias("ring"), "t.x", "t.y").distinct()
     found.append(links.groupBy("_code", "part").applyInArrow(_cut, "_code string").withColumn("reason", F.lit("interior_cut")))
     every = found[0]
@@ -166,5 +166,5 @@ def validity(polygons: DataFrame, code: str, parts: str = "parts") -> DataFrame:
         every = every.unionByName(more)
     order = F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason"))
     worst = every.groupBy("_code").agg(F.min_by("reason", order).alias("_found"))
-    out = shaped.join(worst, "_code", "left").withColumn("reason", F.coalesce("_shape", "_found"))
+    out = shaped.join(by_key(worst), "_code", "left").withColumn("reason", F.coalesce("_shape", "_found"))
     return out.select(code, F.col("reason").isNull().alias("valid"), "reason")

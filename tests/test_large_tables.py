@@ -5,19 +5,19 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from slopeworks.operators import raster
+from slopeworks.operators import raster, validity
 from slopeworks.plans import registry
 
 
 def broadcast(df) -> list[str]:
-    """What a plan's joins broadcast of files' rows; a table made from fixed rows or one row of sums is nothing of the kind."""
+    """What a plan's joins broadcast of files' rows; tables made from fixed rows, nations and one row of sums are nothing of the kind."""
     plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
     depth = [re.search(r"[A-Za-z*(]|$", line).start() for line in plan]
     found = []
     for n, line in enumerate(plan):
         if "BroadcastExchange" in line:
             below = plan[n + 1 : next((m for m in range(n + 1, len(plan)) if depth[m] <= depth[n]), len(plan))]
-            if any("FileScan" in x for x in below) and not any("Aggregate(keys=[]" in x for x in below):
+            if any("FileScan" in x and "n_nationkey" not in x for x in below) and not any("Aggregate(keys=[]" in x for x in below):
                 found.append(below[0].strip(" :+-"))
     return found
 
@@ -59,3 +59,10 @@ def test_flow_broadcasts_no_cells(spark, sf_dir, name, settled_plans):
 def test_sums_along_pointers_of_nodes_that_end_and_go_on(spark):
     nodes = spark.createDataFrame([(1, 2), (2, 3), (3, None), (4, None), (5, 3)], "node int, down int")
     assert {tuple(r) for r in raster.accumulate(nodes).collect()} == {(1, 1), (2, 2), (3, 4), (4, 1), (5, 1)}
+
+
+@pytest.mark.parametrize("name", ["polygon_validity"])
+def test_validity_broadcasts_no_polygons(spark, sf_dir, name, settled_plans):
+    settled_plans(validity)
+    rows = registry.QUERIES[name](spark, sf_dir)
+    assert settled_plans.found + broadcast(rows) == []
