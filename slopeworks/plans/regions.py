@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from slopeworks.functions import scalar as S
 from slopeworks.operators import geometry, places, serving, timeseries
 from slopeworks.plans.hazard import _GRID, _HAVERSINE, _NEAR, _STEPS, _UP, ORACLE, _cells, _diamonds, query
-from slopeworks.runtime import table
+from slopeworks.runtime import by_key, table
 
 
 def _ring(*points: tuple[Column, Column]) -> Column:
@@ -69,7 +69,7 @@ def polygon_validity(spark, sf_dir):
 @query(f"with {_VALID} select count(*) as records, count(*) filter (reason is null) as valid, count(*) filter (reason is not null) as invalid, count(*) filter (k % 16 = 5) as multipart, count(*) + count(*) filter (k % 16 = 5) as polygon_parts from v")
 def geometry_summary(spark, sf_dir):
     rows = _odd_polygons(spark, sf_dir)
-    flagged = rows.join(places.validity(rows, "k").select("k", F.col("valid").alias("flag")), "k")
+    flagged = rows.join(by_key(places.validity(rows, "k").select("k", F.col("valid").alias("flag"))), "k")
     return geometry.geometry_summary(flagged, F.col("flag"))
 
 
