@@ -366,8 +366,8 @@ def route_exposure(spark, sf_dir):
     balances = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
     near = geometry.near_routes(points, segments, "s_suppkey", "route", 50.0).join(balances, "s_suppkey")
     b = F.col("s_acctbal")
-    counts = near.groupBy("route").agg(F.count_if(b > 9500).alias("n_red"), F.count_if(b > 8000).alias("n_listed"), F.count("*").alias("n_events"))
-    rows = routes.join(counts, "route", "left").fillna(0)
+    counts = near.groupBy("route").agg(F.count_if(b > 9500).alias("n_red"), F.count_if(b > 8000).alias("n_listed"), F.count(b).alias("n_events"))
+    rows = routes.join(counts, "route", "left").fillna(0, ["n_red", "n_listed", "n_events"])
     return rows.withColumn("status", geometry.exposure_status(F.col("n_red"), F.col("n_listed")))
 
 

@@ -5,6 +5,7 @@ import heapq
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -484,3 +485,15 @@ def test_fill_of_odd_rasters(spark):
     wall = [[5] * 13] + [[5] + [1] * 11 + [5] for _ in range(11)] + [[5] * 6 + [3] + [5] * 6]
     got = {(r["row"], r["col"]): r["filled"] for r in drainage.fill_depressions(grid(spark, wall), tile=4).collect()}
     assert got[1, 1] == got[11, 11] == 3 and got[0, 0] == 5
+
+
+def test_points_at_just_a_route_s_width(spark):
+    """All but one are 50 from the route; SQL's rounding takes some and leaves others, and the first one's square lies half way between two numbers."""
+    values = "(0, 44.0, 142.0), (1, 2.0, 86.0), (2, 5.0, 90.0), (3, 8.0, 94.0), (4, -30.0, -40.0), (5, 11.0, 98.0), (6, 0.0, 84.0)"
+    with duckdb.connect() as con:
+        found = con.execute(f"""with p as (select k, x::double as x, y::double as y from (values {values}) v(k, x, y)), d as (select *, greatest(0.0, least(1.0, (x * 300 + y * 400) / 250000)) as t from p)
+        select k from d where sqrt(pow(x - t * 300, 2) + pow(y - t * 400, 2)) <= 50""").fetchall()
+    points = spark.sql(f"select k, cast(x as double) as x, cast(y as double) as y from values {values} as v(k, x, y)")
+    route = spark.createDataFrame([(0, 0.0, 0.0, 300.0, 400.0)], "route int, x1 double, y1 double, x2 double, y2 double")
+    near = {r["k"] for r in geometry.near_routes(points, route, "k", "route", 50.0).collect()}
+    assert 0 in near and 6 not in near and near == {k for (k,) in found}
