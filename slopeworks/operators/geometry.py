@@ -13,9 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from slopeworks.functions.scalar import EARTH_KM, haversine_km
-from slopeworks.runtime import settled
+from slopeworks.runtime import by_key, settled
 
 RING = "array<struct<x:double,y:double>>"
 PARTS = f"array<struct<shell:{RING},holes:array<{RING}>>>"
@@ -111,34 +112,56 @@ def _unit(lat: Column, lon: Column) -> list[Column]:
     return [F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
 
 
+def _cubes(lat: str, lon: str, width: float, names: tuple[str, str, str] = ("_i", "_j", "_k")) -> dict[str, Column]:
+    """The cube of the unit sphere's space that a place is in."""
+    return {n: F.floor(c / width) for n, c in zip(names, _unit(F.col(lat), F.col(lon)))}
+
+
+#: Widths of cubes in radii are powers of two from 100 metres to the whole sphere, and the most places in one to begin with (fixed values).
+_FINEST, _WIDEST, _CROWD = -16, 1, 8
+
+
+def _uncrowded(places: DataFrame) -> int:
+    """The power of two of the widest cubes of which none holds more than a few places (_slat, _slon)."""
+    fine = places.groupBy(*(c.alias(n) for n, c in _cubes("_slat", "_slon", 2.0**_FINEST).items())).agg(F.count("*").alias("n"))
+    levels = fine.withColumn("up", F.explode(F.sequence(F.lit(0), F.lit(_WIDEST - _FINEST))))
+    wider = levels.groupBy("up", *(F.expr(f"shiftright({n}, up)").alias(n) for n in ("_i", "_j", "_k"))).agg(F.sum("n").alias("n"))
+    most = wider.groupBy("up").agg(F.max("n").alias("most")).filter(F.col("most") <= _CROWD).agg(F.max("up").alias("up")).first()["up"]
+    return _FINEST + (most or 0)
+
+
 def nearest_sites(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, exclude_same: bool = False) -> DataFrame:
     """The nearest site of each point by great-circle distance, ties to the smaller site id.
 
     Points and sites are put into cubes on the unit sphere, and a point meets the sites of its own and the
-    26 cubes around it. What it finds within one cube's width cannot be beaten from outside; points that
-    find nothing so near go on to cubes four times as wide, until one cube holds the sphere.
+    26 cubes around it. What it finds within one cube's width cannot be beaten from outside, and nothing else is kept; points that
+    find nothing so near go on to cubes twice as wide, until one cube holds the sphere. The first cubes are so narrow that none
+    is crowded.
     """
     names = ("_i", "_j", "_k")
     p = points.select(F.col(point_id).alias("_pid"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
     s = sites.select(F.col(site_id).alias("_sid"), F.col("lat").alias("_slat"), F.col("lon").alias("_slon"))
-    width, found = 1 / 64, None
+    # of sites at one place the smallest id is nearest, or the next if that is the point itself
+    nth = F.row_number().over(Window.partitionBy("_slat", "_slon").orderBy("_sid"))
+    s = settled(s.withColumn("_nth", nth).filter(F.col("_nth") <= (2 if exclude_same else 1)).drop("_nth"))
+    power, found = _uncrowded(s), None
     while True:
-        cubes = lambda lat, lon, w=width: {n: F.floor(c / w) for n, c in zip(names, _unit(F.col(lat), F.col(lon)))}
-        spread = s.withColumns(cubes("_slat", "_slon"))
+        width = 2.0**power
+        spread = s.withColumns(_cubes("_slat", "_slon", width))
         for n in names:
             spread = spread.withColumn(n, F.explode(F.array(*(F.col(n) + d for d in (-1, 0, 1)))))
-        met = p.withColumns(cubes("_plat", "_plon")).join(spread, list(names))
+        met = p.withColumns(_cubes("_plat", "_plon", width)).join(by_key(spread), list(names))
         if exclude_same:
             met = met.filter(F.col("_pid") != F.col("_sid"))
-        distance = haversine_km(F.col("_plat"), F.col("_plon"), F.col("_slat"), F.col("_slon"))
-        best = met.groupBy("_pid").agg(F.min(F.struct(distance.alias("km"), F.col("_sid"))).alias("_best"))
-        sure = 2 * EARTH_KM * F.asin(F.lit(min(1.0, width / 2))) if width < 2 else F.lit(float("inf"))
-        done = settled(best.filter(F.col("_best.km") <= sure))
+        # a little less than a width, for what rounding moves across a cube's side
+        sure = 2 * EARTH_KM * math.asin(width / 2 * (1 - 1e-9)) if power < _WIDEST else float("inf")
+        near = met.select("_pid", haversine_km(F.col("_plat"), F.col("_plon"), F.col("_slat"), F.col("_slon")).alias("km"), "_sid").filter(F.col("km") <= sure)
+        done = settled(near.groupBy("_pid").agg(F.min(F.struct("km", "_sid")).alias("_best")))
         found = done if found is None else found.union(done)
-        p = settled(p.join(done, "_pid", "left_anti"))
-        if width >= 2 or p.isEmpty():
+        p = settled(p.join(by_key(done), "_pid", "left_anti"))
+        if power >= _WIDEST or p.isEmpty():
             return found.select(F.col("_pid").alias(point_id), F.col("_best._sid").alias("nearest_id"), F.col("_best.km").alias("distance_km"))
-        width *= 4
+        power += 1
 
 
 def utm(lat: Column, lon: Column, zone: int = 43) -> tuple[Column, Column]:
