@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from slopeworks.operators.geometry import by_cell, contains, edges, to_segment_m, touches, with_box
 from slopeworks.operators.joins import enforce
 from slopeworks.operators.validity import validity
+from slopeworks.runtime import by_key
 
 
 def usable(polygons: DataFrame, code: str, parts: str = "parts") -> DataFrame:
     """The polygons that are valid."""
-    return polygons.join(validity(polygons, code, parts).filter("valid").select(code), code, "left_semi")
+    return polygons.join(by_key(validity(polygons, code, parts).filter("valid").select(code)), code, "left_semi")
 
 
 def merged(polygons: DataFrame, polygon_id: str, code: str, master: DataFrame, parts: str = "parts") -> DataFrame:

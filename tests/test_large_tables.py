@@ -63,7 +63,7 @@ def test_sums_along_pointers_of_nodes_that_end_and_go_on(spark):
     assert {tuple(r) for r in raster.accumulate(nodes).collect()} == {(1, 1), (2, 2), (3, 4), (4, 1), (5, 1)}
 
 
-@pytest.mark.parametrize("name", ["polygon_validity", "geometry_summary"])
+@pytest.mark.parametrize("name", ["polygon_validity", "geometry_summary", "merged_polygons"])
 def test_validity_broadcasts_no_polygons(spark, sf_dir, name, settled_plans):
     settled_plans(validity)
     rows = registry.QUERIES[name](spark, sf_dir)
